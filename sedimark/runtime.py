@@ -5,11 +5,30 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_SENT: set[str] = set()
+
+
+def send_package(spark: SparkSession) -> SparkSession:
+    """Makes this package importable in the executors' Python workers, wherever the driver found it. Once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _SENT:
+        _SENT.add(app)
+        here = Path(__file__).resolve().parent
+        folder = tempfile.TemporaryDirectory(prefix="sedimark-")
+        atexit.register(folder.cleanup)
+        # addPyFile hands the archive to every executor over Spark's own file server
+        with zipfile.ZipFile(f"{folder.name}/{here.name}.zip", "w") as z:
+            for f in sorted(here.rglob("*.py")):
+                z.write(f, f.relative_to(here.parent))
+        spark.sparkContext.addPyFile(f"{folder.name}/{here.name}.zip")
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +60,6 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder. Timestamps without a zone are taken as UTC."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = send_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
     fix = {c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"}
     return df.withColumns(fix) if fix else df
