@@ -4,10 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimark.llm import packing, spans, tokens
+from sedimark.llm import conversations, packing, pii, spans, tokens
+from sedimark.plans.problems import canonical_sql
 from sedimark.runtime import table
 
 
+def _conversations(spark: SparkSession, d: str) -> DataFrame:
+    messages = conversations.hook_messages(table(spark, d, "claude_hooks"), table(spark, d, "ledger_events"))
+    return conversations.whole_conversations(messages, conversations.message_links(messages, table(spark, d, "event_edges")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of whole sessions in order; conversations without a session_id are no sessions."""
+    return _conversations(spark, d).where("identified").select("session_id", "msg_no", "speaker", "prompt_id")
+
+
+def p1_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Whole conversations as ordered messages with their texts, those found over links included."""
+    return _conversations(spark, d).select("conversation", "msg_no", "speaker", "text")
+
+
+def _free(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return pii.free_texts(table(spark, d, "ledger_events"), table(spark, d, "claude_hooks")), table(spark, d, "workspace_members")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Personal items in the free texts."""
+    return pii.found_items(*_free(spark, d))
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The free texts with placeholders."""
+    return pii.redacted(*_free(spark, d))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k."""
     return tokens.encode_corpus(table(spark, d, "documents"))
@@ -34,8 +64,17 @@ def p8_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p6_ids, p6_round_trip, p7_containers, p8_found, p8_shared)}
+    return {f.__name__: f for f in (p1_found, p1_messages, p2_found, p2_redacted, p6_ids, p6_round_trip, p7_containers, p8_found, p8_shared)}
 
 
 def oracle() -> dict[str, str]:
-    return {"p6_round_trip": "select doc_id, coalesce(text, '') as text from documents"}
+    name = "replace(lower(hook_event_name), '_', '')"
+    whole = f"""with m as (select {canonical_sql('session_id')} s, min(lower(trim(session_id))) session_id, {name} h, {canonical_sql('prompt_id')} p, min_by(prompt_id, (case when prompt_id <> {canonical_sql('prompt_id')} then 1 else 0 end) * 1000000000000 + hook_id) prompt_id,
+   min({canonical_sql('event_id')}) e, max(case when {name} = 'stop' then last_assistant_message else prompt end) body from claude_hooks where {name} in ('userpromptsubmit', 'stop') and session_id is not null
+   group by 1, 3, 4, case when {canonical_sql('prompt_id')} is null then hook_id end),
+ t as (select {canonical_sql('event_id')} e, min(event_timestamp) ts from ledger_events group by 1),
+ x as (select m.*, ts, row_number() over (partition by s order by ts nulls first, p nulls first, h desc) n, lag(p) over (partition by s order by ts nulls first, p nulls first, h desc) q from m left join t on m.e = t.e),
+ k as (select s from x group by s having count(*) % 2 = 0 and bool_and(coalesce(p is not null and ts is not null and regexp_matches(coalesce(body, ''), '[^\\s\\x0b\\x{{{{85}}}}\\p{{{{Z}}}}]') and case when n % 2 = 1 then h = 'userpromptsubmit' else h = 'stop' and p = q end, false)))
+ select {{}} from x where s in (select s from k)"""
+    speaker = "case when h = 'stop' then 'assistant' else 'user' end speaker"
+    return {"p1_found": whole.format(f"session_id, n msg_no, {speaker}, prompt_id"), "p1_messages": whole.format(f"s conversation, n msg_no, {speaker}, body as text"), "p6_round_trip": "select doc_id, coalesce(text, '') as text from documents"}
