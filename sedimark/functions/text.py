@@ -65,7 +65,5 @@ def rounded(c: Column, places: int = 6) -> Column:
 
 
 def shingles(c: Column, n: int = 5) -> Column:
-    """Distinct runs of n words of a normalised text; none if it has fewer words."""
-    words = F.filter(F.split(c, " "), lambda w: w != "")
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    """Distinct runs of n words of a text whose words are parted by one space; none if it has fewer words."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?=([^ ]+(?: [^ ]+){{{n - 1}}}))[^ ]+"), 1))

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimark.functions.text import normalized, rounded, shingles
+from sedimark.functions.text import normalized, shingles
 from sedimark.runtime import staged
 
 
 def audit_text(c):
     """Text with addresses of the web, hashes and numbers as marks and without punctuation."""
     c = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"https?://[^ \n\t]+", " <url> ")
+    c = F.regexp_replace(c, r"[^a-z0-9<> ]", " ")
     c = F.regexp_replace(c, r"\b[0-9a-f]{7,40}\b", " <sha> ")
     c = F.regexp_replace(c, r"\b[0-9]+\b", " <num> ")
-    c = F.regexp_replace(c, r"[^a-z0-9<> ]", " ")
     return F.trim(F.regexp_replace(c, " +", " "))
 
 
@@ -44,6 +44,3 @@ def similar_classes(docs: DataFrame, threshold: float = 0.85, n: int = 5, audit:
     links = full.where(both / (F.col("na") + F.col("nb") - both) >= threshold).select("a", "b")
     counts = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
     return keyed.join(reps, "key").join(counts, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-
-
-__all__ = ["audit_text", "rounded", "similar_classes"]
