@@ -125,7 +125,7 @@ def fill(items: list[dict], max_chars: int, header: dict | None = None) -> dict:
         low, high = 0, len(one["excerpt"])
         while low < high:
             mid = (low + high + 1) // 2
-            if written([*chosen, one | {"excerpt": one["excerpt"][:mid]}])["used_chars"] <= max_chars:
+            if written([*chosen, one | {"excerpt": one["excerpt"][:mid], "truncated": True}])["used_chars"] <= max_chars:
                 low = mid
             else:
                 high = mid - 1

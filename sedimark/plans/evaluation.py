@@ -144,8 +144,10 @@ def task_manifest(spark: SparkSession, d: str) -> DataFrame:
 def file_history(spark: SparkSession, d: str) -> DataFrame:
     """For each artifact and file the artifact before it that has the same file."""
     rows = table(spark, d, "ledger_events").where("kind = 'artifact'").select("row_id", M.whole_json(F.col("data_json")).alias("j"))
-    files = F.from_json(F.get_json_object("j", "$.projectStructure.files"), "array<struct<path:string>>")
-    one = rows.select("row_id", F.explode(F.array_distinct(F.transform(files, lambda f: f["path"]))).alias("path")).where("path is not null")
+    raw = F.get_json_object("j", "$.projectStructure.files")
+    # elements are taken as texts: a list may hold other things than files
+    files = F.when(F.startswith(F.ltrim(raw), F.lit("{")), F.array(raw)).otherwise(F.from_json(raw, "array<string>"))
+    one = rows.select("row_id", F.explode(F.array_distinct(F.transform(files, lambda f: F.get_json_object(f, "$.path")))).alias("path")).where("path is not null")
     return one.select("row_id", "path", F.lag("row_id").over(Window.partitionBy("path").orderBy("row_id")).alias("previous"))
 
 
