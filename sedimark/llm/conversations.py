@@ -23,14 +23,14 @@ def hook_messages(hooks: DataFrame, ledger: DataFrame) -> DataFrame:
 
     Copies (same session, hook name and prompt) are one message; it has the text and event that any of them has, and
     prompt_id in its plainest stored spelling. prompt is the canonical prompt_id, conversation the canonical
-    session_id. at is the earliest time of the ledger events with the message's event_id.
+    session_id. Rows without hook_id are no messages. at is the earliest time of the ledger events with the message's event_id.
     """
     name = hook_name(F.col("hook_event_name"))
     text = F.when(name == "userpromptsubmit", F.col("prompt")).otherwise(F.col("last_assistant_message"))
     rows = hooks.select(
         "hook_id", canonical_id(F.col("session_id")).alias("conversation"), F.lower(outer_trim(F.col("session_id"))).alias("session_id"), name.alias("name"),
         canonical_id(F.col("prompt_id")).alias("prompt"), "prompt_id", canonical_id(F.col("event_id")).alias("event"), text.alias("text"),
-    ).where(F.col("name").isin("userpromptsubmit", "stop"))
+    ).where(F.col("name").isin("userpromptsubmit", "stop") & F.col("hook_id").isNotNull())
     alone = F.when(F.col("conversation").isNull() | F.col("prompt").isNull(), F.col("hook_id"))
     plain = F.struct((F.col("prompt_id") != F.col("prompt")).alias("odd"), "hook_id")
     filled = F.struct(has_text(F.col("text")).alias("has"), -F.col("hook_id"))

@@ -53,7 +53,7 @@ class OpenWindows:
 
 
 def _first_round(capacity: int, windows: int):
-    """Items -> rows of items placed in windows, and rows (doc_id null) of windows left open with what fills them."""
+    """Items -> rows of items placed in windows, and rows (piece_no null) of windows left open with what fills them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, packer, cut = TaskContext.get().partitionId(), OpenWindows(capacity, windows), 0
@@ -118,7 +118,7 @@ def fill_containers(items: DataFrame, capacity: int = CAPACITY, windows: int = W
     """
     sized = items.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens")).where("n_tokens > 0").sortWithinPartitions("doc_id")
     placed = staged(sized.mapInArrow(_first_round(capacity, windows), "window string, place int, doc_id long, piece_no int, n_tokens int, part int"), "placed")
-    left = placed.where("doc_id is null").select("window", F.col("n_tokens").alias("filled"), F.col("place").alias("items"), "part")
+    left = placed.where("piece_no is null").select("window", F.col("n_tokens").alias("filled"), F.col("place").alias("items"), "part")
     moves = None
     parts = (left.agg(F.max("part")).first()[0] or 0) + 1
     round_no = 0
@@ -136,6 +136,6 @@ def fill_containers(items: DataFrame, capacity: int = CAPACITY, windows: int = W
             break
         left = merged.where("is_open").groupBy(F.col("into").alias("window")).agg(F.max("filled").alias("filled"), F.max("items").alias("items"), F.max("part").alias("part"))
         parts, round_no = -(-parts // fan_in), round_no + 1
-    return placed.where("doc_id is not null").join(moves, "window", "left").select(
+    return placed.where("piece_no is not null").join(moves, "window", "left").select(
         F.coalesce("into", "window").alias("container_id"), (F.col("place") + F.coalesce("base", F.lit(0))).alias("place"), "doc_id", "piece_no", "n_tokens"
     )

@@ -128,8 +128,25 @@ class SuffixAutomaton:
         return out
 
 
-def _fingerprints(documents: DataFrame, least: int) -> DataFrame:
-    """(doc_id, digest of the text, distinct anchors and a place of each) of texts that are long enough."""
+def _thinned(doc: np.ndarray, h: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """Which of the sorted anchors are needed: in text that repeats itself an equal anchor is left out if its neighbours are at most a window apart, so that every window still has one."""
+    keep = np.ones(len(doc), bool)
+    same = (doc[1:] == doc[:-1]) & (h[1:] == h[:-1])
+    last = -1
+    for i in np.flatnonzero(same):
+        if i == 0 or not same[i - 1]:
+            last = at[i]  # the first of its group
+            continue
+        # anchors i and i + 1 are equal, and so is an earlier one that was kept at last
+        if at[i + 1] - last <= window:
+            keep[i] = False
+        else:
+            last = at[i]
+    return keep
+
+
+def _fingerprints(documents: DataFrame, least: int, gram: int) -> DataFrame:
+    """(doc_id, digest of the text, anchors and their places) of texts that are long enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,12 +158,14 @@ def _fingerprints(documents: DataFrame, least: int) -> DataFrame:
             for k, p in enumerate(pieces):
                 some.append(p)
                 if k + 1 == len(pieces) or sum(len(x[2]) for x in some) + len(pieces[k + 1][2]) > CHUNK:
-                    h, piece, at = anchors([x[2] for x in some], least)
+                    h, piece, at = anchors([x[2] for x in some], least, gram)
                     found.append((np.array([x[0] for x in some], np.int64)[piece], h.view(np.int64), at + np.array([x[1] for x in some], np.int64)[piece]))
                     some = []
             doc, h, at = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
-            one = np.unique(np.stack([doc, h], 1), axis=0, return_index=True)[1] if len(doc) else np.zeros(0, np.int64)
-            doc, h, at = doc[one], h[one], at[one]  # sorted by document
+            order = np.lexsort((at, h, doc))
+            doc, h, at = doc[order], h[order], at[order]
+            keep = _thinned(doc, h, at, least - gram + 1)
+            doc, h, at = doc[keep], h[keep], at[keep]
             cuts = pa.array(np.searchsorted(doc, np.arange(len(ids) + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(cuts, pa.array(h)), pa.ListArray.from_arrays(cuts, pa.array(at.astype(np.int32)))], names=["doc_id", "digest", "hashes", "places"]
@@ -212,17 +231,19 @@ def shared_spans(documents: DataFrame, least: int = LEAST, both: bool = False) -
     matches (ref, doc_id, span_starts, span_ends): of two documents that stand for their texts, ref < doc_id, that doc_id
     shares spans of at least `least` characters with ref; with both, also the other way round and with all maximal
     spans instead of a first one. classes (rep, doc_id): the documents with the same text, rep being the smallest id.
-    Null and shorter texts share nothing. Stages three tables.
+    Null and shorter texts share nothing, rows without doc_id are left out. Stages four tables.
     """
     gram = min(GRAM, max(4, least // 2))
-    prints = staged(_fingerprints(documents, least), "prints")
+    documents = documents.where("doc_id is not null")
+    prints = staged(_fingerprints(documents, least, gram), "prints")
     classes = prints.select("doc_id", "digest", F.min("doc_id").over(_by("digest")).alias("rep")).select("rep", "doc_id")
     own = prints.join(prints.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "doc_id", "left_semi")
     places = own.select("doc_id", F.explode(F.arrays_zip("hashes", "places")).alias("a")).select("doc_id", F.col("a.hashes").alias("anchor"), F.col("a.places").alias("place"))
-    common = places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    common = places.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     near = staged(places.join(common, "anchor"), "near")
     regions = staged(_regions(near.groupBy("doc_id").agg(F.collect_list("place").alias("places")), documents, least, gram), "regions")
-    a, b = near.select("anchor", F.col("doc_id").alias("ref")), near.select("anchor", "doc_id")
+    held = near.select("anchor", "doc_id").distinct()
+    a, b = held.withColumnRenamed("doc_id", "ref"), held
     pairs = a.join(b, "anchor").where("ref <> doc_id" if both else "ref < doc_id").select("ref", "doc_id").distinct()
     shares = pairs.groupBy("ref").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
     pairs = pairs.join(shares, "ref").select("ref", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("shares")).alias("share"))

@@ -19,7 +19,6 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sedimark.runtime import staged
 
@@ -77,7 +76,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal made, docs, lengths, numbers, words
         key, n = (part << 32) | made, len(words)
         flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((key, None, None, pack.compress(np.array(docs, np.int64).tobytes()), pack.compress(np.array(lengths, np.int32).tobytes()), pack.compress(flat.tobytes())), kinds)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((key, None, None, pack.compress(np.array([d or 0 for d in docs], np.int64).tobytes() + bytes(d is None for d in docs)), pack.compress(np.array(lengths, np.int32).tobytes()), pack.compress(flat.tobytes())), kinds)], names=names)
         nothing = pa.nulls(n, pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.arange(n, dtype=np.int32)), pa.array([w.encode() for w in words], pa.binary()), nothing, nothing, nothing], names=names)
         made += 1
@@ -126,7 +125,9 @@ def _place(lengths_only: bool):
         size = np.array([len(x) // 4 for x in ids], np.int64)
         table, starts = np.frombuffer(b"".join(ids), np.int32), np.concatenate([[0], np.cumsum(size)])
         for d, n, w in zip(*(blocks.column(c).to_pylist() for c in ("docs", "lengths", "numbers"))):
-            docs, lengths, numbers = unpack(d, np.int64), unpack(n, np.int32), unpack(w, np.int32)
+            lengths, numbers = unpack(n, np.int32), unpack(w, np.int32)
+            known, none = np.split(unpack(d, np.uint8), [8 * len(lengths)])
+            docs = pa.array(known.view(np.int64), mask=none.astype(bool))
             each = size[numbers]
             done = np.concatenate([[0], np.cumsum(each)])
             cuts = done[np.concatenate([[0], np.cumsum(lengths)])]
@@ -144,7 +145,7 @@ def _place(lengths_only: bool):
 def encode_corpus(documents: DataFrame, path: str | None = None, lengths_only: bool = False) -> DataFrame:
     """(doc_id, ids array<int>) of documents(doc_id, text), or (doc_id, n_tokens) with lengths_only.
 
-    Null and empty texts give an empty list. Without special tokens: their strings are ordinary text. Blocks are staged
+    Null and empty texts give an empty list; a null doc_id stays null. Without special tokens: their strings are ordinary text. Blocks are staged
     once, so texts are cut once; a block is at most about BLOCK characters or one text.
     """
     path = path or vocabulary_path()
@@ -157,12 +158,26 @@ def encode_corpus(documents: DataFrame, path: str | None = None, lengths_only: b
 
 
 def decode_corpus(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, text) of encoded(doc_id, ids): ids joined with the token-byte table by place.
+    """(doc_id, text) of encoded(doc_id, ids): each id joined with its row of the token-byte table.
 
-    The table has a fixed size (one row per id of the vocabulary), so it is broadcast. Empty lists give empty texts.
+    The table has a fixed size (one row per id of the vocabulary), so every task holds it and nothing is shuffled.
+    Empty and null lists give empty texts; bytes that aren't UTF-8 become the replacement character, unknown ids nothing.
     """
-    spark = encoded.sparkSession
-    table = spark.createDataFrame(list(token_bytes(path or vocabulary_path()).items()), "id int, bytes binary")
-    one = encoded.select("doc_id", F.posexplode_outer("ids").alias("place", "id")).join(F.broadcast(table), "id", "left")
-    joined = one.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", F.hex("bytes").alias("bytes")))).alias("b"))
-    return joined.select("doc_id", F.coalesce(F.decode(F.unhex(F.array_join("b.bytes", "")), "UTF-8"), F.lit("")).alias("text"))
+    table = token_bytes(path or vocabulary_path())
+    size = np.zeros(max(table) + 1, np.int64)
+    for i, b in table.items():
+        size[i] = len(b)
+    flat, starts = np.frombuffer(b"".join(table.get(i, b"") for i in range(len(size))), np.uint8), np.concatenate([[0], np.cumsum(size)[:-1]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for ids in b.column(1):
+                i = np.asarray(ids.values.to_numpy(zero_copy_only=False) if ids.is_valid else [], np.int64)
+                i = i[(i >= 0) & (i < len(size))]
+                n = size[i]
+                at = np.arange(n.sum()) + np.repeat(starts[i] - (np.cumsum(n) - n), n)
+                texts.append(flat[at].tobytes().decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
