@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sedimark.functions.text import grams, jaccard, normalized, query_terms, rounded, terms
 from sedimark.operators.ordered import positions
+from sedimark.runtime import staged
 
 # fixed values: weights of relation types and of fused lists, and constants of the scorers
 RELATION_WEIGHTS = {"contradicts": 1.0, "supersedes": 0.95, "supports": 0.9, "derived_from": 0.8, "authorized_by": 0.8, "governed_by": 0.8, "produced": 0.65, "changed": 0.65, "affects": 0.55, "references": 0.5}
@@ -123,8 +124,15 @@ def authority(events: DataFrame, scopes: list[str]) -> DataFrame:
 
 def ranked(rows: DataFrame) -> DataFrame:
     """(eid, ts, score, rank) by score, then later time, then id. Numbered over range partitions; stages."""
-    keyed = rows.select("eid", "ts", "score", F.lit("").alias("_k"), (-F.col("score")).alias("_s"), (-F.coalesce("ts", F.lit(-(2**62)))).alias("_t"))
-    return positions(keyed, "_k", ["_s", "_t", "eid"], []).select("eid", "ts", "score", F.col("row_no").alias("rank"))
+    return ranked_lists({"": rows})[""]
+
+
+def ranked_lists(lists: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Each list ranked apart, all in one pass over range partitions; stages once."""
+    keyed = reduce(DataFrame.unionByName, [df.select("eid", "ts", "score", F.lit(n).alias("_k"), (-F.col("score")).alias("_s"), (-F.coalesce("ts", F.lit(-(2**62)))).alias("_t")) for n, df in lists.items()])
+    # written before it is sampled for ranges, or everything would be scored twice
+    placed = positions(staged(keyed, "scored"), "_k", ["_s", "_t", "eid"], []).select("_k", "eid", "ts", "score", F.col("row_no").alias("rank"))
+    return {n: placed.where(F.col("_k") == n).drop("_k") for n in lists}
 
 
 def reciprocal_rank_fusion(lists: dict[str, DataFrame]) -> DataFrame:

@@ -26,7 +26,8 @@ def similar_classes(docs: DataFrame, threshold: float = 0.85, n: int = 5, audit:
     from rare to frequent), so frequent shingles give no candidates; no partner is lost. Stages.
     """
     own = docs.select("doc_id", (audit_text(F.col("text")) if audit else normalized(F.col("text"), 1 << 30)).alias("t"))
-    keyed = own.select("doc_id", "t", F.sha2("t", 256).alias("key"))
+    # written once: the text expressions are the dearest part and three branches need them
+    keyed = staged(own.select("doc_id", "t", F.sha2("t", 256).alias("key")), "audited")
     reps = keyed.groupBy("key").agg(F.min("doc_id").alias("class_id"))
     texts = keyed.join(reps.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.transform(shingles(F.col("t"), n), lambda s: F.xxhash64(s)).alias("s")).where("size(s) > 0")
     rows = staged(texts.select("doc_id", F.size("s").alias("n"), F.explode("s").alias("h")), "shingles")
@@ -43,4 +44,4 @@ def similar_classes(docs: DataFrame, threshold: float = 0.85, n: int = 5, audit:
     both = F.size(F.array_intersect("ha", "hb"))
     links = full.where(both / (F.col("na") + F.col("nb") - both) >= threshold).select("a", "b")
     counts = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    return keyed.join(reps, "key").join(counts, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return keyed.drop("t").join(reps, "key").join(counts, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))

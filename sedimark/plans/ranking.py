@@ -125,12 +125,14 @@ def _lists(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame
         "fuzzy": R.fuzzy(eligible, _text(), QUERY).select("eid", "ts", "score"),
         "fts": R.fielded(eligible, _Q).select("eid", "ts", "score"),
     }
-    ranks = {n: R.ranked(s) for n, s in scored.items()}
+    # the ranked lists are written; from here on nothing is scored again
+    ranks = R.ranked_lists(scored)
+    scored = {n: r.select("eid", "ts", "score") for n, r in ranks.items()}
     seeds = scored["bm25"].union(scored["fuzzy"]).union(ranks["fts"].select("eid", "ts", 1 / F.col("rank"))).groupBy("eid").agg(F.max("ts").alias("ts"), R.rounded(F.sum("score")).alias("score"))
     ed = edges(spark, d)
     graph = R.one_hop(seeds, ed, eligible).join(eligible.select("eid", "ts"), "eid").select("eid", "ts", "score")
     mine = R.authority(eligible.join(seeds.select("eid"), "eid", "left_semi"), SCOPES).select("eid", "ts", "score")
-    return ranks | {"graph": R.ranked(graph), "authority": R.ranked(mine)}, eligible, ed
+    return ranks | R.ranked_lists({"graph": graph, "authority": mine}), eligible, ed
 
 
 def graph_one_hop(spark: SparkSession, d: str) -> DataFrame:
