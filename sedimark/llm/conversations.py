@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sedimark.functions.identity import canonical_id, has_text, hook_name, outer_trim
 from sedimark.llm.components import connected_components
 from sedimark.operators.ordered import positions
+from sedimark.runtime import staged
 
 #: Edges of events that quote or answer another event.
 QUOTES = ("derived_from", "references")
@@ -64,7 +65,8 @@ def whole_conversations(messages: DataFrame, links: DataFrame) -> DataFrame:
     found = connected_components(lacking.select("node"), links)
     joined = lacking.drop("conversation").join(found, "node").withColumn("conversation", F.concat(F.lit("component:"), F.col("component").cast("string"))).drop("component")
     every = messages.where("conversation is not null").withColumn("identified", F.lit(True)).unionByName(joined.withColumn("identified", F.lit(False)))
-    every = every.withColumn("complete", F.col("prompt").isNotNull() & F.col("at").isNotNull() & has_text(F.col("text")))
+    # written once: numbering samples its input before it sorts it, and the texts are joined back
+    every = staged(every.withColumn("complete", F.col("prompt").isNotNull() & F.col("at").isNotNull() & has_text(F.col("text"))), "messages")
     thread = every.select("conversation", "node", "speaker", "prompt", "complete", "at", (F.col("speaker") == "assistant").alias("later"))
     placed = positions(thread, "conversation", ["at", "prompt", "later", "node"], ["speaker", "prompt"])
     odd = F.col("row_no") % 2 == 1
