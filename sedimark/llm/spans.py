@@ -236,8 +236,9 @@ def shared_spans(documents: DataFrame, least: int = LEAST, both: bool = False) -
     gram = min(GRAM, max(4, least // 2))
     documents = documents.where("doc_id is not null")
     prints = staged(_fingerprints(documents, least, gram), "prints")
-    classes = prints.select("doc_id", "digest", F.min("doc_id").over(_by("digest")).alias("rep")).select("rep", "doc_id")
-    own = prints.join(prints.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "doc_id", "left_semi")
+    reps = prints.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    classes = prints.select("doc_id", "digest").join(reps, "digest").select("rep", "doc_id")
+    own = prints.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     places = own.select("doc_id", F.explode(F.arrays_zip("hashes", "places")).alias("a")).select("doc_id", F.col("a.hashes").alias("anchor"), F.col("a.places").alias("place"))
     common = places.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     near = staged(places.join(common, "anchor"), "near")
