@@ -47,15 +47,25 @@ class SeenRanges:
         return True
 
 
+_NUMBERED = "message_key string, producer string, block long, number long, repeated boolean"
+
+
+def _combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Before the shuffle: each number of a batch once, so that an identifier that most rows carry costs one row a batch."""
+    for b in batches:
+        twice = b["message_key"].duplicated(keep=False)
+        yield b.assign(repeated=twice).drop_duplicates("message_key")
+
+
 def _repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of rows clustered by producer and block: the keys whose number was covered already."""
     at, seen = None, SeenRanges()
     for b in batches:
         hit = []
-        for i, (producer, block, number) in enumerate(zip(b["producer"], b["block"], b["number"])):
+        for i, (producer, block, number, repeated) in enumerate(zip(b["producer"], b["block"], b["number"], b["repeated"])):
             if (producer, block) != at:
                 at, seen = (producer, block), SeenRanges()
-            if not seen.accept(number):
+            if not seen.accept(number) or repeated:
                 hit.append(i)
         if hit:
             yield b.iloc[hit][["message_key"]]
@@ -73,7 +83,7 @@ def repeated_members(rows: DataFrame) -> DataFrame:
         # the width and the prefix belong to the producer, so that call_1 and call_0001 differ
         F.concat_ws("\x1f", "producer", F.regexp_extract("ident", r"^([a-z]{1,12}[_-])\d", 1), F.length(number).cast("string")).alias("producer"),
         number.cast("long").alias("number"),
-    ).withColumn("block", F.floor(F.col("number") / BLOCK).cast("long"))
+    ).select("message_key", "producer", F.floor(F.col("number") / BLOCK).cast("long").alias("block"), "number").mapInPandas(_combined, _NUMBERED)
     by_range = numbered.repartition("producer", "block").sortWithinPartitions("producer", "block").mapInPandas(_repeats, "message_key string")
     by_lookup = keyed.where(number == "").groupBy("message_key").count().where("count > 1").select("message_key")
     return keyed.join(by_range.union(by_lookup).distinct(), "message_key", "left_semi")
