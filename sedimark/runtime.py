@@ -53,11 +53,17 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and returns the written table: lineage ends there and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sedimark/{uuid.uuid4().hex}-{label}"
+    path = f"{shared_dir(spark)}/sedimark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{label}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes what this application has staged. Results that read staged tables must have been written before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/sedimark/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder. Timestamps without a zone are taken as UTC."""
     df = send_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
