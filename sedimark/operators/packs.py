@@ -136,15 +136,15 @@ def fill(items: list[dict], max_chars: int, header: dict | None = None) -> dict:
     return pack | {"manifest": digest({"header": pack["header"], "items": pack["items"]})}
 
 
-def gate(status: str, decision: str, minimum_coverage: str = "any", minimum_evidence: str = "any") -> None:
+def gate(status: str, state: str, minimum_coverage: str = "any", minimum_evidence: str = "any") -> None:
     """Raises if the coverage or then the evidence of a query is below what is asked (any, partial, direct)."""
     order = {"any": 0, "partial": 1, "direct": 2}
     have = {"direct": 2, "partial": 1}.get(status, 0)
     if have < order[minimum_coverage]:
         raise LookupError(f"coverage is {status}, {minimum_coverage} is asked")
-    have = {"ACCEPT_DIRECT": 2, "ABSTAIN_PARTIAL": 1}.get(decision, 0)
+    have = {"DIRECTLY_SUPPORTED": 2, "PARTIALLY_SUPPORTED": 1}.get(state, 0)
     if have < order[minimum_evidence]:
-        raise LookupError(f"evidence is {decision}, {minimum_evidence} is asked")
+        raise LookupError(f"evidence is {state}, {minimum_evidence} is asked")
 
 
 def inline(text: str, limit: int = 512) -> str:

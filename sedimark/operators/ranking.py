@@ -181,20 +181,50 @@ def coverage(rows: DataFrame, query: list[str], any_candidate: DataFrame) -> Dat
 CONFIDENCE = {"verified": 1.0, "claimed": 0.8, "extracted": 0.7, "inferred": 0.5}
 
 
-def sufficiency(rows: DataFrame, query: list[str]) -> DataFrame:
-    """One row: ratio, support, confidence, score, decision and reason of how well the rows answer the query (without code entities).
-
-    score = .65 ratio + .15 min(1, support / 2) + .2 confidence of the best row (most terms, then first stored);
-    support counts the rows with a fifth of the terms.
+def code_entities(query: str) -> list[str]:
+    """Terms of what a query names in code: spans between back-ticks, paths and dotted identifiers; at most 64."""
+    import regex
+
+    text = query[:8192]
+    named = [x for x in regex.findall(r"`([^`]+)`", text) if len(x) <= 256]
+    for word in regex.split(r"[^\p{L}\p{N}_./-]+", text):
+        if "/" in word:
+            if len(word) <= 1024 and all(regex.fullmatch(r"[\p{L}\p{N}_.-]{1,256}", x) for x in word.split("/")):
+                named.append(word)
+        elif "." in word and len(word) <= 1024 and all(regex.fullmatch(r"[\p{L}_][\p{L}\p{N}_]{0,255}", x) for x in word.split(".")):
+            named.append(word)
+    return query_terms(" ".join(named))[:64]
+
+
+def sufficiency(rows: DataFrame, n_terms: int, n_entities: int = 0, candidates: DataFrame | None = None) -> DataFrame:
+    """One row: how well the rows answer the query. rows have tf_<i> of the query's terms, then of its code entities.
+
+    score = .65 ratio + .15 min(1, support / 2) + .2 confidence, or with entities .45 ratio + .3 entity coverage
+    + .1 min(1, support / 2) + .15 confidence, of the best row: most terms, then most entities, then first stored.
+    support counts the rows with a fifth of the terms or any entity. candidates are the rows that a lexical or fuzzy
+    scorer found (by default those with a term); without any the evidence can't be partial.
     """
-    n = max(1, len(query))
-    ratio = _sum([(F.col(f"tf_{i}") > 0).cast("int") for i in range(len(query))]) / float(n) if query else F.lit(0.0)
+    if n_terms == 0:
+        none = rows.sparkSession.range(1)
+        return none.select(F.lit(0.0).alias("ratio"), F.lit(0).cast("long").alias("support"), F.lit(0).alias("entities"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("score"), F.lit("INSUFFICIENT_EVIDENCE").alias("state"), F.lit("ABSTAIN").alias("decision"), F.lit("NO_QUERY").alias("reasons"))
+    hit = [(F.col(f"tf_{i}") > 0).cast("int") for i in range(n_terms + n_entities)]
     conf = F
     for k, v in CONFIDENCE.items():
         conf = conf.when(F.col("confidence") == k, v)
-    own = rows.select(ratio.alias("ratio"), conf.otherwise(0.5).alias("conf"), "seq")
-    a = own.agg(F.coalesce(F.max("ratio"), F.lit(0.0)).alias("ratio"), F.count_if(F.col("ratio") >= 0.2).alias("support"), F.max_by("conf", F.struct("ratio", -F.col("seq"))).alias("conf"))
-    c = F.when(F.col("ratio") > 0, F.col("conf")).otherwise(0.0)
-    score = rounded(0.65 * F.col("ratio") + 0.15 * F.least(F.lit(1.0), F.col("support") / 2.0) + 0.2 * c)
-    d = F.when(F.col("score") >= 0.65, "ACCEPT_DIRECT").when((F.col("score") >= 0.4) & (F.col("support") > 0), "ABSTAIN_PARTIAL").otherwise("ABSTAIN_INSUFFICIENT")
-    return a.withColumn("confidence", c).withColumn("score", score).select(rounded(F.col("ratio")).alias("ratio"), "support", "confidence", "score", d.alias("decision"))
+    own = rows.select((_sum(hit[:n_terms]) / float(n_terms)).alias("ratio"), (_sum(hit[n_terms:]) if n_entities else F.lit(0)).alias("ents"), conf.otherwise(0.5).alias("conf"), "seq")
+    best = F.max_by(F.struct("ratio", "ents", "conf"), F.struct("ratio", "ents", -F.col("seq")))
+    a = own.agg(best.alias("b"), F.count_if((F.col("ratio") >= 0.2) | (F.col("ents") > 0)).alias("support"))
+    found = rows.where(" or ".join(f"tf_{i} > 0" for i in range(n_terms))) if candidates is None else candidates
+    a = a.crossJoin(found.limit(1).agg((F.count("*") > 0).alias("there")))
+    ratio, ents = F.coalesce("b.ratio", F.lit(0.0)), F.coalesce("b.ents", F.lit(0))
+    a = a.select(ratio.alias("r"), ents.alias("entities"), F.when((ratio > 0) | (ents > 0), F.col("b.conf")).otherwise(0.0).alias("confidence"), "support", "there")
+    alone = F.least(F.lit(1.0), F.col("support") / 2.0)
+    raw = 0.45 * F.col("r") + 0.3 * (F.col("entities") / float(n_entities)) + 0.1 * alone + 0.15 * F.col("confidence") if n_entities else 0.65 * F.col("r") + 0.15 * alone + 0.2 * F.col("confidence")
+    state = F.when(F.col("score") >= 0.65, "DIRECTLY_SUPPORTED").when((F.col("score") >= 0.4) & F.col("there"), "PARTIALLY_SUPPORTED").otherwise("INSUFFICIENT_EVIDENCE")
+    direct, partial = F.col("state") == "DIRECTLY_SUPPORTED", F.col("state") == "PARTIALLY_SUPPORTED"
+    reasons = F.concat_ws(
+        ",", F.when(~F.col("there"), "NO_DIRECT_CANDIDATE"), F.when(F.col("r") < 0.2, "LOW_TERM_COVERAGE"), F.when((F.col("entities") == 0) & F.lit(n_entities > 0), "NO_CODE_ENTITY_MATCH"), F.when(F.col("support") < 2, "SINGLE_OR_NO_SUPPORT"),
+        F.when(direct, "CONSERVATIVE_DIRECT_THRESHOLD_MET").when(partial, "PARTIAL_EVIDENCE_ONLY").otherwise("INSUFFICIENT_THRESHOLD"), F.when(~direct, "ABSTAIN"),
+    )
+    out = a.withColumn("score", rounded(raw)).withColumn("state", state)
+    return out.select(rounded(F.col("r")).alias("ratio"), "support", "entities", "confidence", "score", "state", F.when(direct, "ACCEPT_DIRECT").otherwise("ABSTAIN").alias("decision"), reasons.alias("reasons"))

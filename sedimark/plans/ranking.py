@@ -181,7 +181,7 @@ def coverage_status(spark: SparkSession, d: str) -> DataFrame:
 
 def evidence_sufficiency(spark: SparkSession, d: str) -> DataFrame:
     """How well the admitted events answer the query."""
-    return R.sufficiency(_counted(_eligible(spark, d)), _Q)
+    return R.sufficiency(_counted(_eligible(spark, d)), len(_Q))
 
 
 def federated_packs(spark: SparkSession, d: str) -> DataFrame:
@@ -310,8 +310,10 @@ def oracle() -> dict[str, str]:
         "coverage_status": ev + f"{_EL}, {_counted_sql('el')}, m as (select coalesce(max({matched}), 0) m from ct) select case when m = 0 then 'none' when m = {len(_Q)} then 'direct' else 'partial' end status, m::int matched_terms, {len(_Q)}::int query_terms from m",
         "evidence_sufficiency": ev + f"""{_EL}, {_counted_sql('el')}, o as (select ({matched}) / {n}::double ratio, {conf} conf, seq from ct),
  a as (select max(ratio) ratio, count(*) filter (ratio >= 0.2) support, (select conf from o order by ratio desc, seq limit 1) conf from o),
- s as (select *, case when ratio > 0 then conf else 0.0::double end confidence from a), z as (select *, {_R6.format('0.65::double * ratio + 0.15::double * least(1.0::double, support / 2.0::double) + 0.2::double * confidence')} score from s)
- select {_R6.format('ratio')} ratio, support, confidence, score, case when score >= 0.65 then 'ACCEPT_DIRECT' when score >= 0.4 and support > 0 then 'ABSTAIN_PARTIAL' else 'ABSTAIN_INSUFFICIENT' end decision from z""",
+ s as (select *, case when ratio > 0 then conf else 0.0::double end confidence from a), z as (select *, {_R6.format('0.65::double * ratio + 0.15::double * least(1.0::double, support / 2.0::double) + 0.2::double * confidence')} score from s),
+ y as (select *, case when score >= 0.65 then 'DIRECTLY_SUPPORTED' when score >= 0.4 and ratio > 0 then 'PARTIALLY_SUPPORTED' else 'INSUFFICIENT_EVIDENCE' end state from z)
+ select {_R6.format('ratio')} ratio, support, 0::int entities, confidence, score, state, case when state = 'DIRECTLY_SUPPORTED' then 'ACCEPT_DIRECT' else 'ABSTAIN' end decision,
+  concat_ws(',', case when ratio = 0 then 'NO_DIRECT_CANDIDATE' end, case when ratio < 0.2 then 'LOW_TERM_COVERAGE' end, case when support < 2 then 'SINGLE_OR_NO_SUPPORT' end, case state when 'DIRECTLY_SUPPORTED' then 'CONSERVATIVE_DIRECT_THRESHOLD_MET' when 'PARTIALLY_SUPPORTED' then 'PARTIAL_EVIDENCE_ONLY' else 'INSUFFICIENT_THRESHOLD' end, case when state <> 'DIRECTLY_SUPPORTED' then 'ABSTAIN' end) reasons from y""",
         "federated_packs": ev + f"{_counted_sql('ev')}, {_stats_sql('ct')}, s as (select repo, eid, ts, {_bm25_sql(True)} score from ct, st where repo is not null) select repo, row_number() over (partition by repo order by score desc, ts desc nulls last, eid)::int rank, eid, score from s where score > 0 qualify rank <= 3",
         "semantic_rerank": "with q as (select embedding q from embeddings order by vec_id limit 1) select vec_id, " + _R6.format("(list_dot_product(embedding::double[], q::double[]) / sqrt(list_dot_product(embedding::double[], embedding::double[]) * list_dot_product(q::double[], q::double[])) + 1) / 2") + " score from embeddings, q",
     }

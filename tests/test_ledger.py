@@ -71,9 +71,14 @@ def test_conflicts_once_and_not_with_oneself(spark):
 def test_sufficiency(spark):
     ev = ledger(spark, event(1, "alpha beta gamma", "delta epsilon"))
     text = F.concat_ws("\n", "title", "body")
-    for q, want in (("alpha beta gamma", "ACCEPT_DIRECT"), ("alpha beta gamma one two three four five", "ABSTAIN_PARTIAL"), ("nothing here at all", "ABSTAIN_INSUFFICIENT")):
+    for q, want in (("alpha beta gamma", "DIRECTLY_SUPPORTED"), ("alpha beta gamma one two three four five", "PARTIALLY_SUPPORTED"), ("nothing here at all", "INSUFFICIENT_EVIDENCE")):
         t = query_terms(q)
-        assert R.sufficiency(R.counted(ev, text, t), t).first().decision == want
+        assert R.sufficiency(R.counted(ev, text, t), len(t)).first().state == want
+    e = R.code_entities("where is `alpha` in src/a.b or delta.epsilon, not 1.2")
+    assert e == ["alpha", "delta", "epsilon", "src"]
+    row = R.sufficiency(R.counted(ev, text, ["alpha", "beta", *e]), 2, len(e)).first()
+    assert row.entities == 3 and row.score == pytest.approx(0.45 + 0.3 * 0.75 + 0.05 + 0.15) and "SINGLE_OR_NO_SUPPORT" in row.reasons
+    assert R.sufficiency(R.counted(ev, text, []), 0).first().reasons == "NO_QUERY" and R.sufficiency(R.counted(ledger(spark), text, ["alpha"]), 1).first().score == 0.0
 
 
 def test_bm25_title_boost_and_empty_ledger(spark):

@@ -91,7 +91,7 @@ def test_pack_fits_and_counts_itself():
     assert packs.fill(items, 3000, {"query": "q"}) == pack and packs.fill([], 100)["items"] == []
     assert "## 1. t0" in packs.markdown(pack) and len(packs.capsule(items[0] | {"body": "y" * 9000}, pack)) <= 4096
     with pytest.raises(LookupError):
-        packs.gate("partial", "ACCEPT_DIRECT", "direct")
+        packs.gate("partial", "DIRECTLY_SUPPORTED", "direct")
 
 
 def test_diverse_prefers_what_is_new(spark):
