@@ -169,11 +169,18 @@ def capsule(summary: dict, pack: dict, limit: int = 4096) -> str:
     return head + (body if len(body) <= room else body[: max(0, room - 3)] + "...") + tail
 
 
-FOCUS = {  # fixed values: words that a task profile adds to its query
-    "bugfix": "failure regression root cause fix", "feature": "requirement decision constraint interface", "review": "decision rationale risk convention", "refactor": "architecture dependency constraint migration", "incident": "incident timeline mitigation root cause", "onboarding": "overview architecture convention decision", "release": "release change risk approval",
+# fixed values: words that a task's profile adds to its query
+FOCUS = {
+    "debugging": "failure error reproduction regression logs traces recent changes",
+    "code-review": "design decision changed files policy security tests approval",
+    "feature-implementation": "requirements architecture decision affected files interfaces tests",
+    "database-migration": "schema migration rollback compatibility data integrity approval",
+    "incident-response": "incident impact timeline mitigation evidence owner rollback",
+    "release-preparation": "release version checks approval migration documentation rollback",
+    "security-review": "threat boundary credential authorization policy dependency vulnerability evidence",
 }
 
 
 def task_query(task: str, query: str) -> str:
-    """The query of a task with its profile's focus words."""
-    return f"{query} {FOCUS[task]}"
+    """The query of a task with its profile's focus words; its pack asks for partial coverage unless told otherwise."""
+    return f"{query.strip()} {FOCUS[task]}".strip()

@@ -88,8 +88,8 @@ def verify_chain(rows: DataFrame, key: str) -> DataFrame:
 
 
 def size_class(n: Column) -> Column:
-    """Coarse size of a number of bytes."""
-    return F.when(n.isNull() | (n == 0), "empty").when(n <= 64, "tiny").when(n <= 1024, "small").when(n <= 16384, "medium").when(n <= 65536, "large").otherwise("huge")
+    """Coarse size of a number of bytes; none for null."""
+    return F.when(n.isNull(), "none").when(n == 0, "empty").when(n <= 64, "tiny").when(n <= 1024, "small").when(n <= 16384, "medium").when(n <= 65536, "large").otherwise("very_large")
 
 
 # fixed values: shapes of secrets; the last takes a private key up to its end or, if that is missing, to the text's
@@ -103,7 +103,10 @@ def without_secrets(c: Column, mark: str = "[REDACTED]") -> Column:
 
 
 # fixed values: file endings by language
-LANGUAGES = {"javascript": "cjs js jsx mjs", "typescript": "cts mts ts tsx", "markdown": "md mdx", "python": "py", "json": "json", "yaml": "yaml yml", "sql": "sql", "rust": "rs", "go": "go", "java": "java", "shell": "sh", "css": "css", "html": "html", "toml": "toml"}
+LANGUAGES = {
+    "javascript": "cjs js jsx mjs", "typescript": "ts tsx", "markdown": "md", "json": "json", "jsonc": "jsonc", "python": "py", "rust": "rs", "java": "java", "kotlin": "kt", "ruby": "rb", "css": "css", "html": "html", "svelte": "svelte", "vue": "vue",
+    "yaml": "yaml yml", "toml": "toml", "sql": "sql", "xml": "xml", "shell": "sh",
+}
 
 
 def language(path: Column) -> Column:

@@ -17,7 +17,7 @@ from sedimark.runtime import table
 SPLIT = "2025-08-01 00:00:00"
 BUDGET = 2000
 # fixed values: what a host's lifecycle hook is in the ledger
-HOOK_KINDS = {"sessionstart": ("session.started", "system"), "userpromptsubmit": ("prompt.submitted", "human"), "pretooluse": ("tool.requested", "agent"), "permissionrequest": ("approval", "system"), "posttooluse": ("tool.completed", "tool"), "posttoolusefailure": ("tool.completed", "tool"), "permissiondenied": ("approval", "system"), "precompact": ("compaction.started", "system"), "postcompact": ("compaction.completed", "system"), "stop": ("turn.completed", "agent"), "stopfailure": ("turn.completed", "agent"), "subagentstart": ("session.started", "agent"), "subagentstop": ("turn.completed", "agent"), "sessionend": ("session.completed", "system")}
+HOOK_KINDS = {"sessionstart": ("session.started", "system"), "userpromptsubmit": ("prompt.submitted", "human"), "pretooluse": ("tool.requested", "agent"), "permissionrequest": ("approval", "system"), "posttooluse": ("tool.completed", "tool"), "posttoolusefailure": ("tool.completed", "tool"), "permissiondenied": ("approval", "system"), "precompact": ("compaction.started", "system"), "postcompact": ("compaction.completed", "system"), "stop": ("turn.completed", "agent"), "stopfailure": ("turn.completed", "system"), "subagentstart": ("session.started", "agent"), "subagentstop": ("turn.completed", "agent"), "sessionend": ("turn.completed", "system")}
 
 
 def edge_coalesce(spark: SparkSession, d: str) -> DataFrame:
@@ -171,15 +171,18 @@ def hook_events(spark: SparkSession, d: str) -> DataFrame:
     name = hook_name(F.col("hook_event_name"))
     pick = lambda i: F.coalesce(*[F.when(name == k, F.lit(v[i])) for k, v in HOOK_KINDS.items()])
     s, p, t = canonical_id(F.col("session_id")), canonical_id(F.col("prompt_id")), canonical_id(F.col("tool_use_id"))
-    hexed = F.sha2(F.concat_ws("\x1f", F.coalesce(s, F.lit("")), name, F.coalesce(p, F.lit("")), F.coalesce(t, F.lit(""))), 256)
+    # what stays the same when the message comes again; without it the event has no id of its own
+    agent = F.when(F.startswith(name, F.lit("subagent")), F.col("agent_id"))
+    stable = F.coalesce(F.concat(F.lit("tool:"), t), F.concat(F.lit("agent:"), agent), F.when(name.isin("userpromptsubmit", "stop"), F.concat(F.lit("prompt:"), p)))
+    hexed = F.sha2(F.concat(F.coalesce(s, F.lit("")), F.lit("|"), name, F.lit("|"), stable), 256)
     uuid = F.concat_ws("-", F.substring(hexed, 1, 8), F.substring(hexed, 9, 4), F.concat(F.lit("4"), F.substring(hexed, 14, 3)), F.concat(F.lit("8"), F.substring(hexed, 18, 3)), F.substring(hexed, 21, 12))
     relations = F.concat_ws(",", F.when(s.isNotNull(), F.concat(F.lit("session:"), s)), F.when(p.isNotNull(), F.concat(F.lit("turn:"), p)), F.when(t.isNotNull(), F.concat(F.lit("toolcall:"), t)))
-    return table(spark, d, "claude_hooks").where(pick(0).isNotNull()).select("hook_id", pick(0).alias("kind"), pick(1).alias("actor_type"), F.concat(F.lit("evt_"), uuid).alias("event_id"), relations.alias("relations"))
+    return table(spark, d, "claude_hooks").where(pick(0).isNotNull()).select("hook_id", pick(0).alias("kind"), pick(1).alias("actor_type"), F.when(stable.isNotNull(), F.concat(F.lit("evt_"), uuid)).alias("event_id"), relations.alias("relations"))
 
 
 def okf_log(spark: SparkSession, d: str) -> DataFrame:
     """Log of an export: events of each day and a digest over their paths and contents in order."""
-    rows = events(spark, d).where("ts is not null").select(F.date_format(F.timestamp_millis("ts"), "yyyy-MM-dd").alias("day"), F.concat(F.lit("events/"), F.col("eid"), F.lit(".md")).alias("path"), F.sha2(F.concat_ws("\n", "title", "body"), 256).alias("hash"))
+    rows = events(spark, d).where("ts is not null").select(F.date_from_unix_date(F.floor(F.col("ts") / 86_400_000).cast("int")).cast("string").alias("day"), F.concat(F.lit("events/"), F.col("eid"), F.lit(".md")).alias("path"), F.sha2(F.concat_ws("\n", "title", "body"), 256).alias("hash"))
     return rows.groupBy("day").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "path", "hash"))), "\n"), 256).alias("digest"))
 
 
@@ -251,12 +254,12 @@ def oracle() -> dict[str, str]:
  select l.repository_id, count(*) n_rows, count(*) filter (previous is null) roots, count(*) filter (previous is not null and h.hash is null) orphans, coalesce(any_value(forks), 0) forks from l left join h on h.repository_id = l.repository_id and h.hash = l.previous left join f on f.repository_id = l.repository_id group by 1""",
         "idempotency_conflicts": f"select {canonical_sql('event_id')} eid, count(*) deliveries, count(distinct {canonical_sql('event_hash')}) contents from ledger_events where {canonical_sql('event_id')} is not null group by 1 having count(*) > 1",
         "redact_secrets": ev + f"x as (select eid, {secrets} t from ev where body is not null) select eid, sha256(t) digest, length(t)::int n_chars from x",
-        "size_class": ev + "x as (select kind, strlen(body) n from ev) select kind, case when n is null or n = 0 then 'empty' when n <= 64 then 'tiny' when n <= 1024 then 'small' when n <= 16384 then 'medium' when n <= 65536 then 'large' else 'huge' end size_class, count(*) n, sum(coalesce(n, 0))::bigint bytes from x group by 1, 2",
+        "size_class": ev + "x as (select kind, strlen(body) n from ev) select kind, case when n is null then 'none' when n = 0 then 'empty' when n <= 64 then 'tiny' when n <= 1024 then 'small' when n <= 16384 then 'medium' when n <= 65536 then 'large' else 'very_large' end size_class, count(*) n, sum(coalesce(n, 0))::bigint bytes from x group by 1, 2",
         "token_estimate": ev + f"x as (select repo, {tok} t from ev) select repo, count(*) n, sum(t)::bigint tokens from x group by 1",
         "byte_offsets": "with s as (select row_id, batch_id, strlen(coalesce(body, ''))::bigint + 1 size from ledger_events) select row_id, batch_id, coalesce(sum(size) over (partition by batch_id order by row_id rows between unbounded preceding and 1 preceding), 0)::bigint \"offset\", size from s",
         "id_buckets": ev + "x as (select substr(sha256(eid), 1, 2) bucket from ev) select bucket, count(*) n from x group by 1",
         "budget_prefix": ev + f"{_EL}, t as (select repo, eid, ts, {tok} tokens from el where repo is not null), u as (select repo, eid, tokens, sum(tokens) over (partition by repo order by ts desc nulls last, eid rows unbounded preceding)::bigint used from t) select * from u where used <= {BUDGET}",
-        "hook_events": f"""with h as (select hook_id, {kinds(0)} kind, {kinds(1)} actor_type, {s} s, {p} p, {t} t, sha256(coalesce({s}, '') || chr(31) || {name} || chr(31) || coalesce({p}, '') || chr(31) || coalesce({t}, '')) x from claude_hooks)
+        "hook_events": f"""with h as (select hook_id, {kinds(0)} kind, {kinds(1)} actor_type, {s} s, {p} p, {t} t, sha256(coalesce({s}, '') || '|' || {name} || '|' || coalesce('tool:' || {t}, case when starts_with({name}, 'subagent') then 'agent:' || agent_id end, case when {name} in ('userpromptsubmit', 'stop') then 'prompt:' || {p} end)) x from claude_hooks)
  select hook_id, kind, actor_type, 'evt_' || substr(x, 1, 8) || '-' || substr(x, 9, 4) || '-4' || substr(x, 14, 3) || '-8' || substr(x, 18, 3) || '-' || substr(x, 21, 12) event_id, concat_ws(',', 'session:' || s, 'turn:' || p, 'toolcall:' || t) relations from h where kind is not null""",
         "okf_log": ev + "x as (select strftime(make_timestamp(ts * 1000), '%Y-%m-%d') \"day\", 'events/' || eid || '.md:' || sha256(concat_ws(chr(10), title, body)) p from ev where ts is not null) select \"day\", count(*) n, sha256(string_agg(p, chr(10) order by p)) digest from x group by 1",
         "sync_round_trip": ev + "x as (select eid, body from ev where body is not null) select * from x",
