@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimark.functions.text import rounded
-from sedimark.operators.ordered import positions
+from sedimark.operators.ordered import positions, running_totals
 
 
 def retrieval_metrics(ranked: DataFrame, key: str) -> DataFrame:
@@ -34,14 +34,13 @@ def retrieval_metrics(ranked: DataFrame, key: str) -> DataFrame:
 
 
 def by_score(obs: DataFrame) -> DataFrame:
-    """(score, n, pos, above_n, above_pos): observations(score, positive) by distinct score, with what scores higher."""
-    g = obs.groupBy("score").agg(F.count("*").alias("n"), F.count_if("positive").alias("pos"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    return g.withColumns({"above_n": F.coalesce(F.sum("n").over(w), F.lit(0)), "above_pos": F.coalesce(F.sum("pos").over(w), F.lit(0))})
+    """(score, n, pos, above_n, above_pos): observations(score, positive) by distinct score, with what scores higher. Stages."""
+    g = obs.where("score is not null").groupBy((-F.col("score")).alias("_s")).agg(F.count("*").alias("n"), F.count_if("positive").alias("pos"))
+    return running_totals(g, ["_s"], ["n", "pos"]).select((-F.col("_s")).alias("score"), "n", "pos", F.col("before_n").alias("above_n"), F.col("before_pos").alias("above_pos"))
 
 
 def roc_auc(obs: DataFrame) -> DataFrame:
-    """One row: positives, negatives and auc, ties a half. Scores are grouped first; null if a class is missing."""
+    """One row: positives, negatives and auc, ties a half. Scores are grouped first; null if a class is missing. Null scores are left out."""
     g = by_score(obs)
     t = g.agg(F.sum("pos").alias("positives"), F.sum(F.col("n") - F.col("pos")).alias("negatives"), F.sum((F.col("n") - F.col("pos")) * (F.col("above_pos") + F.col("pos") / 2.0)).alias("u"))
     return t.select("positives", "negatives", rounded(F.try_divide(F.col("u"), F.col("positives") * F.col("negatives"))).alias("auc"))

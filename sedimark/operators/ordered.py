@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,3 +86,30 @@ def positions(df: DataFrame, key: str, order: list[str], carry: list[str]) -> Da
         (F.col("local_no") + F.coalesce(F.col("base_no"), F.lit(0))).alias("row_no"),
         *[F.when(first & F.col("base_no").isNotNull(), F.col(f"edge_{c}")).otherwise(F.col(f"prev_{c}")).alias(f"prev_{c}") for c in carry],
     )
+
+
+def running_totals(df: DataFrame, order: list[str], sums: list[str]) -> DataFrame:
+    """Adds before_<c> for each c of sums (long): its sum over all rows that come earlier in order. order must be unique.
+
+    Each range partition adds up its own rows; what lies before it comes from one row per partition. Stages.
+    """
+    schema = T.StructType(df.schema.fields + [T.StructField("part_no", T.IntegerType())] + [T.StructField(f"own_{c}", T.LongType()) for c in sums])
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, total = TaskContext.get().partitionId(), dict.fromkeys(sums, 0)
+        for b in batches:
+            if b.empty:
+                continue
+            new = {}
+            for c in sums:
+                upto = b[c].fillna(0).astype("int64").cumsum() + total[c]
+                new[f"own_{c}"] = upto.shift(1, fill_value=total[c])
+                total[c] = int(upto.iloc[-1])
+            yield b.assign(part_no=part, **new)
+
+    rows = staged(key_sorted(df, order).mapInPandas(add, schema), "totals")
+    each = rows.groupBy("part_no").agg(*[F.sum(c).alias(f"all_{c}") for c in sums])
+    w = Window.orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = each.select("part_no", *[F.coalesce(F.sum(f"all_{c}").over(w), F.lit(0)).alias(f"off_{c}") for c in sums])
+    joined = rows.join(F.broadcast(offsets), "part_no")
+    return joined.select(*df.columns, *[(F.col(f"own_{c}") + F.col(f"off_{c}")).alias(f"before_{c}") for c in sums])

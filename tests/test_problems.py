@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedimark.operators import delivery, history, shred
-from sedimark.operators.ordered import positions
+from sedimark.operators.ordered import positions, running_totals
 
 HOOKS = "hook_id long, session_id string, hook_event_name string, tool_use_id string, prompt_id string, batch_id long, received_at timestamp, producer string, ident string, message_key string"
 LEDGER = "row_id long, event_id string, event_hash string, batch_id long, received_at timestamp, kind string, subject_id string, authority_scope string, valid_from string, valid_until string, event_timestamp timestamp"
@@ -200,5 +200,16 @@ def test_positions_over_partitions(spark):
     assert got == want
 
 
+def test_running_totals_over_partitions(spark):
+    random.seed(2)
+    rows = [(i, random.randrange(9), None if i % 7 == 0 else 1) for i in random.sample(range(10**6), 2000)]
+    got = {r.o: (r.before_a, r.before_b) for r in running_totals(spark.createDataFrame(rows, "o long, a long, b long").repartition(5), ["o"], ["a", "b"]).collect()}
+    a = b = 0
+    for o, x, y in sorted(rows):
+        assert got[o] == (a, b)
+        a, b = a + x, b + (y or 0)
+    assert running_totals(spark.createDataFrame([], "o long, a long"), ["o"], ["a"]).count() == 0
+
+
 def test_executors_can_import(spark):
     assert spark.range(3).select(F.col("id")).mapInPandas(lambda it: (b for b in it), "id long").count() == 3
