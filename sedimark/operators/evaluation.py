@@ -79,6 +79,37 @@ def leave_one_out(obs: DataFrame, key: str, grid: tuple[float, ...] = (0.65, 0.7
     return g.crossJoin(F.broadcast(all_)).withColumn("b", best).select(key, (-F.col("b.minus")).alias("threshold"), F.col("b.tp").alias("tp"), F.col("b.fp").alias("fp"))
 
 
+def complete_prefix(ranked: DataFrame, required: DataFrame, key: str, most: int = 32) -> DataFrame:
+    """(key, prefix): the smallest number of first ranks of ranked(key, eid, rank) that holds all required(key, eid); null if one is missing or ranked below most."""
+    j = required.select(key, "eid").distinct().join(ranked.where(F.col("rank") <= most).select(key, "eid", "rank"), [key, "eid"], "left")
+    return j.groupBy(key).agg(F.when(F.count("rank") == F.count("*"), F.max("rank")).alias("prefix"))
+
+
+def strata(ranked: DataFrame, sizes: tuple[int, ...] = (20, 19, 10)) -> DataFrame:
+    """ranked(rank) with stratum: 1 for the first sizes[0] ranks, 2 for the next, and so on; ranks beyond are left out."""
+    out, upto = F, 0
+    for i, n in enumerate(sizes, 1):
+        upto += n
+        out = out.when(F.col("rank") <= upto, i)
+    return ranked.where(F.col("rank") <= upto).withColumn("stratum", out)
+
+
+def balanced_sample(tasks: list[tuple[str, str, str]], most: int) -> list[str]:
+    """Ids of tasks(id, group, band): one after the other the task whose group, then whose band has been taken least, equals by id. For evaluation sets of some hundreds."""
+    left, taken, groups, bands = sorted(tasks), [], {}, {}
+    while left and len(taken) < most:
+        t = min(left, key=lambda x: (groups.get(x[1], 0), bands.get(x[2], 0), x[0]))
+        left.remove(t)
+        taken.append(t[0])
+        groups[t[1]], bands[t[2]] = groups.get(t[1], 0) + 1, bands.get(t[2], 0) + 1
+    return taken
+
+
+def paired_difference(pairs: DataFrame, samples: int = 1000, seed: str = "sedimark") -> DataFrame:
+    """One row: mean of b - a over pairs(cluster, a, b) with an interval from whole clusters resampled."""
+    return cluster_bootstrap(pairs.groupBy("cluster").agg(F.sum(F.col("b") - F.col("a")).alias("total"), F.count("*").alias("n")), samples, seed)
+
+
 def zero_edge_interval(successes: Column, n: Column) -> Column:
     """Exact 95 % bound when none or all of n succeed: (lower, upper) as a struct; null in between."""
     edge = F.pow(F.lit(0.025), 1 / n)

@@ -162,6 +162,23 @@ def superseded(edges: DataFrame, eligible: DataFrame, as_of: int) -> DataFrame:
     return s.join(by.where(F.col("since") <= as_of), "source").join(eligible.select(F.col("eid").alias("target")), "target", "left_semi").groupBy("target").agg(F.count("*").alias("n_superseders"))
 
 
+def current_only(rows: DataFrame, gone: DataFrame, query: str = "", history: bool = False) -> DataFrame:
+    """rows(eid, ...) without those of gone(target); an event that the query names stays, and with history all do."""
+    if history:
+        return rows
+    named = F.lit(query).contains(F.col("target"))
+    return rows.join(gone.where(~named).select(F.col("target").alias("eid")), "eid", "left_anti")
+
+
+def reranked(rows: DataFrame, scores: DataFrame) -> DataFrame:
+    """rows(eid, rank) in the order of scores(eid, score in 0..1) from elsewhere: higher first, unscored last, equals by their old rank; adds new_rank. Only reorders: ids that rows lacks are ignored. For lists of at most 1,000."""
+    from pyspark.sql import Window
+
+    s = scores.where("score between 0 and 1").groupBy("eid").agg(F.max("score").alias("given"))
+    joined = rows.join(s, "eid", "left")
+    return joined.withColumn("new_rank", F.row_number().over(Window.partitionBy().orderBy(F.desc(F.coalesce("given", F.lit(-1.0))), "rank"))).drop("given")
+
+
 def conflicts(edges: DataFrame, eligible: DataFrame) -> DataFrame:
     """(a, b): distinct unordered pairs of eligible events that contradict each other, no event with itself."""
     p = edges.where("type = 'contradicts' and source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()

@@ -62,6 +62,18 @@ def test_supersession_chain_and_cycle(spark):
     assert R.superseded(edges(spark, ("#2", "supersedes", "#1")), late, AS_OF).count() == 0
 
 
+def test_named_events_come_back(spark):
+    ev = ledger(spark, *(event(i) for i in range(20, 23)))
+    gone = R.superseded(edges(spark, ("#21", "supersedes", "#20"), ("#22", "supersedes", "#21")), ev, AS_OF)
+    assert ids(R.current_only(ev, gone)) == {"#22"} and ids(R.current_only(ev, gone, "what about #20?")) == {"#20", "#22"} and ids(R.current_only(ev, gone, history=True)) == {"#20", "#21", "#22"}
+
+
+def test_reranking_only_reorders(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4)], "eid string, rank int")
+    scores = spark.createDataFrame([("c", 0.9), ("b", 0.1), ("a", 7.0), ("z", 1.0), ("c", 0.2)], "eid string, score double")
+    assert [r.eid for r in R.reranked(rows, scores).orderBy("new_rank").collect()] == ["c", "b", "a", "d"]
+
+
 def test_conflicts_once_and_not_with_oneself(spark):
     ev = ledger(spark, event(1), event(2), event(3))
     ed = edges(spark, ("#1", "contradicts", "#2"), ("#2", "contradicts", "#1"), ("#3", "contradicts", "#3"), ("#3", "contradicts", "#9"))

@@ -138,3 +138,13 @@ def test_statements_on_measures(spark):
     assert len(row) == 1 and row[0].recall_1 == 0.0 and row[0].rr_10 == 0.5
     ideal = 3 + 1 / math.log2(3)
     assert row[0].ndcg_10 == pytest.approx((3 / math.log2(3) + 1 / 2) / ideal, abs=1e-6)
+
+
+def test_prefixes_strata_and_samples(spark):
+    ranked = spark.createDataFrame([("q", f"e{i}", i) for i in range(1, 60)], "k string, eid string, rank int")
+    need = spark.createDataFrame([("q", "e3"), ("q", "e30"), ("q", "e3"), ("r", "e1")], "k string, eid string")
+    assert {tuple(r) for r in E.complete_prefix(ranked, need, "k").collect()} == {("q", 30), ("r", None)}
+    assert [r["count"] for r in E.strata(ranked).groupBy("stratum").count().orderBy("stratum").collect()] == [20, 19, 10]
+    assert E.balanced_sample([("a", "g", "x"), ("b", "g", "y"), ("c", "h", "x"), ("d", "h", "y")], 3) == ["a", "d", "b"]
+    p = spark.createDataFrame([("a", 0.1, 0.3), ("b", 0.5, 0.6)], "cluster string, a double, b double")
+    assert E.paired_difference(p, 50).first().mean == pytest.approx(0.15)
