@@ -49,14 +49,12 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 EDGES_SQL = f"ed as (select edge_id, {canonical_sql('source_event_id')} source, edge_type \"type\", {canonical_sql('target_id')} target, payload_json from event_edges)"
 
-TERM_SQL = r"[\p{L}\p{N}][\p{L}\p{N}_-]{1,63}"
-
 
 def terms_sql(c: str) -> str:
-    from sedimark.functions.text import STOP_WORDS
+    from sedimark.functions.text import STOP_WORDS, TERM
 
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
-    return f"list_filter(regexp_extract_all(lower(coalesce({c}, '')), '{TERM_SQL}'), lambda t: t not in ({stop}))"
+    return f"list_filter(regexp_extract_all(lower(coalesce({c}, '')), '{TERM}'), lambda t: t not in ({stop}))"
 
 
 def in_sql(values: list[str]) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sedimark.functions.text import query_terms, terms
 from sedimark.operators import admission as A
 from sedimark.operators import ranking as R
-from sedimark.plans.base import AS_OF, EDGES_SQL, EVENTS_SQL, QUERY, REPOSITORIES, SCOPES, TERM_SQL, edges, events, in_sql, terms_sql
+from sedimark.plans.base import AS_OF, EDGES_SQL, EVENTS_SQL, QUERY, REPOSITORIES, SCOPES, edges, events, in_sql, terms_sql
 from sedimark.runtime import staged, table
 
 TOP = 50
