@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -113,3 +114,92 @@ def running_totals(df: DataFrame, order: list[str], sums: list[str]) -> DataFram
     offsets = each.select("part_no", *[F.coalesce(F.sum(f"all_{c}").over(w), F.lit(0)).alias(f"off_{c}") for c in sums])
     joined = rows.join(F.broadcast(offsets), "part_no")
     return joined.select(*df.columns, *[(F.col(f"own_{c}") + F.col(f"off_{c}")).alias(f"before_{c}") for c in sums])
+
+
+def greedy_skip(df: DataFrame, key: str, order: list[str], size: str, budgets: list[int]) -> DataFrame:
+    """Adds kept (one boolean per budget): whether the row fits after what is kept of its key's earlier rows; what is too big is skipped.
+
+    key must not be null, order must be unique within key, size is a long of 0 or more. A key may span partitions: each
+    is folded as if nothing came before it and also tells, for every amount that may be used already, the amount after
+    its first key. Chaining these gives the true start of each partition, and only the rows of a first key that starts
+    with a used budget are folded again. Stages once.
+    """
+    edge = [T.StructField("first_key", df.schema[key].dataType), T.StructField("after", T.ArrayType(T.LongType())), T.StructField("last_used", T.ArrayType(T.LongType()))]
+    local = T.StructType(df.schema.fields + [T.StructField("kept", T.ArrayType(T.BooleanType())), T.StructField("part_no", T.IntegerType()), *edge])
+    zero, columns = [0] * len(budgets), df.columns
+
+    def fold(keys: np.ndarray, sizes: np.ndarray, used: list[int], last: object, start: dict) -> tuple[list, list[int], object]:
+        kept = []
+        for k, t in zip(keys, sizes, strict=True):
+            if k != last:
+                used, last = list(start.get(k, zero)), k
+            fits = [u + t <= b for u, b in zip(used, budgets, strict=True)]
+            used = [u + t if f else u for u, f in zip(used, fits, strict=True)]
+            kept.append(fits)
+        return kept, used, last
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, used, last, held = TaskContext.get().partitionId(), zero, None, None
+        # for each budget the amounts used after the first key, by the amounts before it
+        after, head, leading = [np.arange(b + 1) for b in budgets], None, True
+        least = zero
+        for b in batches:
+            if b.empty:
+                continue
+            keys, sizes = b[key].to_numpy(), [int(t) for t in b[size]]
+            head = keys[0] if head is None else head
+            for k, t in zip(keys, sizes, strict=True) if leading else ():
+                if k != head:
+                    leading = False
+                    break
+                for i, limit in enumerate(budgets):
+                    if 0 < t <= limit - least[i]:
+                        a = after[i]
+                        a[a <= limit - t] += t
+                        least = [*least[:i], int(a.min()), *least[i + 1 :]]
+            kept, used, last = fold(keys, sizes, used, last, {})
+            if held is not None:
+                yield held
+            held = b.assign(kept=kept, part_no=part, first_key=None, after=None, last_used=None)
+        if held is not None:
+            summary = {"first_key": head, "after": np.concatenate(after).tolist(), "last_used": [int(u) for u in used]}
+            for c, v in summary.items():
+                held[c] = pd.Series([None] * (len(held) - 1) + [v], index=held.index, dtype=object)
+            yield held
+
+    rows = staged(key_sorted(df, [key, *order]).mapInPandas(first, local), "greedy")
+
+    begun = T.StructType([T.StructField("part_no", T.IntegerType()), T.StructField(key, df.schema[key].dataType), T.StructField("begun", T.ArrayType(T.LongType()))])
+    offsets = np.cumsum([0] + [b + 1 for b in budgets])[:-1]
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        used, last = zero, None
+        for b in batches:
+            out = []
+            for r in b.to_dict("records"):
+                used = used if r["first_key"] == last else zero
+                if any(used):
+                    out.append((r["part_no"], r["first_key"], used))
+                used = [int(r["after"][o + u]) for o, u in zip(offsets, used, strict=True)] if r["first_key"] == r[key] else [int(u) for u in r["last_used"]]
+                last = r[key]
+            if out:
+                yield pd.DataFrame(out, columns=begun.names)
+
+    ends = rows.where("after is not null").select("part_no", key, "first_key", "after", "last_used")
+    starts = ends.coalesce(1).sortWithinPartitions("part_no").mapInPandas(chain, begun)
+
+    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        used, last = zero, None
+        for b in batches:
+            if b.empty:
+                continue
+            # a key has one start in each partition that it goes on in
+            keys = list(zip(b["part_no"], b[key], strict=True))
+            start = {k: [int(u) for u in v] for k, v in zip(keys, b["begun"], strict=True)}
+            kept, used, last = fold(keys, [int(t) for t in b[size]], used, last, start)
+            yield b[columns].assign(kept=kept)
+
+    out = T.StructType(df.schema.fields + [local["kept"]])
+    joined = rows.select(*out.names, "part_no").join(F.broadcast(starts), ["part_no", key], "left")
+    redone = joined.where("begun is not null").repartition("part_no").sortWithinPartitions("part_no", *order).mapInPandas(again, out)
+    return joined.where("begun is null").select(*out.names).unionByName(redone)

@@ -12,6 +12,7 @@ from sedimark.functions.text import rounded, terms
 from sedimark.operators import evaluation as E
 from sedimark.operators import packs, similar
 from sedimark.operators import readmodel as M
+from sedimark.operators.ordered import greedy_skip
 from sedimark.plans.base import EVENTS_SQL, QUERY, events
 from sedimark.plans.problems import canonical_sql
 from sedimark.plans.ranking import _bm25, _by
@@ -89,13 +90,13 @@ def mcnemar_power(spark: SparkSession, d: str) -> DataFrame:
 
 
 def budget_curve(spark: SparkSession, d: str) -> DataFrame:
-    """How many of each subject's first 100 decisions a token budget holds, skipping what is too big, for five budgets."""
-    rows = _rankings(spark, d).where("rank <= 100").withColumn("tokens", F.ceil(F.length(F.coalesce("body", F.lit(""))) / 4).cast("long"))
-    lists = rows.groupBy("subject").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "tokens"))), lambda x: x["tokens"]).alias("t"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("n"))
-    out = lists.select("subject", "t", F.explode(F.array(*[F.lit(b) for b in BUDGETS])).alias("budget"))
-    fold = F.aggregate("t", start, lambda a, x: F.when(a["used"] + x <= F.col("budget"), F.struct((a["used"] + x).alias("used"), (a["n"] + 1).alias("n"))).otherwise(a))
-    return out.select("subject", "budget", fold.alias("f")).select("subject", "budget", "f.n", "f.used")
+    """How many of each subject's decisions by authority a token budget holds, skipping what is too big, for five budgets."""
+    last = lambda c: F.coalesce(-F.col(c).cast("long"), F.lit(2**63 - 1))
+    tokens = F.ceil(F.length(F.coalesce("body", F.lit(""))) / 4).cast("long")
+    rows = events(spark, d).where("kind = 'decision' and subject is not null").select("subject", last("arank").alias("below"), last("ts").alias("age"), "eid", tokens.alias("tokens"))
+    kept = greedy_skip(rows, "subject", ["below", "age", "eid"], "tokens", list(BUDGETS))
+    each = [F.struct(F.lit(b).alias("budget"), F.count_if(F.col("kept")[i]).alias("n"), F.sum(F.when(F.col("kept")[i], F.col("tokens")).otherwise(0)).alias("used")) for i, b in enumerate(BUDGETS)]
+    return kept.groupBy("subject").agg(F.array(*each).alias("all")).select("subject", F.inline("all"))
 
 
 def near_dup_shingles(spark: SparkSession, d: str) -> DataFrame:

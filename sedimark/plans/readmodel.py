@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from sedimark.functions.identity import canonical_id, hook_name
 from sedimark.operators import readmodel as M
-from sedimark.operators.ordered import positions
+from sedimark.operators.ordered import greedy_skip, positions
 from sedimark.plans.base import AS_OF, EDGES_SQL, EVENTS_SQL, edges, events
 from sedimark.plans.problems import _trim, canonical_sql
 from sedimark.plans.ranking import _EL, _eligible
-from sedimark.runtime import table
+from sedimark.runtime import staged, table
 
 SPLIT = "2025-08-01 00:00:00"
 BUDGET = 2000
@@ -156,13 +156,12 @@ def budget_prefix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def budget_greedy_skip(spark: SparkSession, d: str) -> DataFrame:
-    """Of each repository's latest 100 admitted events those that fit one after the other, skipping what is too big."""
-    w = Window.partitionBy("repo").orderBy(F.desc_nulls_last("ts"), "eid")
-    rows = _eligible(spark, d).where("repo is not null").withColumn("tokens", F.ceil(F.length(F.coalesce("body", F.lit(""))) / 4).cast("long")).withColumn("rank", F.row_number().over(w)).where("rank <= 100")
-    lists = rows.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("rank", "eid", "tokens"))).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("kept"))
-    fold = F.aggregate("items", start, lambda a, x: F.when(a["used"] + x["tokens"] <= BUDGET, F.struct((a["used"] + x["tokens"]).alias("used"), F.array_append(a["kept"], x["eid"]).alias("kept"))).otherwise(a))
-    return lists.select("repo", fold.alias("f")).select("repo", F.col("f.used").alias("used"), F.size("f.kept").alias("n"), F.posexplode("f.kept").alias("place", "eid"))
+    """Of each repository's admitted events, latest first, those that fit one after the other, skipping what is too big."""
+    tokens = F.ceil(F.length(F.coalesce("body", F.lit(""))) / 4).cast("long")
+    rows = _eligible(spark, d).where("repo is not null").select("repo", F.coalesce(-F.col("ts"), F.lit(2**63 - 1)).alias("age"), "eid", tokens.alias("tokens"))
+    kept = staged(greedy_skip(rows, "repo", ["age", "eid"], "tokens", [BUDGET]).where("kept[0]").drop("kept"), "kept")
+    totals = kept.groupBy("repo").agg(F.sum("tokens").alias("used"), F.count("*").cast("int").alias("n"))
+    return positions(kept, "repo", ["age", "eid"], []).join(totals, "repo").select("repo", "used", "n", (F.col("row_no") - 1).cast("int").alias("place"), "eid")
 
 
 def hook_events(spark: SparkSession, d: str) -> DataFrame:
