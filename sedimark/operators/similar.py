@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimark.functions.text import normalized, shingles
 from sedimark.runtime import staged
 
 
-def audit_text(c):
-    """Text with addresses of the web, hashes and numbers as marks and without punctuation."""
+def audit_text(c: Column) -> Column:
+    """Lower-case text with addresses of the web, hashes and (dotted) numbers as marks; of the rest the letters, numbers and underscores of all scripts."""
+    space, alone = r"\s\p{Z}\x{feff}", r"(?<![0-9A-Za-z_]){}(?![0-9A-Za-z_])"
+    c = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), rf"https?://[^{space}]+", " <url> ")
+    c = F.regexp_replace(c, alone.format("[0-9a-f]{7,40}"), " <sha> ")
+    c = F.regexp_replace(c, alone.format(r"[0-9]+(?:\.[0-9]+)*"), " <num> ")
+    return F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}_<>]+", " "))
+
+
+def ascii_text(c: Column) -> Column:
+    """As the SQL of the registered queries has it: marks as in audit_text, but only a-z and 0-9 stay; letters of other scripts are lost."""
     c = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"https?://[^ \n\t]+", " <url> ")
     c = F.regexp_replace(c, r"[^a-z0-9<> ]", " ")
     c = F.regexp_replace(c, r"\b[0-9a-f]{7,40}\b", " <sha> ")
@@ -18,14 +29,14 @@ def audit_text(c):
     return F.trim(F.regexp_replace(c, " +", " "))
 
 
-def similar_classes(docs: DataFrame, threshold: float = 0.85, n: int = 5, audit: bool = True) -> DataFrame:
+def similar_classes(docs: DataFrame, threshold: float = 0.85, n: int = 5, audit: Callable[[Column], Column] | None = audit_text) -> DataFrame:
     """(doc_id, class_id, n_links) of docs(doc_id, text): class_id the smallest id with the same normalised text, n_links the other classes whose shingles are similar.
 
     Texts are similar if the Jaccard similarity of their shingles is at least threshold (0.8 or more); a text without
     shingles is similar to none. Only rare shingles of a text can be its first common one (prefix filter over shingles
     from rare to frequent), so frequent shingles give no candidates; no partner is lost. Stages.
     """
-    own = docs.select("doc_id", (audit_text(F.col("text")) if audit else normalized(F.col("text"), 1 << 30)).alias("t"))
+    own = docs.select("doc_id", (audit(F.col("text")) if audit else normalized(F.col("text"), 1 << 30)).alias("t"))
     # written once: the text expressions are the dearest part and three branches need them
     keyed = staged(own.select("doc_id", "t", F.sha2("t", 256).alias("key")), "audited")
     reps = keyed.groupBy("key").agg(F.min("doc_id").alias("class_id"))

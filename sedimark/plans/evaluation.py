@@ -101,12 +101,12 @@ def budget_curve(spark: SparkSession, d: str) -> DataFrame:
 
 def near_dup_shingles(spark: SparkSession, d: str) -> DataFrame:
     """Classes of documents with the same audited text, and how many other classes are nearly the same."""
-    return similar.similar_classes(table(spark, d, "documents"), 0.85)
+    return similar.similar_classes(table(spark, d, "documents"), 0.85, audit=similar.ascii_text)
 
 
 def exact_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Audited texts that several documents have, and from how many sources they are."""
-    t = table(spark, d, "documents").select("source", similar.audit_text(F.col("text")).alias("t")).where("t <> ''")
+    t = table(spark, d, "documents").select("source", similar.ascii_text(F.col("text")).alias("t")).where("t <> ''")
     g = t.groupBy(F.sha2("t", 256).alias("digest"), "source").agg(F.count("*").alias("n")).groupBy("digest").agg(F.sum("n").alias("n_documents"), F.count("source").alias("n_sources"))
     return g.where("n_documents > 1")
 

@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from sedimark.operators.ordered import greedy_skip
+from sedimark.operators.similar import audit_text, similar_classes
 from sedimark.plans.evaluation import BUDGETS, budget_curve
 from sedimark.plans.readmodel import BUDGET, budget_greedy_skip
 
@@ -53,3 +56,12 @@ def test_budgets_see_more_than_a_hundred_rows(spark, tmp_path):
     assert [(r.repo, r.used, r.n, r.place, r.eid) for r in got] == [("repo_00001", used, len(kept), p, f"e{i:05d}") for p, i in enumerate(kept)]
     want = {b: fitting(sizes, b) for b in BUDGETS}
     assert {r.budget: (r.used, r.n) for r in budget_curve(spark, d).collect()} == {b: (u, len(k)) for b, (u, k) in want.items()}
+
+
+def test_audited_text_keeps_all_scripts(spark):
+    texts = {"Déjà vu": "déjà vu", "проверка Журнала": "проверка журнала", "記録の確認, ok": "記録の確認 ok", "v 1.2.3 at deadbeef1, a_b": "v <num> at <sha> a_b", "see https://x.org/a?b=1\u3000next": "see <url> next", "": "", None: ""}
+    df = spark.createDataFrame([(t, w) for t, w in texts.items()], "t string, w string")
+    assert [r.g for r in df.select(audit_text(F.col("t")).alias("g")).collect()] == list(texts.values())
+    docs = ["один два три четыре пять шесть", "семь восемь девять десять ноль сто", "один два три четыре пять, шесть"]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in similar_classes(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert got == {0: (0, 0), 1: (1, 0), 2: (0, 0)}
