@@ -1,10 +1,11 @@
-"""Command line: python -m sedimark list | run QUERY --tables DIR --out DIR | query TEXT --tables DIR [--markdown] | build --tables DIR --out DIR."""
+"""Command line: python -m sedimark list | run QUERY --tables DIR --out DIR | query TEXT --tables DIR [--markdown] [--as-of MS] [--scope S]... [--repository R]... | build --tables DIR --out DIR."""
 
 from __future__ import annotations
 
 import argparse
 import importlib
 import json
+import time
 
 PLANS = ["problems", "ranking", "readmodel", "evaluation", "graph", "lifecycle"]
 
@@ -27,6 +28,9 @@ def main(argv: list[str] | None = None) -> int:
     ask.add_argument("text")
     ask.add_argument("--max-chars", type=int, default=12_000)
     ask.add_argument("--markdown", action="store_true")
+    ask.add_argument("--as-of", type=int, help="instant in milliseconds; now if not given")
+    ask.add_argument("--scope", action="append", default=[], help="authority scope that may be disclosed")
+    ask.add_argument("--repository", action="append", default=[], help="repository to look in; all if none is given")
     build = sub.add_parser("build", help="write the derived views")
     for x in (run, build):
         x.add_argument("--out", required=True)
@@ -37,11 +41,9 @@ def main(argv: list[str] | None = None) -> int:
         print("\n".join(sorted(queries())))
         return 0
     from pyspark.sql import SparkSession
-    from pyspark.sql import functions as F
 
-    from sedimark.functions.text import query_terms
-    from sedimark.operators import packs, ranking
-    from sedimark.plans import base
+    from sedimark.operators import packs
+    from sedimark.plans import base, ranking
     from sedimark.sinks import export
     from sedimark.sources.log import publish
 
@@ -51,9 +53,8 @@ def main(argv: list[str] | None = None) -> int:
     elif a.verb == "build":
         publish(export.views(base.events(spark, a.tables), base.edges(spark, a.tables)), a.out)
     else:
-        terms = query_terms(a.text)
-        rows = ranking.counted(base.events(spark, a.tables), F.concat_ws("\n", "title", "body"), terms)
-        best = ranking.bm25(rows, ranking.corpus_stats(rows, terms), terms).orderBy(F.desc("score"), F.desc_nulls_last("ts"), "eid").limit(packs.MAX_ITEMS)
+        as_of = int(time.time() * 1000) if a.as_of is None else a.as_of
+        best = ranking.context(spark, a.tables, a.text, as_of, a.scope, a.repository).orderBy(*ranking.in_order()).limit(packs.MAX_ITEMS)
         pack = packs.fill([r.asDict() for r in best.select("eid", "title", "body", "score").collect()], a.max_chars, {"query": a.text})
         print(packs.markdown(pack) if a.markdown else json.dumps(pack, ensure_ascii=False, indent=2))
     return 0

@@ -15,7 +15,7 @@ from sedimark.operators import readmodel as M
 from sedimark.operators.ordered import greedy_skip
 from sedimark.plans.base import EVENTS_SQL, QUERY, events
 from sedimark.plans.problems import canonical_sql
-from sedimark.plans.ranking import _bm25, _by
+from sedimark.plans.ranking import context, in_order
 from sedimark.runtime import send_package, shared_dir, table
 from sedimark.streaming import ingest
 
@@ -154,13 +154,13 @@ def file_history(spark: SparkSession, d: str) -> DataFrame:
 
 def mmr_diverse(spark: SparkSession, d: str) -> DataFrame:
     """Twenty events that answer the query and differ from one another."""
-    best = _bm25(spark, d, True).orderBy(*_by()).limit(100).select("eid", "ts", "score", F.array_distinct(terms(F.concat_ws("\n", "title", "body"))).alias("terms"))
+    best = context(spark, d).orderBy(*in_order()).limit(100).select("eid", "ts", "score", F.array_distinct(terms(F.concat_ws("\n", "title", "body"))).alias("terms"))
     return packs.diverse(best)
 
 
 def context_pack(spark: SparkSession, d: str) -> DataFrame:
     """Items of the pack of 12,000 characters that answers the query."""
-    rows = _bm25(spark, d, True).orderBy(*_by()).limit(50).select("eid", "title", "body", "score").collect()
+    rows = context(spark, d).orderBy(*in_order()).limit(50).select("eid", "title", "body", "score").collect()
     pack = packs.fill([r.asDict() for r in rows], 12_000, {"query": QUERY})
     return spark.createDataFrame([(i, x["eid"], x["title"], x["excerpt"], float(x["score"])) for i, x in enumerate(pack["items"], 1)], "place int, eid string, title string, excerpt string, score double")
 

@@ -115,15 +115,15 @@ def authority_rank(spark: SparkSession, d: str) -> DataFrame:
     return R.ranked(R.authority(_eligible(spark, d), SCOPES)).select("eid", R.rounded(F.col("score")).alias("score"), "rank")
 
 
-def _lists(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+def _lists(spark: SparkSession, d: str, query: str = QUERY, as_of: int = AS_OF, scopes: list[str] = SCOPES, repositories: list[str] = REPOSITORIES) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
     """Ranked lists of all scorers, the admitted events and the edges."""
-    ev = events(spark, d)
-    rows = staged(_counted(ev), "counted")
-    eligible = A.admitted(rows, AS_OF, SCOPES, REPOSITORIES)
+    q = query_terms(query)
+    rows = staged(R.counted(events(spark, d), _text(), q), "counted")
+    eligible = A.admitted(rows, as_of, scopes, repositories)
     scored = {
-        "bm25": R.bm25(eligible, R.corpus_stats(rows, _Q), _Q).select("eid", "ts", "score"),
-        "fuzzy": R.fuzzy(eligible, _text(), QUERY).select("eid", "ts", "score"),
-        "fts": R.fielded(eligible, _Q).select("eid", "ts", "score"),
+        "bm25": R.bm25(eligible, R.corpus_stats(rows, q), q).select("eid", "ts", "score"),
+        "fuzzy": R.fuzzy(eligible, _text(), query).select("eid", "ts", "score"),
+        "fts": R.fielded(eligible, q).select("eid", "ts", "score"),
     }
     # the ranked lists are written; from here on nothing is scored again
     ranks = R.ranked_lists(scored)
@@ -131,10 +131,32 @@ def _lists(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame
     seeds = scored["bm25"].union(scored["fuzzy"]).union(ranks["fts"].select("eid", "ts", 1 / F.col("rank"))).groupBy("eid").agg(F.max("ts").alias("ts"), R.rounded(F.sum("score")).alias("score"))
     ed = edges(spark, d)
     graph = R.one_hop(seeds, ed, eligible).join(eligible.select("eid", "ts"), "eid").select("eid", "ts", "score")
-    mine = R.authority(eligible.join(seeds.select("eid"), "eid", "left_semi"), SCOPES).select("eid", "ts", "score")
+    mine = R.authority(eligible.join(seeds.select("eid"), "eid", "left_semi"), scopes).select("eid", "ts", "score")
     return ranks | R.ranked_lists({"graph": graph, "authority": mine}), eligible, ed
 
 
+def context(spark: SparkSession, d: str, query: str = QUERY, as_of: int = AS_OF, scopes: list[str] = SCOPES, repositories: list[str] = REPOSITORIES) -> DataFrame:
+    """(eid, ts, tier, tier_rank, primary_rank, score, title, body): what packs are built from, to be put in order by in_order.
+
+    Admitted events, fused by the lexical cascade of all lists (by time if the query has no terms), without those that
+    an event in force supersedes.
+    """
+    if query_terms(query):
+        lists, eligible, ed = _lists(spark, d, query, as_of, scopes, repositories)
+        fused = R.lexical_cascade(lists)
+    else:
+        eligible, ed = staged(A.admitted(events(spark, d), as_of, scopes, repositories), "admitted"), edges(spark, d)
+        newest = R.ranked(eligible.withColumn("score", F.lit(0.0)))
+        fused = newest.select("eid", "ts", F.lit(0).alias("tier"), F.col("rank").alias("tier_rank"), F.lit(None).cast("long").alias("primary_rank"), (1 / F.col("rank")).alias("score"))
+    current = R.current_only(fused, R.superseded(ed, eligible, as_of), query)
+    return current.withColumn("score", R.rounded(F.col("score"), 9)).join(eligible.select("eid", "title", "body"), "eid")
+
+
+def in_order():
+    """Order of a cascade's events: tier, rank in it, primary rank, later time, id."""
+    return [F.asc("tier"), F.asc("tier_rank"), F.asc_nulls_last("primary_rank"), F.desc_nulls_last("ts"), F.asc("eid")]
+
+
 def graph_one_hop(spark: SparkSession, d: str) -> DataFrame:
     """Events one relation away from the best by BM25."""
     eligible = _eligible(spark, d)

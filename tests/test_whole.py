@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from sedimark.operators.ordered import greedy_skip
 from sedimark.operators.similar import audit_text, similar_classes
-from sedimark.plans.evaluation import BUDGETS, budget_curve
+from sedimark.plans.base import QUERY
+from sedimark.plans.evaluation import BUDGETS, budget_curve, context_pack, mmr_diverse
 from sedimark.plans.readmodel import BUDGET, budget_greedy_skip
 
 WHEN = "2025-08-01 00:00:00"
@@ -65,3 +66,14 @@ def test_audited_text_keeps_all_scripts(spark):
     docs = ["один два три четыре пять шесть", "семь восемь девять десять ноль сто", "один два три четыре пять, шесть"]
     got = {r.doc_id: (r.class_id, r.n_links) for r in similar_classes(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
     assert got == {0: (0, 0), 1: (1, 0), 2: (0, 0)}
+
+
+def test_packs_hold_admitted_current_events_only(spark, tmp_path):
+    month = 40 * 86_400
+    rows = [("old", "repo_00001", 0, "claim", QUERY, "s"), ("new", "repo_00001", 1, "claim", QUERY, "s"), ("future", "repo_00001", month, "claim", QUERY, "s"), ("elsewhere", "repo_00999", 0, "claim", QUERY, "s"), ("typo", "repo_00001", 2, "claim", "stalepolicy tokens, ledgers", "s"), ("next", "repo_00001", 3, "claim", "zzz", "s")]
+    d = ledger(spark, tmp_path / "t", rows)
+    e = spark.createDataFrame([("1", "new", "supersedes", "old"), ("2", "next", "supports", "new")], "edge_id string, source_event_id string, edge_type string, target_id string")
+    e.withColumn("payload_json", F.lit(None).cast("string")).write.parquet(f"{d}/event_edges.parquet")
+    # what only the fuzzy or the graph list finds is there too
+    assert [r.eid for r in context_pack(spark, d).orderBy("place").collect()] == ["new", "typo", "next"]
+    assert {r.eid for r in mmr_diverse(spark, d).collect()} == {"new", "typo", "next"}
