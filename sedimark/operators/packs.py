@@ -1,6 +1,7 @@
 """Bounded packs of cited evidence: token plans, diverse selection, filling and rendering.
 
-A pack has at most 1,000 items; everything here works on that many rows, after the ranking has been done by Spark.
+A pack has at most 1,000 items; filling works on that many rows, after the ranking has been done by Spark. The diverse
+selection goes over all candidates.
 """
 
 from __future__ import annotations
@@ -10,10 +11,12 @@ import json
 import math
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedimark.functions.text import jaccard
+from sedimark.runtime import staged
+
 MAX_ITEMS = 1000
 EXCERPT = 2000
 
@@ -69,27 +72,26 @@ def token_plan(total: int, reserved: int | None = None, reservations: list[Reser
 
 
 def diverse(candidates: DataFrame, trade: float = 0.82, limit: int = 20) -> DataFrame:
-    """(eid, rank, score) by maximal marginal relevance of candidates(eid, ts, score, terms), at most 1,000 rows.
+    """(eid, rank, score) by maximal marginal relevance of candidates(eid, ts, score, terms), of any number.
 
     Each step takes the largest trade * score / best - (1 - trade) * likeness, likeness being the largest Jaccard
-    similarity of terms with what is selected; equals go by later time, then id.
+    similarity of terms with what is selected; equals go by later time, then id. A step is a distributed maximum over
+    all candidates, which are staged once and carry their likeness so far.
     """
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(r.eid, -(2**62) if pd.isna(r.ts) else int(r.ts), float(r.score), frozenset(r.terms)) for r in pdf.itertuples()]
-        best = max((r[2] for r in rows), default=0.0) or 1.0
-        out, near = [], dict.fromkeys((r[0] for r in rows), 0.0)
-        while rows and len(out) < limit:
-            top = min(rows, key=lambda r: (-(trade * r[2] / best - (1 - trade) * near[r[0]]), -r[1], r[0]))
-            rows.remove(top)
-            out.append((top[0], len(out) + 1, top[2]))
-            for r in rows:
-                union = len(r[3] | top[3])
-                near[r[0]] = max(near[r[0]], len(r[3] & top[3]) / union if union else 0.0)
-        return pd.DataFrame(out, columns=["eid", "rank", "score"])
-
-    bounded = candidates.orderBy(F.desc("score"), F.desc_nulls_last("ts"), "eid").limit(MAX_ITEMS)
-    return bounded.select(F.lit(1).alias("all"), "eid", "ts", "score", "terms").groupBy("all").applyInPandas(pick, "eid string, rank int, score double")
+    spark = candidates.sparkSession
+    rows = staged(candidates.select("eid", "ts", F.col("score").cast("double").alias("score"), F.array_distinct("terms").alias("terms")), "candidates")
+    best = rows.agg(F.max("score")).first()[0] or 1.0
+    picks, near = [], F.lit(0.0)
+    value = lambda: F.lit(trade) * F.col("score") / F.lit(best) - F.lit(1 - trade) * near
+    while len(picks) < limit:
+        left = rows.where(~F.col("eid").isin([p.eid for p in picks])) if picks else rows
+        top = left.withColumn("_value", value()).orderBy(F.desc("_value"), F.desc_nulls_last("ts"), "eid").limit(1).collect()
+        if not top:
+            break
+        picks += top
+        own = F.array(*[F.lit(t) for t in top[0].terms]).cast("array<string>")
+        near = F.greatest(near, jaccard(F.col("terms"), own))
+    return spark.createDataFrame([(p.eid, i, p.score) for i, p in enumerate(picks, 1)], "eid string, rank int, score double")
 
 
 def _text(value: object) -> str:

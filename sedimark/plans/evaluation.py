@@ -154,7 +154,7 @@ def file_history(spark: SparkSession, d: str) -> DataFrame:
 
 def mmr_diverse(spark: SparkSession, d: str) -> DataFrame:
     """Twenty events that answer the query and differ from one another."""
-    best = context(spark, d).orderBy(*in_order()).limit(100).select("eid", "ts", "score", F.array_distinct(terms(F.concat_ws("\n", "title", "body"))).alias("terms"))
+    best = context(spark, d).select("eid", "ts", "score", F.array_distinct(terms(F.concat_ws("\n", "title", "body"))).alias("terms"))
     return packs.diverse(best)
 
 

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from sedimark.operators import packs
 from sedimark.operators.ordered import greedy_skip
 from sedimark.operators.similar import audit_text, similar_classes
 from sedimark.plans.base import QUERY
@@ -77,3 +78,9 @@ def test_packs_hold_admitted_current_events_only(spark, tmp_path):
     # what only the fuzzy or the graph list finds is there too
     assert [r.eid for r in context_pack(spark, d).orderBy("place").collect()] == ["new", "typo", "next"]
     assert {r.eid for r in mmr_diverse(spark, d).collect()} == {"new", "typo", "next"}
+
+
+def test_diverse_looks_past_a_thousand_copies(spark):
+    rows = [(f"c{i:04d}", 1, 10.0, ["x", "y"]) for i in range(1500)] + [("z", 1, 9.0, ["z"])]
+    got = packs.diverse(spark.createDataFrame(rows, "eid string, ts long, score double, terms array<string>"), limit=3).orderBy("rank").collect()
+    assert [r.eid for r in got] == ["c0000", "z", "c0001"]
