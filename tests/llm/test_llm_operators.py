@@ -52,10 +52,11 @@ EVENTS = "event_id string, event_timestamp timestamp, conversation string"
 EDGES = "source_event_id string, edge_type string, target_id string"
 
 
-def talk(spark, rows, times, edges=()):
+def talk(spark, rows, times, edges=(), attach=True):
     h = spark.createDataFrame([(i, s, n, p, e, t if n.lower().startswith("u") else None, t if n.lower().startswith("s") else None, "clash", "clash") for i, s, n, p, e, t in rows], HOOKS)
     m = conversations.hook_messages(h, spark.createDataFrame([(e, t, "clash") for e, t in times], EVENTS))
-    return conversations.whole_conversations(m, conversations.message_links(m, spark.createDataFrame(list(edges), EDGES)))
+    links = conversations.message_links(m, spark.createDataFrame(list(edges), EDGES), attach)
+    return conversations.with_texts(conversations.whole_conversations(conversations.resolved(m, links)), h)
 
 
 def test_sessions(spark):
@@ -88,6 +89,35 @@ def test_conversations_without_identifiers(spark):
     assert got == {("component:1", 1, "q"), ("component:1", 2, "r"), ("component:1", 3, "q2"), ("component:1", 4, "r2")}
 
 
+def test_a_reply_without_session_joins_the_session_it_answers(spark):
+    rows = [(1, "s1", "UserPromptSubmit", "p", "a", "q"), (2, None, "Stop", "p", "b", "r"), (3, None, "UserPromptSubmit", "o", "c", "q2"), (4, None, "Stop", "o", "d", "r2")]
+    times = [(c, T(i)) for i, c in enumerate("abcd")]
+    got = {(r.conversation, r.session_id, r.identified, r.msg_no, r.text) for r in talk(spark, rows, times).collect()}
+    assert got == {("s1", "s1", True, 1, "q"), ("s1", "s1", False, 2, "r"), ("component:3", None, False, 1, "q2"), ("component:3", None, False, 2, "r2")}
+    # told to keep to the identifiers, the session lacks its reply
+    assert {r.conversation for r in talk(spark, rows, times, attach=False).collect()} == {"component:3"}
+    # quoting two sessions, it belongs to neither
+    two = [*rows, (5, "s2", "UserPromptSubmit", "z", "e", "q3"), (6, "s2", "Stop", "z", "f", "r3")]
+    got = {r.conversation for r in talk(spark, two, [(c, T(i)) for i, c in enumerate("abcdef")], [("b", "references", "e")]).collect()}
+    assert got == {"s2", "component:3"}
+
+
+def test_copies_without_session_are_one_message(spark):
+    rows = [(1, None, "UserPromptSubmit", "p", "a", "q"), (2, "", "user_prompt_submit", "P ", "a", "q"), (3, None, "Stop", "p", "b", "r")]
+    assert {(r.conversation, r.msg_no, r.text) for r in talk(spark, rows, [("a", T(1)), ("b", T(2))]).collect()} == {("component:1", 1, "q"), ("component:1", 2, "r")}
+
+
+def test_the_time_is_that_of_a_copy_whose_event_is_there(spark):
+    rows = [(1, "s", "UserPromptSubmit", "p", "aa-lost", "q"), (2, "s", "UserPromptSubmit", "p", "b", "q"), (3, "s", "Stop", "p", None, "r"), (4, "s", "Stop", "p", "c", "r")]
+    assert [(r.msg_no, r.text) for r in talk(spark, rows, [("b", T(1)), ("c", T(2)), ("c", None)]).orderBy("msg_no").collect()] == [(1, "q"), (2, "r")]
+
+
+def test_an_event_of_very_many_messages_links_them_without_pairs(spark):
+    rows = [(i, None, "Stop", f"p{i}", "hot", "r") for i in range(1, 200)]
+    m = conversations.hook_messages(spark.createDataFrame([(i, s, n, p, e, None, t, "", "") for i, s, n, p, e, t in rows], HOOKS), spark.createDataFrame([("hot", T(1), "")], EVENTS))
+    assert conversations.message_links(m, spark.createDataFrame([("hot", "references", "hot")] * 50, EDGES)).count() == 198
+
+
 def test_no_conversations(spark):
     assert talk(spark, [], []).count() == 0
 
