@@ -80,9 +80,28 @@ def _once_sql(keys: str, source: str, row_id: str, columns: str) -> str:
  select {columns} from {source} where {row_id} not in (select rid from w where n > 1)"""
 
 
+def _inner_sql(x: str) -> str:
+    """A JSON string that is the whole text of an object or list as that value."""
+    return f"case when json_type({x}) = 'VARCHAR' and json_valid({x} ->> '$') then case when json_type(({x} ->> '$')::json) in ('OBJECT', 'ARRAY') then ({x} ->> '$')::json else {x} end else {x} end"
+
+
+def _list_objects_sql() -> str:
+    same, keys = "source_table, record_id, field_name", ", ".join(f"'{k}'" for k in sorted(shred.LIST_KEYS))
+    return f"""with recursive f as (select 'ledger_events' source_table, row_id record_id, 'data_json' field_name, data_json t from ledger_events
+  union all select 'claude_hooks', hook_id, 'tool_input', tool_input from claude_hooks union all select 'claude_hooks', hook_id, 'tool_response', tool_response from claude_hooks),
+ p as (select {same}, case when json_valid(t) then t::json end j from f where t is not null),
+ n({same}, node_path, found, j) as (select {same}, '', false, {_inner_sql('j')} from p
+  union all select {same}, case when kind = 'ARRAY' then node_path || '[' || (i - 1) || ']' else node_path || case when node_path = '' then '' else '.' end || k || case when one then '[0]' else '' end end, json_type(v) = 'OBJECT' and (kind = 'ARRAY' or one), v
+  from (select *, kind = 'OBJECT' and json_type(v) = 'OBJECT' and k in ({keys}) one from (select {same}, node_path, kind, i, k, {_inner_sql('x')} v
+   from (select {same}, node_path, json_type(j) kind, unnest(range(1, len(vs) + 1)) i, unnest(ks) k, unnest(vs) x
+    from (select *, case json_type(j) when 'OBJECT' then json_keys(j) else range(len(j::json[]))::varchar[] end ks, case json_type(j) when 'OBJECT' then map_values(j::map(varchar, json)) else j::json[] end vs from n where json_type(j) in ('OBJECT', 'ARRAY'))))))
+ select distinct {same}, node_path from n where found"""
+
+
 def oracle() -> dict[str, str]:
     empty = lambda c: f"coalesce({_trim(c)}, '') = ''"
     return {
+        "p3_found": _list_objects_sql(),
         "p4_found": f"""with r as (select subject_id s, lower({_trim('authority_scope')}) a, case when {empty('valid_from')} then epoch_ms(event_timestamp) else {_ms('valid_from')} end f,
    case when {empty('valid_until')} then null else {_ms('valid_until')} end u, event_timestamp t, row_id from ledger_events where kind = 'decision' and subject_id is not null and not {empty('authority_scope')}),
  w as (select * from r where f is not null and (u is null or u > f) qualify row_number() over (partition by s, f order by t desc nulls last, row_id desc) = 1),

@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -164,17 +165,123 @@ def test_shredding_against_recursion(spark):
 
 def test_very_deep_and_very_long():
     deep = shred.parsed("[" * 3000 + "{}" + "]" * 3000)
-    assert deep is None or sum(len(c.rep) for c in shred.shred([deep], False).values()) == 3000
+    assert sum(sum(c.count) for c in shred.shred([deep], False).values()) == 3000
+    assert isinstance(shred.parsed('{"a":[' * 40_000 + "]}" * 40_000), dict)
     assert shred.parsed("[" * 1_000_000) is None
     long = shred.shred([shred.parsed(json.dumps([{"v": "x" * 10}] * 50_000))], False)
-    assert len(long["[]"].rep) == 50_000
+    assert len(long[shred.ELEMENT,].rep) == 50_000
+    # elements of different keys cost a run each, not a row for each of the others
+    odd = shred.shred([[{f"k{i}": i} for i in range(20_000)]])
+    assert sum(len(c.rep) for c in odd.values()) < 100_000 and {sum(c.count) for p, c in odd.items() if len(p) == 2} == {20_000}
+
+
+@pytest.mark.parametrize("text", ["[1, -2.5e3, true, false, null, \"\\u00e9\\n\"]", "{}", "[]", ' { "a" : [ { } , [ ] ] , "b" : "" } ', "[1,]", '{"a"}', '{"a":}', "[01]", "[tru]", '{"a":1,}', "", "[", "{", '["a', "[1 2]", "[-]", '{"a":1 "b":2}', '{1:2}', "[+1]", "[1.]", '["\t"]'])
+def test_parsing_without_recursion_agrees(text):
+    def usual():
+        try:
+            return json.loads(text)
+        except ValueError:
+            return "bad"
+
+    def own():
+        try:
+            start = len(text) - len(text.lstrip())
+            value, end = shred._deep(text, start)
+            return value if not text[end:].strip() else "bad"
+        except ValueError:
+            return "bad"
+
+    assert own() == usual()
+
+
+E = shred.ELEMENT
 
 
 def test_levels_of_a_column():
-    columns = shred.shred([{"a": [{"b": [1, 2]}, {}, {"b": [3]}]}, None, {"a": []}, {"a": [{"b": []}, {"b": [4]}]}])
-    b = columns["a[].b[]"]
-    assert list(zip(b.record, b.rep, b.definition, b.value)) == [(0, 0, 3, 1), (0, 2, 3, 2), (0, 1, 1, None), (0, 1, 3, 3), (3, 0, 0, None), (3, 1, 3, 4)]
-    assert [e[:2] for e in shred.entries("a[].b[]", b)] == [(0, (0, 0)), (0, (0, 1)), (0, (2, 0)), (3, (1, 0))]
+    columns = shred.shred([{"a": [{"b": [1, 2]}, {}, {"b": [3]}, {}, {}]}, None, {"a": []}, {"a": [{"b": []}, {"b": [4]}]}])
+    b = columns["a", E, "b", E]
+    # the second and the last two elements lack b: two of four steps are there
+    assert list(zip(b.record, b.rep, b.definition, b.count, b.value)) == [(0, 0, 4, 1, 1), (0, 2, 4, 1, 2), (0, 1, 2, 1, None), (0, 1, 4, 1, 3), (0, 1, 2, 2, None), (3, 0, 2, 1, None), (3, 1, 4, 1, 4)]
+    assert [e[:2] for e in shred.entries(b)] == [(0, (0, 0)), (0, (0, 1)), (0, (2, 0)), (3, (1, 0))]
+    assert [(e[0], e[1], e[3]) for e in shred.entries(columns["a", E, "b"])] == [(0, (0,), 2), (0, (2,), 1), (3, (0,), 0), (3, (1,), 1)]
+
+
+TREE = "source_table string, record_id long, field_name string, text string"
+
+
+@pytest.mark.parametrize(
+    "record,paths",
+    [
+        ({"a.b": [{"x": 1}], "a": {"b": [{"x": 2}, {"x": 3}]}}, {"a\\.b[0]": 1, "a.b[0]": 2, "a.b[1]": 3}),
+        ({"x[]": [{"x": 1}]}, {"x\\[\\][0]": 1}),
+        ({"m.a]b": [{"x": 1, "n": [{"x": 2}]}]}, {"m\\.a\\]b[0]": 1, "m\\.a\\]b[0].n[0]": 2}),
+    ],
+)
+def test_keys_with_dots_and_brackets(spark, record, paths):
+    rows = shred.flat_tables(spark.createDataFrame([("t", 1, "f", json.dumps(record))], TREE)).collect()
+    assert {r.node_path: json.loads(r.attributes["x"]) for r in rows if r.node_path} == paths
+    at = {r.node_path for r in rows}
+    assert len(at) == len(rows) and all(r.parent_path in at for r in rows)
+
+
+def test_keys_that_read_alike(spark):
+    df = spark.createDataFrame([("t", 1, "f", '{"a.b": 1, "a": {"b": 2}}'), ("t", 2, "f", '{"a.b": [{}], "a": {"b": [{}, {}]}, "x[]": [{"k": 1}]}')], TREE)
+    assert dict(shred.flat_tables(df).where("record_id = 1").first().attributes) == {"a\\.b": "1", "a.b": "2"}
+    assert sorted(r.node_path for r in shred.list_objects(df).collect()) == ["a.b[0]", "a.b[1]", "x[][0]"]
+
+
+def normal(v, key=None):
+    """The record as its tables say it: wrapped texts opened, the single object of a list key a list of one."""
+    v = shred.unwrapped(v)
+    if isinstance(v, list):
+        return [normal(x) for x in v]
+    if isinstance(v, dict):
+        v = {k: normal(x, k) for k, x in v.items()}
+        return [v] if key in shred.LIST_KEYS else v
+    return v
+
+
+def together(rows):
+    """A record put together again from its rows."""
+    tree = {}
+
+    def put(steps, value):
+        at = tree
+        for s in steps[:-1]:
+            at = at.setdefault(s, {})
+        if value is not None or steps[-1] not in at:
+            at.setdefault(steps[-1], value) if value == {} else at.__setitem__(steps[-1], value)
+
+    def steps(path):
+        out = []
+        for m in re.finditer(r"\[(\d*)\]|((?:\\.|[^\\.\[\]])+)|(?:^|(?<=\.))(?=\.|$)", path):
+            out.append(re.sub(r"\\(.)", r"\1", m[2]) if m[2] else int(m[1]) if m[1] else "")
+        return out
+
+    for r in sorted(rows, key=lambda r: len(r.node_path)):
+        base = ["root", *steps(r.node_path)] if r.node_path else ["root"]
+        put(base, {})
+        for k, v in r.attributes.items():
+            put(base + steps(k.removesuffix("[]")) if k.removesuffix("[]") else base, json.loads(v))
+
+    def lists(v):
+        if isinstance(v, dict) and v and all(isinstance(k, int) for k in v):
+            return [lists(v[i]) for i in range(len(v))]
+        return {k: lists(x) for k, x in v.items()} if isinstance(v, dict) else v
+
+    return lists(tree["root"])
+
+
+def test_records_can_be_put_together_from_their_tables(spark):
+    random.seed(13)
+    records = [r for _ in range(400) if isinstance(r := shred.unwrapped(some_json(5)), (dict, list))]
+    df = spark.createDataFrame([("t", i, "f", json.dumps(r)) for i, r in enumerate(records)], TREE)
+    by = defaultdict(list)
+    for r in shred.flat_tables(df).collect():
+        by[r.record_id].append(r)
+    assert len(records) > 200
+    for i, r in enumerate(records):
+        assert together(by[i]) == normal(r), (r, by[i])
 
 
 def test_flat_tables_link_parents(spark):
