@@ -1,14 +1,16 @@
 """Problem 2: personal items in free text, found by a skip-chain conditional random field.
 
-A document's nodes are the places where an item can be: shapes of mail addresses, numbers and street addresses, and
-capitalised words that aren't everyday words. Neighbouring name words form a chain whose labels follow the grammar of
-names (given names and initials before a family name, or a family name, a comma and given names). Equal words, and
-words that occur in a mail address's local part, share a potential over any distance, so that a name that is plain in
-one place is found in another. Inference alternates exact passes along the chains with messages over the skip edges.
-
-The field is trained piecewise on a bounded sample of texts: labels come from the members' directory and from plain
-signs beside a number, words that can't be decided so are left out. The fitted weights, lexicons of the sample and the
-directory's names go to the tasks; their size is bounded by SAMPLE and DIRECTORY.
+A document's nodes are the places where an item can be: shapes of mail addresses, numbers and street addresses, and all
+capitalised words. Neighbouring words form a chain whose labels follow the grammar of names (given names and initials
+before a family name, or a family name, a comma and given names). Skip edges join equal and similar words of a text at
+any distance, words and the mail addresses whose local part holds them, and equal mail addresses, numbers and street
+addresses; their ends share a potential, so that what is plain in one place is found in another. Inference alternates
+exact passes along the chains with messages over the skip edges.
+
+Whether a word is an everyday one is a feature, from how many texts of the whole corpus have it in lower case, with a
+capital, and beside a known name. Nothing is left out because of it. The field is fitted piecewise on a bounded sample:
+names are labelled by the members' directory, words that stand alone are outside; the other types are fitted by
+co-training, spelling and context each learning from what the other has decided, from a few plain signs on.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import hashlib
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -25,13 +28,19 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct texts that the field is fitted on, at most.
-SAMPLE = 20_000
-#: Directory rows used as labels, at most.
+from sedimark.runtime import staged
+
+#: Distinct texts that the field is fitted on, at most, and how many characters of each (a passage from anywhere in it).
+SAMPLE, PASSAGE = 20_000, 2_000
+#: Directory rows used as labels, at most; at inference all of the directory counts.
 DIRECTORY = 50_000
+#: Labelled rows of a kind that the weights are fitted on, at most.
+ROWS = 40_000
+#: Words of the lexicon that are broadcast, at most; with more of them each text gets its own words by a join.
+LEXICON = 200_000
 ROUNDS = 3
-#: A capitalised word in more than this share of the sample's texts is an everyday word, unless it mostly stands beside a known name.
-COMMON = 0.01
+#: Least log odds of an item that equals another in its text.
+WEAK = -2.0
 
 # fixed values: street words, and words that introduce an identity number
 _STREET = "street|st|avenue|ave|road|rd|lane|ln|court|ct|close|drive|dr|way|boulevard|blvd|place|pl|square|sq|terrace|crescent|gardens|mews|parade|walk|grove"
@@ -103,12 +112,22 @@ def plain(word: str) -> str:
 
 
 class Node:
-    """A place where an item can be."""
+    """A place where an item can be. features are those of its spelling, around those of its context."""
+
+    __slots__ = ("kind", "start", "end", "word", "features", "around", "local", "key")
+
+    def __init__(self, kind: str, start: int, end: int, word: str, features: list[str], around: list[str], key: str = "", local: frozenset[str] = frozenset()) -> None:
+        self.kind, self.start, self.end, self.word, self.features, self.around, self.key, self.local = kind, start, end, word, features, around, key, local
+
+
+# what the lexicon says of a word: how much of it is in lower case (2 bits), how frequent (2), how much beside names (2), given name, family name
+_GIVEN, _FAMILY = 64, 128
 
-    __slots__ = ("kind", "start", "end", "word", "features", "glued", "local")
 
-    def __init__(self, kind: str, start: int, end: int, word: str, features: list[str], glued: bool = False, local: str = "") -> None:
-        self.kind, self.start, self.end, self.word, self.features, self.glued, self.local = kind, start, end, word, features, glued, local
+def lexicon_code(low: int, cap: int, beside: int, texts: int) -> int:
+    """Classes of a word by the numbers of texts that have it in lower case, with a capital, and with a capital beside a known name."""
+    share, often, near = low / max(1, low + cap), cap / max(1, texts), beside / max(1, cap)
+    return (0 if low == 0 else 1 if share < 0.05 else 2 if share < 0.3 else 3) | (0 if often < 0.002 else 1 if often < 0.01 else 2) << 2 | (0 if near < 0.1 else 1 if near < 0.5 else 2) << 4
 
 
 def _word_features(w: str) -> list[str]:
@@ -121,7 +140,13 @@ def _word_features(w: str) -> list[str]:
     return out
 
 
+def _lexical(code: int) -> list[str]:
+    often = code >> 2 & 3
+    return [f"low{code & 3}", f"often{often}" + (f"beside{code >> 4 & 3}" if often else "")]
+
+
 _BEFORE, _AFTER = re.compile(r"([\w.]+|[^\w\s])\s*$"), re.compile(r"\s*(\w+|[^\w\s])")
+_WORDS = re.compile(r"[^\W\d_]+")
 
 
 def _around(text: str, a: int, e: int) -> list[str]:
@@ -129,94 +154,136 @@ def _around(text: str, a: int, e: int) -> list[str]:
     return ["<" + (before.group(1).lower() if before else "^"), ">" + (after.group(1).lower() if after else "$")]
 
 
-def nodes_of(text: str, everyday: frozenset[str] | set[str], known: set[str]) -> list[Node]:
-    """The nodes of a readable text in order. Words that are everyday and no known name can only be outside, so they are no nodes."""
+def _class(c: str) -> str:
+    return "" if not c else "w" if c.isalnum() else " " if c.isspace() else c
+
+
+def _context(text: str, a: int, e: int) -> list[str]:
+    """The words before and after a place."""
+    before = _WORDS.findall(text, max(0, a - 40), a)[-3:]
+    after = _WORDS.findall(text, e, e + 24)[:1]
+    return ["bias", *{"c" + w.lower() for w in before}, *("n" + w.lower() for w in after)]
+
+
+def _spelling(text: str, a: int, e: int, shape: str) -> list[str]:
+    """The shape and the characters at both ends of a place."""
+    return ["bias", shape, "l" + _class(text[a - 2 : a - 1] if a > 1 else "") + _class(text[a - 1 : a]), "r" + _class(text[e : e + 1]) + _class(text[e + 1 : e + 2])]
+
+
+def _pattern(w: str) -> str:
+    return re.sub(r"\d+|[^\W\d_]+", lambda m: ("d" if m.group()[0].isdigit() else "a") + str(len(m.group())), w.replace("\u2011", "-").replace("\u00a0", " "))
+
+
+def _continued(features: list[str]) -> bool:
+    """Whether a name in code goes on before or after a place: nightly-922-27-3593-retry."""
+    return any(re.fullmatch(r"lw[\-/_.#@+]|r[\-_/@.]w", f) for f in features)
+
+
+def nodes_of(text: str) -> list[Node]:
+    """The nodes of a readable text in order."""
     out: list[Node] = []
-    taken: list[tuple[int, int]] = []
+    starts: list[int] = []
+    ends: list[int] = []
 
     def free(a: int, e: int) -> bool:
-        return all(e <= x or a >= y for x, y in taken)
+        i = bisect_right(starts, a)
+        return (i == 0 or ends[i - 1] <= a) and (i == len(starts) or starts[i] >= e)
+
+    def take(a: int, e: int) -> None:
+        i = bisect_right(starts, a)
+        starts.insert(i, a)
+        ends.insert(i, e)
 
     if "@" in text or "at" in text:
         for m in _MAIL.finditer(text):
             a, e = m.span()
-            after = text[e : e + 2]
-            remote = after[:1] == ":" and after[1:2] not in ("", " ", "\n") or after[:1] == "/" or text[max(0, a - 3) : a] == "://"
-            taken.append((a, e))
-            out.append(Node("email", a, e, m.group(), ["bias", "remote" if remote else "mail", "tld" + m.group(2).lower()], remote, plain(re.split(r" ?@| ?[\[({]at", m.group(), maxsplit=1)[0])))
-    digits = any(c.isdigit() for c in text)
-    if digits:
+            take(a, e)
+            local = re.split(r" ?@| ?[\[({]at", m.group(), maxsplit=1)[0]
+            parts = {plain(x) for x in re.split(r"[\W_\d]+", local)} | {plain(local)}
+            form = "@" if "@" in m.group() else "at"
+            out.append(Node("email", a, e, m.group(), _spelling(text, a, e, "tld" + m.group(2).lower()) + ["form" + form], _context(text, a, e), plain(m.group()), frozenset(parts | {x[1:] for x in parts})))
+    if any(map(str.isdigit, text)):
         for m in _ADDRESS.finditer(text):
             a, e = m.span()
             if not free(a, e):
                 continue
-            middle = (m.group(1) or "").split()
-            verb = (m.group(2) or "") in ("way", "close", "drive", "place", "walk", "square", "grove")
-            odd = verb and all(w in everyday for w in middle) or bool(m.group(2)) and m.group(2)[0].islower() != (middle[0][0].islower())
-            if text[e - 1] == "." and (m.group(2) or "").lower() not in ("st", "ave", "rd", "ln", "ct", "dr", "blvd", "pl", "sq"):
+            street, middle = (m.group(2) or "").lower(), (m.group(1) or "").split()
+            if text[e - 1] == "." and street not in ("st", "ave", "rd", "ln", "ct", "dr", "blvd", "pl", "sq"):
                 e -= 1
-            taken.append((a, e))
-            out.append(Node("address", a, e, text[a:e], ["bias", "odd" if odd else "street"], odd))
+            take(a, e)
+            case = "".join(sorted({"A" if w[0].isupper() else "a" for w in [*middle, m.group(2) or "-"]}))
+            town = re.search(r"\d{5}", text[a:e]) is not None
+            out.append(Node("address", a, e, text[a:e], _spelling(text, a, e, "street" + street) + ["case" + case] + ["town"] * town, _context(text, a, e), plain(text[a:e])))
         for m in _PHONE.finditer(text):
             a, e = m.span()
-            n = sum(c.isdigit() for c in m.group())
-            if 9 <= n <= 15 and free(a, e):
-                version = re.search(r"(?i)(?:version|v|offset|clock said)\s*$", text[max(0, a - 12) : a]) is not None
-                taken.append((a, e))
-                out.append(Node("phone", a, e, m.group(), ["bias", "version" if version else "call"], version))
+            if 9 <= sum(map(str.isdigit, m.group())) <= 15 and free(a, e):
+                take(a, e)
+                out.append(Node("phone", a, e, m.group(), _spelling(text, a, e, _pattern(m.group())) + ["abroad"] * (m.group()[0] == "+" or m.group()[:2] == "00"), _context(text, a, e), plain(m.group())))
         for m in _ID.finditer(text):
             a, e = m.span()
             if not free(a, e):
                 continue
-            w = m.group()
+            take(a, e)
             named = _LEAD.search(text, max(0, a - 48), a) is not None
-            glued = (text[a - 1 : a] in ("-", "/", "_", ".", "#", "@", "+") and a > 1 and text[a - 2].isalnum()) or (text[e : e + 1] in ("-", "_", "/", "@") and text[e + 1 : e + 2].isalnum()) or (text[e : e + 1] == "." and text[e + 1 : e + 2].isalnum())
-            shape = "ssn" if w[3:4] in "- \u2011" and w[:3].isdigit() else "digits" if w.isdigit() else "nino" if w[:2].isalpha() and w[-1].isalpha() else "card" if w[1:3].isdigit() else "passport"
-            if shape == "digits" and not named:
-                continue
-            taken.append((a, e))
-            out.append(Node("id_number", a, e, w, ["bias", shape, "named" if named else "bare", "glued" if glued else "apart"], glued))
+            out.append(Node("id_number", a, e, m.group(), _spelling(text, a, e, _pattern(m.group())), _context(text, a, e) + ["named" if named else "bare"], plain(m.group())))
     for m in _WORD.finditer(text):
         a, e = m.span()
-        w = m.group()
-        low = w.lower()
-        if len(w) < 2 or (low in everyday and plain(w) not in known) or not free(a, e):
-            continue
-        out.append(Node("word", a, e, w, _word_features(w) + _around(text, a, e)))
+        if e - a > 1 and free(a, e):
+            out.append(Node("word", a, e, m.group(), [], [], plain(m.group())))
     out.sort(key=lambda n: n.start)
     return out
 
 
 class Field:
-    """Fitted weights: unary by kind, feature and class; transitions by gap; skip edges by kind of edge."""
+    """Fitted weights: unary by kind and feature; transitions by gap; skip edges by kind of edge. names are the known ones of the fit."""
 
     def __init__(self) -> None:
         self.unary: dict[str, dict[str, list[float]]] = {}
-        self.everyday: frozenset[str] = frozenset()
-        self.given: set[str] = set()
-        self.family: set[str] = set()
+        self.context: dict[str, dict[str, list[float]]] = {}
         self.step: dict[tuple[int, int, int], float] = {}
-        self.same = self.mailed = 1.0
-
-    def scores(self, n: Node) -> list[float]:
-        """Log potentials by class: outside, given, family of a word; outside, inside of another node."""
-        table = self.unary[n.kind]
-        s = [0.0, 0.0, 0.0] if n.kind == "word" else [0.0, 0.0]
-        for f in n.features:
+        self.same = self.similar = self.mailed = 1.0
+        # the same number or address in one text is the same thing
+        self.equal = 6.0
+        self._known: dict[str, list[float]] = {}
+
+    def scores(self, n: Node, text: str, code: int) -> list[float]:
+        """Log potentials of a word by class: outside, given, family."""
+        table = self.unary["word"]
+        own = self._known.get(n.word)
+        if own is None:
+            own = [0.0, 0.0, 0.0]
+            for f in _word_features(n.word):
+                w = table.get(f)
+                if w:
+                    own = [a + b for a, b in zip(own, w)]
+            if len(self._known) > 100_000:
+                self._known.clear()
+            self._known[n.word] = own
+        s = list(own)
+        for f in (*_lexical(code), *_around(text, n.start, n.end)):
             w = table.get(f)
             if w:
-                for k, v in enumerate(w):
-                    s[k] += v
-        if n.kind == "word":
-            p = plain(n.word)
-            if n.word[-1] == ".":
-                s[2] = _NEVER
-            if p in self.given:
-                s[1] += 2.0
-            if p in self.family:
-                s[2] += 2.0
+                s[0] += w[0]
+                s[1] += w[1]
+                s[2] += w[2]
+        if n.word[-1] == ".":
+            s[2] = _NEVER
+        if code & _GIVEN:
+            s[1] += 2.0
+        if code & _FAMILY:
+            s[2] += 2.0
         return s
 
+    def odds(self, n: Node) -> float:
+        """Log odds that a mail address, number or street address is an item."""
+        total = 0.0
+        for table, features in ((self.unary[n.kind], n.features), (self.context[n.kind], n.around)):
+            for f in features:
+                w = table.get(f)
+                if w:
+                    total += w[1] - w[0]
+        return total
+
 
 def _softmax_fit(rows: list[tuple[list[str], int]], classes: int, rounds: int = 12, rate: float = 0.3, decay: float = 1e-4) -> dict[str, list[float]]:
     """Multinomial logistic weights by adaptive gradient steps in a fixed order."""
@@ -240,96 +307,144 @@ def _softmax_fit(rows: list[tuple[list[str], int]], classes: int, rounds: int =
     return {f: [round(x, 4) for x in v] for f, v in w.items()}
 
 
-def fit(texts: list[str], directory: list[tuple[str | None, str | None]]) -> Field:
-    """The field fitted on sample texts and directory names."""
+def _weights(rows: list[tuple[list[str], int]], classes: int) -> dict[str, list[float]]:
+    return _softmax_fit(sorted(rows, key=hash_order)[:ROWS], classes)
+
+
+# numbers and words with a number that are no items; they show which contexts mean something else
+_OTHER = re.compile(r"(?<![\w.\-])\d[\d.:]{3,}\d(?![\w\-])|(?<![\w.\-])\d{1,4} [a-zà-ÿ]{3,}(?: [a-zà-ÿ]{3,})?(?!\w)")
+_SHAPES = {"id_number": ("d3-d2-d4", "d3 d2 d4", "a2 d2 d2 d2 a1", "a2d6a1", "a2d7", "a1d2 d4 d4", "d8a1"), "email": ("form@", "format"), "phone": ("abroad",), "address": ("town",)}
+
+
+def co_trained(kind: str, nodes: list[Node], seeds: list[int | None], others: list[list[str]]) -> tuple[dict[str, list[float]], dict[str, list[float]]]:
+    """Weights of spelling and of context. seeds are labels of some nodes by plain signs; others are contexts of what is none.
+
+    Spelling learns from the seeds, context from the seeds and what spelling then decides, spelling once more from the
+    seeds and what context decides. Nodes of which a side isn't sure are left out.
+    """
+    prior = [(["bias"], 1)] + [(["bias", s], 1) for s in _SHAPES[kind]] * 4
+    # digits alone say nothing, but may be said to be one
+    plain_digits = kind == "id_number"
+    prior += [(["bias", "d9"], 0)] * 4 * plain_digits
+    spelling: dict[str, list[float]] = {}
+    context: dict[str, list[float]] = {}
+    said = [(["bias"], 1)] * 2 + ([(["bias", "named"], 1)] * 5 + [(["bias", "bare"], 0)]) * 2 * plain_digits
+
+    def sure(table: dict[str, list[float]], features: list[str]) -> int | None:
+        s = sum(w[1] - w[0] for f in features if (w := table.get(f)))
+        return 1 if s > 1 else 0 if s < -1 else None
+
+    for turn in range(2):
+        known = [y if y is not None or not turn else sure(context, n.around) for n, y in zip(nodes, seeds)]
+        spelling = _weights(prior + [(n.features, y) for n, y in zip(nodes, known) if y is not None], 2)
+        known = [y if y is not None else sure(spelling, n.features) for n, y in zip(nodes, seeds)]
+        context = _weights(said + [(c, 0) for c in others] + [(n.around, y) for n, y in zip(nodes, known) if y is not None], 2)
+    return spelling, context
+
+
+def _seed(n: Node, names: set[str]) -> int | None:
+    """The label of a node that plain signs give, or None."""
+    if n.kind == "email":
+        # a directory name in the local part, or a path after the host
+        after = next(f for f in n.features if f[0] == "r" and f != "r")[1:] if any(f[0] == "r" and f != "r" for f in n.features) else ""
+        return 0 if after[:1] in (":", "/") and after[1:] not in ("", " ") else 1 if any(len(x) > 3 and x in names for x in n.local) else None
+    if n.kind == "id_number":
+        # said to be one, part of a longer name, or digits without any word
+        return 0 if _continued(n.features) else 1 if "named" in n.around else 0 if n.word.isdigit() else None
+    return 1 if ("abroad" if n.kind == "phone" else "town") in n.features else None
+
+
+def fit(texts: list[str], directory: list[tuple[str | None, str | None]], lexicon: dict[str, int] | None = None) -> Field:
+    """The field fitted on sample texts and directory names. Without a lexicon that of the sample is taken."""
     field = Field()
-    field.given = {plain(g) for g, _ in directory if g}
-    field.family = {plain(f) for _, f in directory if f}
+    given, family = {plain(g) for g, _ in directory if g}, {plain(f) for _, f in directory if f}
+    names = given | family
     read = [readable(t)[0] for t in texts]
-    low: Counter[str] = Counter()
-    for t in read:
-        t = _ADDRESS.sub(" ", t)
-        low.update(set(re.findall(r"(?<![\w@.+\-])[a-zà-ÿ]{2,}(?![\w@+]|[.\-_]\w|[ ]?[@\[(])", t)))
-        low.update(set(re.findall(r"(?<![\w@.+])(?:[a-z]{3,}(?=/)|(?<=/)[a-z]{3,})(?!\w)", t)))
-    # what begins so many texts is no personal name either
-    often: Counter[str] = Counter()
-    beside: Counter[str] = Counter()
-    names = field.given | field.family
-    for t in read:
-        words = list(regex.finditer(r"(?<![\w@.+/\-])\p{Lu}\p{Ll}+(?![\w@/\-])", t))
-        often.update({m.group().lower() for m in words})
-        near: set[str] = set()
-        for a, b in zip(words, words[1:]):
-            if t[a.end() : b.start()] in _GAPS:
-                if plain(a.group()) in field.given:
-                    near.add(b.group().lower())
-                if plain(b.group()) in field.family and a.start() and t[a.start() - 1] not in "\n\"" and t[max(0, a.start() - 2) : a.start()] not in (". ", "? ", "! "):
-                    near.add(a.group().lower())
-        beside.update(near)
-    field.everyday = frozenset([*(w for w, n in low.items() if n >= 3 and w not in names), *(w for w, n in often.items() if n >= max(8, len(read) * COMMON) and 2 * beside[w] < n and plain(w) not in names)])
-    rows: dict[str, list[tuple[list[str], int]]] = defaultdict(list)
+    if lexicon is None:
+        lexicon = lexicon_of(texts, directory)
+    rows: list[tuple[list[str], int]] = []
+    outside: list[tuple[list[str], int]] = []
     steps: Counter[tuple[int, int, int]] = Counter()
-    agree, mail, other = [0, 0], [0, 0], [0, 0]
+    agree, alike, mail, other = [0, 0], [0, 0], [0, 0], [0, 0]
+    items_: dict[str, list[Node]] = defaultdict(list)
+    others: dict[bool, list[list[str]]] = {True: [], False: []}
     for t in read:
-        nodes = nodes_of(t, field.everyday, names)
+        nodes = nodes_of(t)
         label: dict[int, int] = {}
-        for i, n in enumerate(nodes):
+        for n in nodes:
             if n.kind != "word":
-                rows[n.kind].append((n.features, int(not n.glued)))
+                items_[n.kind].append(n)
+        taken = [(n.start, n.end) for n in nodes if n.kind != "word"]
+        for m in _OTHER.finditer(t):
+            if not any(a < m.end() and m.start() < e for a, e in taken):
+                others[" " not in m.group()].append(_context(t, *m.span()) + ["bare"])
+        said = [_LEAD.search(t, max(0, n.start - 48), n.start).span() for n in nodes if n.kind == "id_number" and "named" in n.around]
         words = [n for n in nodes if n.kind == "word"]
-        for a, b in zip(words, words[1:]):
-            gap = _GAPS.get(t[a.end : b.start])
-            x, y = plain(a.word), plain(b.word)
-            if gap == 0 and (x in field.given or a.word[-1] == ".") and y in field.family:
+        gaps = [_GAPS.get(t[a.end : b.start]) for a, b in zip(words, words[1:])]
+        for a, b, gap in zip(words, words[1:], gaps):
+            if gap == 0 and (a.key in given or a.word[-1] == ".") and b.key in family:
                 label[a.start], label[b.start] = G1, F2
-            elif gap == 1 and x in field.family and (y in field.given or b.word[-1] == ".") and a.start not in label:
+            elif gap == 1 and a.key in family and (b.key in given or b.word[-1] == ".") and a.start not in label:
                 label[a.start], label[b.start] = F1, G2
         # given names and initials before a given name belong to the name
-        for a, b in reversed(list(zip(words, words[1:]))):
-            if a.start not in label and _GAPS.get(t[a.end : b.start]) == 0:
-                if label.get(b.start) == G1 and (a.word[-1] == "." or plain(a.word) in field.given):
-                    label[a.start] = G1
-        for a, b in zip(words, words[1:]):
-            if b.start not in label and label.get(a.start) == G2 and _GAPS.get(t[a.end : b.start]) == 0 and b.word[-1] == ".":
+        for a, b, gap in reversed(list(zip(words, words[1:], gaps))):
+            if a.start not in label and gap == 0 and label.get(b.start) == G1 and (a.word[-1] == "." or a.key in given):
+                label[a.start] = G1
+        for a, b, gap in zip(words, words[1:], gaps):
+            if b.start not in label and gap == 0 and label.get(a.start) == G2 and b.word[-1] == ".":
                 label[b.start] = G2
-        for a, b in zip(words, words[1:]):
-            gap = _GAPS.get(t[a.end : b.start])
+        for a, b, gap in zip(words, words[1:], gaps):
             if gap is not None and a.start in label and b.start in label:
                 steps[label[a.start], gap, label[b.start]] += 1
-        locals_ = [n.local for n in nodes if n.kind == "email"]
-        counts = Counter(plain(n.word) for n in words)
+        locals_ = frozenset().union(*(n.local for n in nodes if n.kind == "email"))
+        by: dict[str, list[Node]] = defaultdict(list)
+        chained = {n.start for a, b, gap in zip(words, words[1:], gaps) if gap is not None for n in (a, b)}
         for n in words:
-            p, y = plain(n.word), label.get(n.start)
-            if y is None and locals_ and n.word[-1] != ".":
-                other[any(p in x for x in locals_)] += 1
+            # a word alone has no label that could agree
+            if n.word[-1] != "." and n.start in chained:
+                by[n.key].append(n)
+        for p, same in by.items():
+            hit = [n.start in label for n in same]
+            if len(same) > 1 and any(hit):
+                agree[all(hit)] += 1
+            for q in _variants(same[0]):
+                if q != p and q in by and any(hit):
+                    alike[any(n.start in label for n in by[q])] += 1
+            if locals_ and len(p) > 3:
+                (mail if any(hit) else other)[p in locals_] += 1
+        for i, n in enumerate(words):
+            y = label.get(n.start)
+            code = lexicon.get(n.key, 0)
             if y is not None:
-                rows["word"].append((n.features, 1 if y in (G1, G2) else 2))
-                if locals_ and n.word[-1] != ".":
-                    mail[any(p in x for x in locals_)] += 1
-                if counts[p] > 1 and n.word[-1] != ".":
-                    agree[all(m.start in label for m in words if plain(m.word) == p)] += 1
-        for m in re.finditer(r"(?<![\w@/.\-])[A-Z][a-z]+(?![\w@/\-]|\.\w)", t):
-            if m.group().lower() in field.everyday:
-                rows["word"].append((_word_features(m.group()) + _around(t, *m.span()), 0))
-    # the directory and the everyday words as types, so that endings count beside places
-    rows["word"] += [(_word_features(g.title()), 1) for g, _ in directory if g] + [(_word_features(f), 2) for _, f in directory if f] + [(_word_features(w.title()), 0) for w in sorted(field.everyday)]
-    outside = [r for r in rows["word"] if r[1] == 0]
-    keep = max(1, len(outside) // max(2000, 2 * (len(rows["word"]) - len(outside))))
-    rows["word"] = [r for r in rows["word"] if r[1]] + outside[::keep]
-    for kind in ("word", "email", "phone", "id_number", "address"):
-        # pseudo-rows keep classes and shapes possible that the sample lacks
-        base = [(["bias"], k) for k in range(3 if kind == "word" else 2)] * 2 if kind == "word" else [(["bias"], 1), (["bias", "remote", "odd", "version", "glued"], 0), (["bias", "mail", "street", "call", "named", "apart"], 1)] * 4
-        if kind == "id_number":
-            base += [(["bias", shape, said, "apart"], 1) for shape in ("ssn", "digits", "nino", "card", "passport") for said in ("named", "bare")] * 4
-        mixed = sorted(rows[kind], key=lambda r: hash_order(r))
-        field.unary[kind] = _softmax_fit(base + mixed[:40_000], 3 if kind == "word" else 2)
+                rows.append((_word_features(n.word) + _lexical(code) + _around(t, n.start, n.end), 1 if y in (G1, G2) else 2))
+            elif any(a <= n.start < e for a, e in said):
+                # of the words that introduce a number
+                outside.append((_word_features(n.word) + _lexical(code) + _around(t, n.start, n.end), 0))
+            elif n.key not in names and n.word[-1] != "." and (i == 0 or gaps[i - 1] is None) and (i + 1 == len(words) or gaps[i] is None):
+                # alone, so no name of a person in full
+                outside.append((_word_features(n.word) + _lexical(code) + _around(t, n.start, n.end), 0))
+            elif n.key not in names and n.word[-1] != "." and i + 1 < len(words) and gaps[i] == 0 and label.get(words[i + 1].start) == G1 and n.key in lexicon and lexicon[n.key] & 3 | lexicon[n.key] >> 2 & 3:
+                # beside a name that is whole without it
+                outside.append((_word_features(n.word) + _lexical(code) + _around(t, n.start, n.end), 0))
+    # names as types, so that endings count beside places
+    rows += [(_word_features(g.title()), 1) for g, _ in directory if g] + [(_word_features(f), 2) for _, f in directory if f]
+    base = [(["bias"], k) for k in range(3)] * 2
+    keep = ROWS - min(len(rows), ROWS // 2)
+    field.unary["word"] = _softmax_fit(base + sorted(sorted(rows, key=hash_order)[: ROWS // 2] + sorted(outside, key=hash_order)[:keep], key=hash_order), 3)
+    for kind in _SHAPES:
+        nodes = items_[kind]
+        # a quarter as many contexts of other numbers as there are candidates
+        none = sorted(others[kind != "address"], key=lambda o: hash_order((o, 0)))[: min(len(nodes) // 4, ROWS // 4)] if kind != "email" else []
+        field.unary[kind], field.context[kind] = co_trained(kind, nodes, [_seed(n, names) for n in nodes], none)
     total = Counter()
     for (x, gap, _), n in steps.items():
         total[x, gap] += n
     for (x, gap), ys in _LEGAL.items():
         for y in ys:
             field.step[x, gap, y] = 1.0 + math.log((steps[x, gap, y] + 1) / (total[x, gap] + len(ys)))
-    field.same = min(3.0, max(0.5, math.log((agree[1] + 1) / (agree[0] + 1))))
+    # equal words agree unless the sample says otherwise
+    bounded = lambda yes, no: min(3.0, max(0.5, math.log((yes + 4) / (no + 1))))
+    field.same, field.similar = bounded(agree[1], agree[0]), bounded(alike[1], alike[0])
     field.mailed = min(3.0, max(0.5, math.log((mail[1] + 1) / (sum(mail) + 2) * (sum(other) + 2) / (other[1] + 1))))
     return field
 
@@ -386,80 +501,117 @@ def _chain(local: list[list[float]], gaps: list[int | None], step: dict[tuple[in
     return out
 
 
-def items(text: str, field: Field) -> list[tuple[str, int, int]]:
-    """(pii_type, start, end) of a readable text, in order."""
-    nodes = nodes_of(text, field.everyday, field.given | field.family)
-    if not nodes:
-        return []
-    out: list[tuple[str, int, int]] = []
-    mails: list[str] = []
-    words: list[Node] = []
-    for n in nodes:
-        if n.kind == "word":
-            words.append(n)
-            continue
-        s = field.scores(n)
-        if s[1] > s[0]:
-            out.append((n.kind, n.start, n.end))
-            if n.kind == "email":
-                mails.append(n.local)
+def _agreeing(odds: list[float], weight: float) -> list[float]:
+    """What each end of a skip edge of that weight says to the others, by its own odds."""
+    return [math.log((1 + math.exp(o + weight)) / (math.exp(weight) + math.exp(o))) for o in (max(-20.0, min(20.0, o)) for o in odds)]
+
+
+def _variants(n: Node) -> set[str]:
+    """Spellings of a word that count as similar: without a final s, and the parts of a hyphenated one."""
+    out = {n.key.removesuffix("s") if len(n.key) > 4 else n.key}
+    if "-" in n.word:
+        out |= {plain(x) for x in n.word.split("-") if len(x) > 3}
+    return out | {n.key}
+
+
+def items(text: str, field: Field, lexicon: dict[str, int], skip: bool = True, chain: bool = True) -> list[tuple[str, int, int]]:
+    """(pii_type, start, end) of a readable text, in order. Without skip no message passes over skip edges, without chain neighbours don't count: for measuring."""
+    nodes = nodes_of(text)
+    shapes = [n for n in nodes if n.kind != "word"]
+    words = [n for n in nodes if n.kind == "word"]
+    odds = [field.odds(n) for n in shapes]
+    equal: dict[tuple[str, str], list[int]] = defaultdict(list)
+    for i, n in enumerate(shapes):
+        # within a name in code the same digits are something else
+        if n.kind != "id_number" or not _continued(n.features):
+            equal[n.kind, n.key].append(i)
+    total = list(odds)
+    for at in equal.values():
+        if len(at) > 1 and skip:
+            # one clique of equal items; that nothing is said of one in its place is weak evidence against it
+            own = [max(WEAK, odds[i]) for i in at]
+            says = _agreeing(own, field.equal)
+            whole = sum(says)
+            for i, o, said in zip(at, own, says):
+                total[i] = o + max(-6.0, min(6.0, whole - said))
+    out = [(n.kind, n.start, n.end) for n, o in zip(shapes, total) if o > 0]
     if len(words) > 1:
-        out += _names(text, words, mails, field)
+        mails: dict[str, float] = {}
+        for n, o in zip(shapes, total):
+            if n.kind == "email":
+                for x in n.local:
+                    if len(x) > 3:
+                        mails[x] = max(mails.get(x, -20.0), o)
+        out += _names(text, words, mails if skip else {}, field, lexicon, skip, chain)
     out.sort(key=lambda x: x[1])
     return out
 
 
-def _names(text: str, words: list[Node], mails: list[str], field: Field) -> list[tuple[str, int, int]]:
-    unary = []
-    for n in words:
-        o, g, f = field.scores(n)
-        unary.append([o, g, f, f, g])
+def _names(text: str, words: list[Node], mails: dict[str, float], field: Field, lexicon: dict[str, int], skip: bool = True, chained: bool = True) -> list[tuple[str, int, int]]:
     chains: list[list[int]] = [[0]]
     for i in range(1, len(words)):
         if text[words[i - 1].end : words[i].start] in _GAPS:
             chains[-1].append(i)
         else:
             chains.append([i])
-    # a chain of one word can't hold a name; it stays a node, since it may say something over a skip edge
-    gaps = [[_GAPS.get(text[words[a].end : words[b].start]) for a, b in zip(c, c[1:])] for c in chains]
     by: dict[str, list[int]] = defaultdict(list)
+    near: dict[str, list[int]] = defaultdict(list)
     for i, n in enumerate(words):
         if n.word[-1] != ".":
-            by[plain(n.word)].append(i)
-    extra = [[0.0] * 5 for _ in words]
-    for p, at in by.items():
-        if len(p) > 3 and any(p in m for m in mails):
-            for i in at:
-                for y in range(1, 5):
-                    extra[i][y] += field.mailed
-    skips = [at for at in by.values() if len(at) > 1]
-    message: dict[int, float] = {}
+            by[n.key].append(i)
+            for v in _variants(n):
+                near[v].append(i)
+    # a word alone can't be a name; it stays a node if it has something to say over a skip edge
+    linked = {i for at in near.values() if len(at) > 1 for i in at}
+    chains = [c for c in chains if len(c) > 1 or skip and c[0] in linked]
+    if not any(len(c) > 1 for c in chains):
+        return []
+    unary: dict[int, list[float]] = {}
+    for c in chains:
+        for i in c:
+            o, g, f = field.scores(words[i], text, lexicon.get(words[i].key, 0))
+            unary[i] = [o, g, f, f, g]
+    gaps = [[_GAPS.get(text[words[a].end : words[b].start]) for a, b in zip(c, c[1:])] for c in chains]
+    fixed: dict[int, float] = {}
+    if skip:
+        for x, o in mails.items():
+            (says,) = _agreeing([o], field.mailed)
+            for i in by.get(x, ()):
+                fixed[i] = says
+    skips = [(at, field.same) for at in by.values() if len(at) > 1]
+    # similar words: groups that hold more than one spelling
+    skips += [(at, field.similar) for at in near.values() if len({words[i].key for i in at}) > 1]
+    skips = [([i for i in at if i in unary], w) for at, w in skips] if skip else []
+    skips = [(at, w) for at, w in skips if len(at) > 1]
+    came: dict[tuple[int, int], float] = {}
+    message = dict(fixed)
+    step = field.step if chained else {}
+    local = lambda c: [[u + (message.get(i, 0.0) if y else 0.0) for y, u in enumerate(unary[i])] for i in c]
     for _ in range(ROUNDS if skips else 0):
-        inside = [0.0] * len(words)
+        inside: dict[int, float] = {}
         for c, g in zip(chains, gaps):
-            local = [[u + x + (message.get(i, 0.0) if y else 0.0) for y, (u, x) in enumerate(zip(unary[i], extra[i]))] for i in c]
             if len(c) > 1:
-                marginal = _chain(local, g, field.step, False)
+                marginal = _chain(local(c), g, step, False)
             else:
-                z = _logsum(local[0])
-                marginal = [[x - z for x in local[0]]]
+                (own,) = local(c)
+                z = _logsum(own)
+                marginal = [[x - z for x in own]]
             for i, m in zip(c, marginal):
                 inside[i] = max(-20.0, min(20.0, _logsum(m[1:]) - m[0]))
-        new: dict[int, float] = {}
-        for at in skips:
-            # belief without what came over the skip edge; equal words agree with weight `same`
-            odds = {i: inside[i] - message.get(i, 0.0) for i in at}
-            says = {i: math.log((1 + math.exp(o + field.same)) / (math.exp(field.same) + math.exp(o))) for i, o in odds.items()}
-            total = sum(says.values())
-            for i in at:
-                new[i] = max(-4.0, min(4.0, total - says[i]))
+        new = dict(fixed)
+        for k, (at, weight) in enumerate(skips):
+            # belief without what came over this edge; its ends agree with the edge's weight
+            says = _agreeing([inside[i] - came.get((k, i), 0.0) for i in at], weight)
+            total = sum(says)
+            for i, own in zip(at, says):
+                came[k, i] = max(-4.0, min(4.0, total - own))
+                new[i] = new.get(i, 0.0) + came[k, i]
         message = new
     out = []
     for c, g in zip(chains, gaps):
         if len(c) < 2:
             continue
-        local = [[u + x + (message.get(i, 0.0) if y else 0.0) for y, (u, x) in enumerate(zip(unary[i], extra[i]))] for i in c]
-        labels = _chain(local, g, field.step, True)
+        labels = _chain(local(c), g, step, True)
         start = None
         for k, y in enumerate(labels):
             before = labels[k - 1] if k else O
@@ -471,6 +623,50 @@ def _names(text: str, words: list[Node], mails: list[str], field: Field) -> list
     return out
 
 
+_LOWER = re.compile(r"(?<![\w@.+\-])[a-zà-ÿ]{2,}(?![\w@+]|[.\-_]\w|[ ]?[@\[(])|(?<![\w@.+])(?:[a-z]{3,}(?=/)|(?<=/)[a-z]{3,})(?!\w)")
+_UPPER = regex.compile(r"(?<![\w@.+/\-])\p{Lu}\p{Ll}+(?![\w@/\-])")
+
+
+def counted_words(texts: list[str], given: set[str], family: set[str]) -> dict[str, list[int]]:
+    """Of each word the numbers of texts that have it in lower case, with a capital, and with a capital beside a known name."""
+    counts: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
+    key: dict[str, str] = {}
+
+    def of(w: str) -> str:
+        k = key.get(w)
+        if k is None:
+            k = key[w] = plain(w)
+        return k
+
+    for text in texts:
+        t, _ = readable(text)
+        for w in {of(w) for w in _LOWER.findall(t)}:
+            counts[w][0] += 1
+        words = [(m.start(), m.end(), of(m.group())) for m in _UPPER.finditer(t)]
+        near: set[str] = set()
+        for (a, b, x), (c, _, y) in zip(words, words[1:]):
+            if t[b:c] in _GAPS:
+                if x in given:
+                    near.add(y)
+                if y in family and a and t[a - 1] not in "\n\"" and t[max(0, a - 2) : a] not in (". ", "? ", "! "):
+                    near.add(x)
+        for w in {w for _, _, w in words}:
+            counts[w][1] += 1
+        for w in near:
+            counts[w][2] += 1
+    return counts
+
+
+def lexicon_of(texts: list[str], directory: list[tuple[str | None, str | None]]) -> dict[str, int]:
+    """The lexicon of texts that are here, as `lexicon` makes it of all."""
+    given, family = {plain(g) for g, _ in directory if g}, {plain(f) for _, f in directory if f}
+    out = {w: code for w, (a, b, c) in counted_words(texts, given, family).items() if b and (code := lexicon_code(a, b, c, len(texts)))}
+    for names, flag in ((given, _GIVEN), (family, _FAMILY)):
+        for n in names:
+            out[n] = out.get(n, 0) | flag
+    return out
+
+
 def free_texts(ledger: DataFrame, hooks: DataFrame) -> DataFrame:
     """(source_table, record_id, field_name, text) of the fields of problem 2, without nulls and texts that are too short to hold an item."""
     one = F.explode(F.array(*[F.struct(F.lit(n).alias("field_name"), F.col(n).alias("text")) for n in ("prompt", "tool_response")])).alias("f")
@@ -479,27 +675,74 @@ def free_texts(ledger: DataFrame, hooks: DataFrame) -> DataFrame:
     return a.union(b).where(F.length("text") > 4)
 
 
-def fitted(texts: DataFrame, members: DataFrame, sample: int = SAMPLE, directory: int = DIRECTORY) -> Field:
-    """The field fitted on at most `sample` distinct texts, those of smallest hash, and at most `directory` members."""
+def sampled(texts: DataFrame, members: DataFrame, sample: int = SAMPLE, directory: int = DIRECTORY) -> tuple[list[str], list[tuple[str | None, str | None]], int]:
+    """A passage each of at most `sample` of texts(text_key, text), at most `directory` members, both by smallest hash, and the number of texts."""
     n = texts.count()
-    share = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < min(1 << 20, int((1 << 20) * 1.5 * sample / max(1, n)) + 1)
-    rows = texts.where(share).select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(sample).collect()
-    names = members.select("given_name", "family_name").distinct().orderBy("given_name", "family_name").limit(directory).collect()
-    return fit([r[0] for r in rows], [tuple(r) for r in names])
+    share = F.pmod(F.xxhash64("text_key"), F.lit(1 << 20)) < min(1 << 20, int((1 << 20) * 1.5 * sample / max(1, n)) + 1)
+    begin = 1 + F.pmod(F.xxhash64("text_key", F.lit(1)), F.greatest(F.lit(1), F.length("text") - PASSAGE + 1)).cast("int")
+    rows = texts.where(share).select(F.xxhash64("text_key").alias("h"), F.substring(F.col("text"), begin, F.lit(PASSAGE)).alias("t")).orderBy("h", "t").limit(sample).collect()
+    names = members.select("given_name", "family_name").distinct().orderBy(F.xxhash64("given_name", "family_name"), "given_name", "family_name").limit(directory).collect()
+    return [r.t for r in rows], [tuple(r) for r in names], n
 
 
-def text_items(texts: DataFrame, field: Field) -> DataFrame:
-    """(text_key, starts, ends, types) of texts(text_key, text) that have items; places in code points of the stored text, from 0."""
+def lexicon_table(texts: DataFrame, members: DataFrame, known: list[tuple[str | None, str | None]], n_texts: int) -> DataFrame:
+    """(word, code) of all words of texts(text_key, text) that stand with a capital somewhere and of which there is something to say, and of all names of members. Stages."""
+    given, family = {plain(g) for g, _ in known if g}, {plain(f) for _, f in known if f}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = counted_words(b.column("text").to_pylist(), given, family)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), *(pa.array([v[i] for v in c.values()], pa.int64()) for i in range(3))], names=["word", "low", "cap", "beside"])
+
+    counts = texts.select("text").mapInArrow(count, "word string, low long, cap long, beside long").groupBy("word").agg(*[F.sum(x).alias(x) for x in ("low", "cap", "beside")]).where("cap > 0")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code = [lexicon_code(*v, n_texts) for v in zip(*(b.column(x).to_pylist() for x in ("low", "cap", "beside")))]
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(code, pa.int32())], names=["word", "code"])
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = {(plain(x), flag) for c, flag in (("given_name", _GIVEN), ("family_name", _FAMILY)) for x in b.column(c).to_pylist() if x}
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in pairs], pa.string()), pa.array([f for _, f in pairs], pa.int32())], names=["word", "code"])
+
+    both = counts.mapInArrow(encode, "word string, code int").where("code <> 0").union(members.select("given_name", "family_name").mapInArrow(spelled, "word string, code int"))
+    return staged(both.groupBy("word").agg(F.bit_or("code").alias("code")), "lexicon")
+
+
+def _words_of(texts: DataFrame) -> DataFrame:
+    """(text_key, word) of the distinct capitalised words of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, words = [], []
+            for key, text in zip(b.column("text_key").to_pylist(), b.column("text").to_pylist()):
+                own = {plain(m.group()) for m in _WORD.finditer(readable(text)[0])}
+                keys += [key] * len(own)
+                words += own
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(words, pa.string())], names=["text_key", "word"])
+
+    return texts.select("text_key", "text").mapInArrow(run, "text_key binary, word string")
+
+
+def text_items(texts: DataFrame, field: Field, lexicon: DataFrame, most: int = LEXICON) -> DataFrame:
+    """(text_key, starts, ends, types) of texts(text_key, text) that have items; places in code points of the stored text, from 0.
+
+    A lexicon of at most `most` words goes to all tasks; of a larger one each text gets its own words by a join.
+    """
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(field)
+    small = lexicon.limit(most + 1).count() <= most
+    words = spark.sparkContext.broadcast({r.word: r.code for r in lexicon.collect()} if small else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = shared.value
+        f, every = shared.value, words.value
         for b in batches:
             keys, starts, ends, types = [], [], [], []
-            for key, text in zip(b.column("text_key").to_pylist(), b.column("text").to_pylist()):
+            own = [None] * b.num_rows if small else b.column("words").to_pylist()
+            for key, text, mine in zip(b.column("text_key").to_pylist(), b.column("text").to_pylist(), own):
                 clear, at = readable(text)
-                found = items(clear, f)
+                found = items(clear, f, every if small else {x["word"]: x["code"] for x in mine or ()})
                 if found:
                     keys.append(key)
                     starts.append([s if at is None else at[s] for _, s, _ in found])
@@ -507,13 +750,24 @@ def text_items(texts: DataFrame, field: Field) -> DataFrame:
                     types.append([t for t, _, _ in found])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(types, pa.list_(pa.string()))], names=["text_key", "starts", "ends", "types"])
 
-    return texts.select("text_key", "text").mapInArrow(run, "text_key binary, starts array<int>, ends array<int>, types array<string>")
+    if small:
+        rows = texts.select("text_key", "text")
+    else:
+        of_text = _words_of(texts).join(lexicon, "word").groupBy("text_key").agg(F.collect_list(F.struct("word", "code")).alias("words"))
+        rows = texts.select("text_key", "text").join(of_text, "text_key", "left")
+    return rows.mapInArrow(run, "text_key binary, starts array<int>, ends array<int>, types array<string>")
 
 
 def _keyed(fields: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = fields.withColumn("text_key", F.unhex(F.md5("text")))
-    distinct = keyed.where("text is not null").groupBy("text_key").agg(F.first("text").alias("text"))
-    return keyed, text_items(distinct, fitted(fields, members))
+    # written once: sampling, counting and reading all go over the distinct texts
+    distinct = staged(keyed.where("text is not null").groupBy("text_key").agg(F.first("text").alias("text")), "texts")
+    texts, names, n = sampled(distinct, members)
+    lexicon = lexicon_table(distinct, members, names, n)
+    # what the fit needs of it are the words of the sample
+    seen = {plain(m.group()) for t in texts for m in _WORD.finditer(readable(t)[0])}
+    of_sample = distinct.sparkSession.createDataFrame([(w,) for w in sorted(seen)], "word string").join(lexicon, "word").collect()
+    return keyed, text_items(distinct, fit(texts, names, {r.word: r.code for r in of_sample}), lexicon)
 
 
 def found_items(fields: DataFrame, members: DataFrame) -> DataFrame:

@@ -136,12 +136,13 @@ def field():
         g, f = random.choice(MEMBERS)
         g2, f2 = random.choice(MEMBERS)
         texts.append(random.choice([f"Ask {g} {f} before merging. {random.choice(plain)}", f"cc {g} {g2} {f}, {g[0]}. {f2} and team@mail.example. Each {random.choice(plain)}", f"Reported by {f}, {g} <{g.lower()}.{f.lower()}@corp.test>, {random.choice(plain)}", f"Nobody {random.choice(plain)}. We {random.choice(plain)}. Ask {g[0]}. {g2[0]}. {f} again", f"Remote is git@code.test:a/b.git. Version {i}.2 of the cache. Job ci-926-15-{1000 + i}-retry was cancelled."]))
-    return pii.fit(texts, MEMBERS)
+    lexicon = pii.lexicon_of(texts, MEMBERS)
+    return pii.fit(texts, MEMBERS, lexicon), lexicon
 
 
-def found(text, field):
+def found(text, field, **how):
     clear, at = pii.readable(text)
-    return [(k, text[s if at is None else at[s] : (e if at is None else at[e - 1] + 1)]) for k, s, e in pii.items(clear, field)]
+    return [(k, text[s if at is None else at[s] : (e if at is None else at[e - 1] + 1)]) for k, s, e in pii.items(clear, *field, **how)]
 
 
 @pytest.mark.parametrize(
@@ -192,27 +193,75 @@ def test_chain_marginals_and_best_path_agree_with_enumeration():
                 assert math.exp(m[i][y]) == pytest.approx(want, abs=1e-6)
 
 
-def test_skip_edges_carry_a_name_across_the_text(field):
-    # the word is unknown; where it stands beside a given name says what it is in the other place
-    weak = pii.Field()
-    weak.unary = {k: dict(v) for k, v in field.unary.items()}
-    weak.step, weak.everyday, weak.given, weak.family = field.step, field.everyday, {"skeirune"}, set()
-    weak.mailed = 0.5
-    text = "Skeirune Qopp wrote. Then Xyl Qopp answered."
-    words = [n for n in pii.nodes_of(text, weak.everyday, {"skeirune"}) if n.word in ("Skeirune", "Qopp", "Xyl")]
-    assert [n.word for n in words].count("Qopp") == 2
-    weak.same = 3.0
-    with_skip = pii._names(text, words, [], weak)
-    weak.same = 0.0
-    without = pii._names(text, words, [], weak)
-    assert len(with_skip) >= len(without)
+def test_skip_edges_carry_a_name_across_the_text():
+    # Qopp is unknown; beside a given name it is plainly a family name, beside an unknown word it isn't
+    field = pii.Field()
+    field.unary = {"word": {"bias": [0.0, -0.9, -0.9]}}
+    field.step = {(pii.G1, 0, pii.F2): 1.0}
+    field.same, field.similar = 3.0, 3.0
+    words = lambda text: [n for n in pii.nodes_of(text) if n.kind == "word" and n.word not in ("Then",)]
+    lexicon = {"skeirune": pii._GIVEN}
+    for text, last in (("Skeirune Qopp wrote. Then Xyl Qopp answered.", "Xyl Qopp"), ("Skeirune Qopp wrote. Then Xyl Qopp-Wann answered.", "Xyl Qopp-Wann")):
+        out = lambda skip: {text[a:e] for _, a, e in pii._names(text, words(text), {}, field, lexicon, skip)}
+        assert out(False) == {"Skeirune Qopp"} and out(True) == {"Skeirune Qopp", last}
+    # a mail address that is surely one makes the words of its local part names
+    text = "Xyl Qopp answered"
+    assert pii._names(text, words(text), {}, field, {}) == [] and len(pii._names(text, words(text), {"qopp": 9.0, "xyl": 9.0}, field, {})) == 1
+
+
+def test_an_identity_number_said_once_is_found_bare():
+    random.seed(3)
+    number = lambda: str(random.randrange(900_000_000, 999_999_999))
+    texts = [random.choice([f"Row holds SSN {number()} in clear.", f"Offset {number()} in the log.", f"His passport no. XZ{number()[:7]} lapsed.", f"Job ci-{number()[:3]}-15-{number()[:4]}-retry ran."]) for _ in range(400)]
+    field = pii.fit(texts, MEMBERS), pii.lexicon_of(texts, MEMBERS)
+    text = "It holds SSN 906485700 in clear. Offset 993154699 in the log. Later came 906485700 again"
+    assert found(text, field) == [("id_number", "906485700")] * 2
+    assert found(text, field, skip=False) == [("id_number", "906485700")]
+
+
+def test_everyday_words_can_be_names(field):
+    # words that the corpus has in lower case and often are candidates like all others
+    f, lexicon = field
+    common = lexicon | {"lock": pii.lexicon_code(500, 40, 20, 1000), "vormord": pii._FAMILY | pii.lexicon_code(0, 900, 850, 1000)}
+    assert [w.word for w in pii.nodes_of("Ask Houdra Lock")] == ["Ask", "Houdra", "Lock"]
+    assert found("Ask Houdra Vormord before the lock was held.", (f, common)) == [("person_name", "Houdra Vormord")]
+
+
+def test_dense_long_texts_take_linear_time(field):
+    import time
+
+    one = "Ask Skeirune Geirbrask <skeirune.geirbrask@corp.test>, tel +1 415 555 0164, SSN 912-24-4534 at 133 Copperkettle Street. "
+    took = []
+    for n in (500, 2000):
+        began = time.time()
+        assert len(found(one * n, field)) == 5 * n
+        took.append(time.time() - began)
+    assert took[1] < 10 * took[0]
+
+
+@pytest.mark.parametrize("most", [0, pii.LEXICON])
+def test_words_by_broadcast_and_by_join(spark, field, most):
+    texts = ["Ask Skeirune Geirbrask now", "Moved Baker Street. the lock, Zhozan Kalovar wrote", "", "x@corp.test"]
+    df = spark.createDataFrame([(bytes([i]), t) for i, t in enumerate(texts)], "text_key binary, text string")
+    lexicon = spark.createDataFrame(list(field[1].items()), "word string, code int")
+    got = {bytes(r.text_key)[0]: [tuple(x) for x in zip(r.types, r.starts)] for r in pii.text_items(df, field[0], lexicon, most).collect()}
+    assert got == {i: [(k, a) for k, a, _ in x] for i, t in enumerate(texts) if (x := pii.items(t, *field))}
+
+
+def test_the_lexicon_counts_all_texts(spark):
+    texts = ["Ask Skeirune Geirbrask. Baker came", "the baker, Baker", "Baker"] * 3 + ["Skeirune Baker"]
+    df = spark.createDataFrame([(bytes([i]), t) for i, t in enumerate(texts)], "text_key binary, text string").repartition(3)
+    members = spark.createDataFrame([("Skeirune", "Geirbrask"), (None, "Ünal"), ("Late", None)], "given_name string, family_name string")
+    got = {r.word: r.code for r in pii.lexicon_table(df, members, [("Skeirune", "Geirbrask")], len(texts)).collect()}
+    want = pii.lexicon_of(texts, [("Skeirune", "Geirbrask"), (None, "Ünal"), ("Late", None)])
+    assert got == {w: c for w, c in want.items() if c} and got["unal"] & pii._FAMILY and got["late"] & pii._GIVEN and got["baker"] & 3
 
 
 def test_found_and_redacted(spark, field, monkeypatch):
-    monkeypatch.setattr(pii, "fitted", lambda *a, **k: field)
+    monkeypatch.setattr(pii, "fit", lambda *a, **k: field[0])
     rows = [("ledger_events", 1, "body", "Ask Skeirune Geirbrask, \U0001f600 mail x@corp.test now"), ("claude_hooks", 2, "prompt", "\U0001f600 x@corp.test"), ("claude_hooks", 3, "prompt", "\U0001f600 x@corp.test"), ("claude_hooks", 4, "prompt", "nothing here"), ("claude_hooks", None, "prompt", None), ("claude_hooks", 6, "prompt", "")]
     df = spark.createDataFrame(rows, "source_table string, record_id long, field_name string, text string")
-    members = spark.createDataFrame([(None, None), ("a", "b")], "given_name string, family_name string")
+    members = spark.createDataFrame([(None, None), ("a", "b"), *MEMBERS], "given_name string, family_name string")
     got = {tuple(r) for r in pii.found_items(df, members).collect()}
     assert got == {("ledger_events", 1, "body", "person_name", 5), ("ledger_events", 1, "body", "email", 32), ("claude_hooks", 2, "prompt", "email", 3), ("claude_hooks", 3, "prompt", "email", 3)}
     out = {r.record_id: r.text for r in pii.redacted(df, members).collect()}
