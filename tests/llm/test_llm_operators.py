@@ -7,6 +7,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -376,6 +377,54 @@ def test_shared_spans_against_all_windows(spark, seed, chunk, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == brute_pairs(texts, 30)
     share = {r.doc_id: r for r in spans.shared_share(df, 30).collect()}
     assert {i: share[i].shared_chars for i in share} == brute_shared(texts, 30)
+    pairs = {p for a, b in got if texts[a] != texts[b] for p in ((a, b), (b, a))}
+    assert all(r.partner_id is None or (i, r.partner_id) in pairs for i, r in share.items())
+
+
+def test_shards_are_bounded_and_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(spans, "SHARD", 64)
+    monkeypatch.setattr(spans, "SHARE", 3)
+    texts = some_texts(5)
+    df = docs(spark, texts).repartition(3)
+    assert {tuple(r) for r in spans.document_pairs(df, 30).collect()} == brute_pairs(texts, 30)
+    assert {r.doc_id: r.shared_chars for r in spans.shared_share(df, 30).collect()} == brute_shared(texts, 30)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_text_that_repeats_itself_in_other_places(spark, seed):
+    random.seed(seed)
+    rnd = lambda n: "".join(random.choice("xyz") for _ in range(n))
+    unit = ["a", "ab", "abcd", "abcdefg", "abcdefghijklm"]
+    texts = []
+    for _ in range(60):
+        u = random.choice(unit)
+        run = u * random.randrange(2, 200 // len(u))
+        texts.append(rnd(random.randrange(12)) + run[random.randrange(len(u)) :] + random.choice(["#", rnd(9), u[:1] + "#"]) + run[: random.randrange(len(run))] + rnd(random.randrange(9)))
+    df = docs(spark, texts).repartition(2)
+    assert {tuple(r) for r in spans.document_pairs(df, 30).collect()} == brute_pairs(texts, 30)
+    assert {r.doc_id: r.shared_chars for r in spans.shared_share(df, 30).collect()} == brute_shared(texts, 30)
+
+
+def test_partners_over_batches():
+    rows = [(1, 5), (1, 7), (1, 9), (2, 4), (3, 1), (3, 2), (3, 3), (3, 8), (4, 6), (5, 2), (5, 6)]
+    want = {(5, 7), (5, 9), (9, 5), (1, 2), (1, 3), (1, 8), (8, 1), (2, 6), (6, 2)}
+    for n in (1, 2, 3, 5, 11):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows[i : i + n]]), pa.array([d for _, d in rows[i : i + n]])], names=["run", "doc_id"]) for i in range(0, len(rows), n)]
+        assert {p for b in spans._partners(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns))} == want
+
+
+def test_one_header_in_very_many_texts_costs_one_stream_each(spark):
+    random.seed(8)
+    rnd = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
+    header = rnd(60)
+    texts = [rnd(5) + header + rnd(40) for _ in range(300)]
+    df = docs(spark, texts)
+    classes, _, regions = spans._prepared(df, 30, False)
+    runs = regions.select("doc_id", "parts").mapInArrow(spans._runs(30), "run long, doc_id long")
+    pairs = runs.repartition("run").sortWithinPartitions("run", "doc_id").mapInArrow(spans._partners, "ref long, doc_id long").distinct()
+    # some runs go on for a letter or two in a part of the texts, which has a partner of its own; all pairs would be 44,850
+    assert pairs.count() <= 10 * 300
+    assert {r.doc_id: r.shared_chars for r in spans.shared_share(df, 30).collect()} == brute_shared(texts, 30)
 
 
 def test_no_documents(spark):
