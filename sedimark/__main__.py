@@ -31,6 +31,13 @@ def main(argv: list[str] | None = None) -> int:
     ask.add_argument("--as-of", type=int, help="instant in milliseconds; now if not given")
     ask.add_argument("--scope", action="append", default=[], help="authority scope that may be disclosed")
     ask.add_argument("--repository", action="append", default=[], help="repository to look in; all if none is given")
+    ask.add_argument("--limit", type=int, default=20)
+    ask.add_argument("--diversity", type=float, default=1.0)
+    ask.add_argument("--history", action="store_true", help="keep superseded events")
+    ask.add_argument("--strict-before", action="store_true", help="leave out events at the instant itself")
+    ask.add_argument("--minimum-coverage", choices=["any", "partial", "direct"], default="any")
+    ask.add_argument("--minimum-evidence", choices=["any", "partial", "direct"], default="any")
+    ask.add_argument("--max-tokens", type=int, help="budget of estimated tokens, split over framing, citations and content")
     build = sub.add_parser("build", help="write the derived views")
     for x in (run, build):
         x.add_argument("--out", required=True)
@@ -44,6 +51,7 @@ def main(argv: list[str] | None = None) -> int:
 
     from sedimark.operators import packs
     from sedimark.plans import base, ranking
+    from sedimark.plans.context import compile_context
     from sedimark.sinks import export
     from sedimark.sources.log import publish
 
@@ -54,8 +62,9 @@ def main(argv: list[str] | None = None) -> int:
         publish(export.views(base.events(spark, a.tables), base.edges(spark, a.tables)), a.out)
     else:
         as_of = int(time.time() * 1000) if a.as_of is None else a.as_of
-        best = ranking.context(spark, a.tables, a.text, as_of, a.scope, a.repository).orderBy(*ranking.in_order()).limit(packs.MAX_ITEMS)
-        pack = packs.fill([r.asDict() for r in best.select("eid", "title", "body", "score").collect()], a.max_chars, {"query": a.text})
+        ask = ranking.Ask(a.text, as_of, tuple(a.scope), tuple(a.repository), a.strict_before, a.history, limit=a.limit, diversity=a.diversity)
+        tokens = packs.token_plan(a.max_tokens) if a.max_tokens else None
+        pack = compile_context(spark, a.tables, ask, a.max_chars, a.minimum_coverage, a.minimum_evidence, tokens)
         print(packs.markdown(pack) if a.markdown else json.dumps(pack, ensure_ascii=False, indent=2))
     return 0
 

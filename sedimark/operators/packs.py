@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -44,6 +45,7 @@ class TokenPlan:
     reserved: int
     available: int
     grants: dict[str, int] = field(default_factory=dict)
+    overflow: dict[str, str] = field(default_factory=dict)
 
 
 def token_plan(total: int, reserved: int | None = None, reservations: list[Reservation] | None = None) -> TokenPlan:
@@ -68,7 +70,7 @@ def token_plan(total: int, reserved: int | None = None, reservations: list[Reser
             more = min(left, max(0, getattr(r, level) - grants[r.name]))
             grants[r.name] += more
             left -= more
-    return TokenPlan(total, held, rest, grants)
+    return TokenPlan(total, held, rest, grants, {r.name: r.overflow for r in reservations})
 
 
 def diverse(candidates: DataFrame, trade: float = 0.82, limit: int = 20) -> DataFrame:
@@ -103,10 +105,35 @@ def digest(value: object) -> str:
     return "sha256:" + hashlib.sha256(_text(value).encode()).hexdigest()
 
 
-def fill(items: list[dict], max_chars: int, header: dict | None = None) -> dict:
+def excerpt(item: dict, query: str = "", limit: int = EXCERPT) -> str:
+    """What an item says: body and data; of a project's snapshot the files that the query's words name, most words first."""
+    data = item.get("data")
+    parsed = json.loads(data) if data else None
+    project = parsed.get("projectStructure") if isinstance(parsed, dict) else None
+    files = project.get("files") if isinstance(project, dict) else None
+    if isinstance(files, str):
+        try:
+            files = json.loads(files)
+        except ValueError:
+            files = None
+    if isinstance(files, list):
+        words = {w for w in query.lower().replace("/", " ").split() if len(w) > 1}
+        named = [(sum(w in str(f.get("path", "")).lower() for w in words), str(f.get("path", ""))) for f in files if isinstance(f, dict)]
+        lines = [path for _, path in sorted(named, key=lambda x: (-x[0], x[1]))]
+        text = "\n".join([f"{len(files)} files", *lines])
+    else:
+        compact = _text(parsed) if parsed not in (None, {}, []) else ""
+        text = "\n".join(x for x in (item.get("body") or "", compact if len(compact) <= 1200 else compact[:1197] + "...") if x)
+    return text if len(text) <= limit else text[: limit - 3] + "..."
+
+
+def fill(items: list[dict], max_chars: int, header: dict | None = None, tokens: TokenPlan | None = None, estimate: Callable[[str], int] = estimate_tokens, query: str = "") -> dict:
     """The pack of ranked items(eid, title, body, ...) that fits: whole items in order, and of the first that doesn't fit as much of the excerpt as does.
 
-    used_chars counts the pack as it is written, itself included.
+    used_chars counts the pack as it is written, itself included. With a plan of tokens the items' citations (all but
+    their excerpts), the excerpts and the frame have their grants, and the pack's estimate stays within what is available.
+    A grant whose reservation says `error` raises when it is exceeded, others end the pack. Raises if not even the
+    header fits.
     """
 
     def written(chosen: list[dict]) -> dict:
@@ -118,16 +145,37 @@ def fill(items: list[dict], max_chars: int, header: dict | None = None) -> dict:
             pack["used_chars"] = n
         return pack
 
+    def spent(chosen: list[dict]) -> dict[str, int]:
+        cited = [{k: v for k, v in x.items() if k != "excerpt"} for x in chosen]
+        return {"framing": estimate(_text(header or {})), "citations": estimate(_text(cited)) if cited else 0, "content": sum(estimate(x["excerpt"]) for x in chosen)}
+
+    def fits(chosen: list[dict]) -> bool:
+        if written(chosen)["used_chars"] > max_chars:
+            return False
+        if tokens is None:
+            return True
+        used = spent(chosen)
+        for name, n in used.items():
+            if n > tokens.grants.get(name, tokens.available):
+                if tokens.overflow.get(name) == "error":
+                    raise ValueError(f"{name} needs {n} tokens of {tokens.grants[name]}")
+                return False
+        return sum(used.values()) <= tokens.available
+
+    if not fits([]):
+        raise ValueError("the budget is too small for the query and the frame")
     chosen: list[dict] = []
     for item in items[:MAX_ITEMS]:
-        one = {k: v for k, v in item.items() if k != "body"} | {"excerpt": (item.get("body") or "")[:EXCERPT]}
-        if written([*chosen, one])["used_chars"] <= max_chars:
+        one = {k: v for k, v in item.items() if k not in ("body", "data")} | {"excerpt": excerpt(item, query)}
+        if one.get("reason"):
+            one["reason"] = one["reason"] if len(one["reason"]) <= 512 else one["reason"][:509] + "..."
+        if fits([*chosen, one]):
             chosen.append(one)
             continue
         low, high = 0, len(one["excerpt"])
         while low < high:
             mid = (low + high + 1) // 2
-            if written([*chosen, one | {"excerpt": one["excerpt"][:mid], "truncated": True}])["used_chars"] <= max_chars:
+            if fits([*chosen, one | {"excerpt": one["excerpt"][:mid], "truncated": True}]):
                 low = mid
             else:
                 high = mid - 1
@@ -135,7 +183,7 @@ def fill(items: list[dict], max_chars: int, header: dict | None = None) -> dict:
             chosen.append(one | {"excerpt": one["excerpt"][:low], "truncated": True})
         break
     pack = written(chosen)
-    return pack | {"manifest": digest({"header": pack["header"], "items": pack["items"]})}
+    return pack | {"manifest": digest({"header": pack["header"], "items": pack["items"]})} | ({"tokens": spent(chosen)} if tokens else {})
 
 
 def gate(status: str, state: str, minimum_coverage: str = "any", minimum_evidence: str = "any") -> None:

@@ -61,34 +61,44 @@ def bm25(rows: DataFrame, stats: DataFrame, query: list[str], title_boost: bool
     return scored if keep_zero else scored.where("score > 0")
 
 
-def fielded(events: DataFrame, query: list[str], weights: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
-    """Weighted field search: (eid, ts, score) of events with any term; a term's count in a field is multiplied by the field's weight.
+def field_counts(events: DataFrame, query: list[str], fields: dict[str, Column], weights: dict[str, float] = FIELD_WEIGHTS) -> DataFrame:
+    """events with field_dl (terms of all fields) and w_<i>: how often the query's term is in each field, by the field's weight."""
+    own = events.withColumns({f"_{f}": terms(c) for f, c in fields.items()})
+    own = own.withColumn("field_dl", _sum([F.size(f"_{f}") for f in fields]))
+    return own.withColumns({f"w_{i}": _sum([F.size(F.filter(f"_{f}", _is(t))) * weights[f] for f in fields]) for i, t in enumerate(query)}).drop(*[f"_{f}" for f in fields])
+
+
+def fielded(rows: DataFrame, query: list[str]) -> DataFrame:
+    """Weighted field search: rows of field_counts that have any term, with score.
 
     Rarer terms weigh ln((n - df + .5) / (df + .5)), a millionth at least. Ties are left to the order by time and id.
     """
-    fields = [f for f in weights if f in events.columns]
-    own = events.withColumns({f"_{f}": terms(F.col(f)) for f in fields})
-    own = own.withColumn("dl", _sum([F.size(f"_{f}") for f in fields]))
-    own = own.withColumns({f"w_{i}": _sum([F.size(F.filter(f"_{f}", _is(t))) * weights[f] for f in fields]) for i, t in enumerate(query)}).drop(*[f"_{f}" for f in fields])
-    stats = own.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"w_{i}") > 0).alias(f"df_{i}") for i in range(len(query))])
-    joined = own.crossJoin(F.broadcast(stats))
+    stats = rows.agg(F.count("*").alias("n"), F.avg("field_dl").alias("avgdl"), *[F.count_if(F.col(f"w_{i}") > 0).alias(f"wdf_{i}") for i in range(len(query))])
+    joined = rows.crossJoin(F.broadcast(stats))
     parts = []
     for i in range(len(query)):
-        w, df = F.col(f"w_{i}"), F.col(f"df_{i}")
+        w, df = F.col(f"w_{i}"), F.col(f"wdf_{i}")
         idf = F.greatest(F.ln((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
-        parts.append(F.when(w > 0, idf * (w * (K1 + 1) / (w + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))).otherwise(0.0))
+        parts.append(F.when(w > 0, idf * (w * (K1 + 1) / (w + K1 * (1 - B + B * F.col("field_dl") / F.col("avgdl"))))).otherwise(0.0))
     return joined.withColumn("score", rounded(_sum(parts))).where("score > 0")
 
 
-def fuzzy(events: DataFrame, text: Column, query: str, floor: float = FUZZY_FLOOR) -> DataFrame:
-    """events with score: similarity of 3-grams (first 4,096 characters) plus a half if the text (first 8,192) holds the query; at least floor before rounding."""
+def likeness(text: Column, query: str, gram_chars: int | None = None, phrase_chars: int | None = None) -> Column:
+    """Similarity of 3-grams with the query, plus a half if the text holds it; null if the query is shorter than a gram.
+
+    The whole text counts unless it is cut for the grams (4,096 characters, say) and for the phrase (8,192).
+    """
     q = " ".join(query.lower().split())
     if len(q) < 3:
-        return events.limit(0).withColumn("score", F.lit(0.0))
+        return F.lit(None).cast("double")
     own = F.array(*[F.lit(g) for g in dict.fromkeys(q[i : i + 3] for i in range(len(q) - 2))])
-    rows = events.withColumn("_n", normalized(text, 8192)).withColumn("_g", grams(F.substring("_n", 1, 4096)))
-    raw = jaccard(F.col("_g"), own) + F.when(F.contains("_n", F.lit(q)), 0.5).otherwise(0.0)
-    return rows.withColumn("_raw", raw).where(F.col("_raw") >= floor).withColumn("score", rounded(F.col("_raw"))).drop("_n", "_g", "_raw")
+    n = normalized(text, phrase_chars or 2**31 - 1)
+    return jaccard(grams(F.substring(n, 1, gram_chars) if gram_chars else n), own) + F.when(F.contains(n, F.lit(q)), 0.5).otherwise(0.0)
+
+
+def fuzzy(rows: DataFrame, floor: float = FUZZY_FLOOR) -> DataFrame:
+    """rows(like) whose likeness is at least floor, before it is rounded to score."""
+    return rows.where(F.col("like") >= floor).withColumn("score", rounded(F.col("like")))
 
 
 def relation_weight(c: Column) -> Column:
@@ -155,11 +165,16 @@ def lexical_cascade(lists: dict[str, DataFrame]) -> DataFrame:
     return out.select("eid", "ts", "tier", "tier_rank", primary.alias("primary_rank"), (1 / (1 + 1000 * F.col("tier") + F.col("tier_rank"))).alias("score"))
 
 
-def superseded(edges: DataFrame, eligible: DataFrame, as_of: int) -> DataFrame:
-    """(target, n_superseders): eligible events that an eligible event, in force at as_of, supersedes. Chains and cycles all count."""
+def superseding(edges: DataFrame, eligible: DataFrame, as_of: int) -> DataFrame:
+    """(target, source): eligible events with each eligible event, in force at as_of, that supersedes them. Chains and cycles all count."""
     by = eligible.select(F.col("eid").alias("source"), F.coalesce("vf", "ts").alias("since"))
     s = edges.where("type = 'supersedes' and source <> target").select("source", "target").distinct()
-    return s.join(by.where(F.col("since") <= as_of), "source").join(eligible.select(F.col("eid").alias("target")), "target", "left_semi").groupBy("target").agg(F.count("*").alias("n_superseders"))
+    return s.join(by.where(F.col("since") <= as_of), "source").join(eligible.select(F.col("eid").alias("target")), "target", "left_semi").select("target", "source")
+
+
+def superseded(edges: DataFrame, eligible: DataFrame, as_of: int) -> DataFrame:
+    """(target, n_superseders, first_superseder) of superseding."""
+    return superseding(edges, eligible, as_of).groupBy("target").agg(F.count("*").alias("n_superseders"), F.min("source").alias("first_superseder"))
 
 
 def current_only(rows: DataFrame, gone: DataFrame, query: str = "", history: bool = False) -> DataFrame:
@@ -195,6 +210,7 @@ def coverage(rows: DataFrame, query: list[str], any_candidate: DataFrame) -> Dat
     return best.crossJoin(there).select(status.alias("status"), F.col("matched").cast("int").alias("matched_terms"), F.lit(len(query)).alias("query_terms"))
 
 
+# fixed values: what an event's confidence counts for
 CONFIDENCE = {"verified": 1.0, "claimed": 0.8, "extracted": 0.7, "inferred": 0.5}
 
 

@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedimark.functions.identity import canonical_id, hook_name
-from sedimark.functions.text import rounded, terms
+from sedimark.functions.text import rounded
 from sedimark.operators import evaluation as E
 from sedimark.operators import packs, similar
 from sedimark.operators import readmodel as M
 from sedimark.operators.ordered import greedy_skip
 from sedimark.plans.base import EVENTS_SQL, QUERY, events
 from sedimark.plans.problems import canonical_sql
-from sedimark.plans.ranking import context, in_order
+from sedimark.plans.context import compile_context
+from sedimark.plans.ranking import Ask, rank_events, selected
 from sedimark.runtime import send_package, shared_dir, table
 from sedimark.streaming import ingest
 
@@ -154,15 +155,24 @@ def file_history(spark: SparkSession, d: str) -> DataFrame:
 
 def mmr_diverse(spark: SparkSession, d: str) -> DataFrame:
     """Twenty events that answer the query and differ from one another."""
-    best = context(spark, d).select("eid", "ts", "score", F.array_distinct(terms(F.concat_ws("\n", "title", "body"))).alias("terms"))
-    return packs.diverse(best)
+    return selected(rank_events(spark, d, Ask(diversity=0.82)), spark, d).select("eid", F.col("place").alias("rank"), "score")
 
 
 def context_pack(spark: SparkSession, d: str) -> DataFrame:
     """Items of the pack of 12,000 characters that answers the query."""
-    rows = context(spark, d).orderBy(*in_order()).limit(50).select("eid", "title", "body", "score").collect()
-    pack = packs.fill([r.asDict() for r in rows], 12_000, {"query": QUERY})
-    return spark.createDataFrame([(i, x["eid"], x["title"], x["excerpt"], float(x["score"])) for i, x in enumerate(pack["items"], 1)], "place int, eid string, title string, excerpt string, score double")
+    pack = compile_context(spark, d, Ask(limit=50), max_chars=12_000)
+    return _items(spark, pack)
+
+
+def task_pack(spark: SparkSession, d: str) -> DataFrame:
+    """Items of the pack for a task: the query with the words of its profile, and at least partial coverage."""
+    pack = compile_context(spark, d, Ask(query=packs.task_query("incident-response", QUERY), limit=20), max_chars=8_000, minimum_coverage="partial")
+    return _items(spark, pack)
+
+
+def _items(spark: SparkSession, pack: dict) -> DataFrame:
+    rows = [(i, x["eid"], x["title"], x["excerpt"], float(x["score"]), x["reason"]) for i, x in enumerate(pack["items"], 1)]
+    return spark.createDataFrame(rows, "place int, eid string, title string, excerpt string, score double, reason string")
 
 
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -185,7 +195,7 @@ def stream_sequence(spark: SparkSession, d: str) -> DataFrame:
 
 _FUNCTIONS = (
     retrieval_metrics, roc_auc, average_precision, brier_ece, risk_coverage, threshold_loro, decision_metrics, bootstrap_ci, mcnemar_power, budget_curve, near_dup_shingles, exact_overlap, chrono_split, date_quartile,
-    repository_manifest, task_manifest, file_history, mmr_diverse, context_pack, stream_dedup, stream_sequence,
+    repository_manifest, task_manifest, file_history, mmr_diverse, context_pack, task_pack, stream_dedup, stream_sequence,
 )
 
 

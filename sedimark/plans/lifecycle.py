@@ -10,7 +10,7 @@ from sedimark.operators import admission as A
 from sedimark.operators import readmodel as M
 from sedimark.plans.base import AS_OF, EVENTS_SQL, REPOSITORIES, SCOPES, events
 from sedimark.plans.problems import _trim, canonical_sql
-from sedimark.plans.ranking import TOP, _bm25, _bm25_sql, _by, _counted_sql, _reasons_sql, _stats_sql
+from sedimark.plans.ranking import _bm25, _bm25_sql, _counted_sql, _reasons_sql, _stats_sql, oracle as ranking_oracle
 from sedimark.runtime import table
 from sedimark.sinks import export
 
@@ -49,9 +49,9 @@ def asof_decision(spark: SparkSession, d: str) -> DataFrame:
 
 
 def forbidden_rate(spark: SparkSession, d: str) -> DataFrame:
-    """Of the best events without admission, how many each rule would have kept out."""
-    best = _bm25(spark, d, False).orderBy(*_by()).limit(TOP).select(A.reasons(AS_OF, SCOPES, REPOSITORIES).alias("r"))
-    return best.select(F.explode("r").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    """Of all events that BM25 finds without admission, how many each rule would have kept out."""
+    found = _bm25(spark, d, False).select(A.reasons(AS_OF, SCOPES, REPOSITORIES).alias("r"))
+    return found.select(F.explode("r").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def okf_concepts(spark: SparkSession, d: str) -> DataFrame:
@@ -91,8 +91,8 @@ def oracle() -> dict[str, str]:
  select agent, count(attachment) attachments, count(revoked) n_revoked, max(revoked) revoked_ms from o where agent is not null group by 1""",
         "asof_decision": ev + """x as (select * from ev where repo is not null and ts is not null), d as (select repo, ts, max(eid) eid from x where kind = 'decision' group by all)
  select c.eid, d.eid decision from (select * from x where kind = 'claim') c asof left join d on c.repo = d.repo and c.ts > d.ts""",
-        "forbidden_rate": ev + f"{_counted_sql('ev')}, {_stats_sql('ct')}, b as (select {_reasons_sql()} r, {_bm25_sql(False)} score, ts, eid from ct, st), t as (select * from b where score > 0 order by score desc, ts desc nulls last, eid limit {TOP}), u as (select unnest(r) reason from t) select reason, count(*) n from u group by 1",
+        "forbidden_rate": ev + f"{_counted_sql('ev')}, {_stats_sql('ct')}, t as (select * from (select {_reasons_sql()} r, {_bm25_sql(False)} score from ct, st) where score > 0), u as (select unnest(r) reason from t) select reason, count(*) n from u group by 1",
         "okf_concepts": ev + rf"""x as (select eid, concat_ws(chr(10), '---', 'id: ' || eid, 'kind: ' || kind, 'repository: ' || repo, 'confidence: ' || confidence, 'time: ' || {when}, '---') h, {inline} t, '> ' || replace(coalesce(body, ''), chr(10), chr(10) || '> ') q from ev where kind = 'decision')
  select 'events/' || eid || '.md' path, sha256(concat_ws(chr(10) || chr(10), h, '# ' || t, q)) digest from x""",
-        "context_volume": ev + f"{_counted_sql('ev')}, {_stats_sql('ct')}, s as (select repo, eid, ts, {_bm25_sql(True)} score from ct, st where repo is not null), p as (select repo, eid from s where score > 0 qualify row_number() over (partition by repo order by score desc, ts desc nulls last, eid) <= 3), v as (select p.repo, sum({tok})::bigint pack from p join ev on p.eid = ev.eid group by 1), w as (select repo, sum({tok})::bigint replay from ev where repo is not null group by 1) select w.repo, replay, coalesce(pack, 0) pack from w left join v using (repo)",
+        "context_volume": f"with fp as ({ranking_oracle()['federated_packs']}), {EVENTS_SQL}, v as (select fp.repo, sum({tok})::bigint pack from fp join ev on fp.eid = ev.eid group by 1), w as (select repo, sum({tok})::bigint replay from ev where repo is not null group by 1) select w.repo, replay, coalesce(pack, 0) pack from w left join v using (repo)",
     }

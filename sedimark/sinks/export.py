@@ -7,6 +7,7 @@ import html
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedimark.functions.data import primitive_lines, project_lines
 from sedimark.operators import ranking, readmodel
 from sedimark.operators.graph import node_id
 
@@ -49,7 +50,7 @@ def views(events: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
     """The derived tables: nodes, edges, decisions, conflicts, supersessions, term statistics and documents' lengths."""
     from sedimark.functions.text import terms
 
-    text = F.concat_ws("\n", "title", "body")
+    text = F.concat_ws("\n", "title", "body", *([primitive_lines(F.col("j")), project_lines(F.col("j"))] if "j" in events.columns else []))
     lost = readmodel.dangling_targets(edges, events)
     return {
         "events": events,

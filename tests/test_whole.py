@@ -2,23 +2,27 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sedimark.operators import packs
 from sedimark.operators.ordered import greedy_skip
 from sedimark.operators.similar import audit_text, similar_classes
-from sedimark.plans.base import QUERY
+from sedimark.plans import base
+from sedimark.plans.base import AS_OF, QUERY
+from sedimark.plans.context import compile_context
 from sedimark.plans.evaluation import BUDGETS, budget_curve, context_pack, mmr_diverse
-from sedimark.plans.readmodel import BUDGET, budget_greedy_skip
+from sedimark.plans.ranking import Ask, rank_events, selected
+from sedimark.plans.readmodel import BUDGET, budget_greedy_skip, id_buckets
 
 WHEN = "2025-08-01 00:00:00"
 
 
-def ledger(spark, folder, rows):
-    """Tables of a ledger of rows(event_id, repository_id, second, kind, body, subject_id)."""
-    columns = "row_id long, event_id string, repository_id string, session_id string, event_timestamp timestamp, kind string, title string, body string, confidence string, authority_scope string, authority_rank int, subject_id string, valid_from string, valid_until string, event_hash string"
+def ledger(spark, folder, rows, own=None):
+    """Tables of a ledger of rows(event_id, repository_id, second, kind, body, subject_id); own are expressions of other columns by row_id."""
+    columns = "row_id long, event_id string, repository_id string, session_id string, event_timestamp timestamp, kind string, title string, body string, confidence string, authority_scope string, authority_rank int, subject_id string, valid_from string, valid_until string, event_hash string, data_json string"
     df = spark.createDataFrame([(i, e, r, s, k, b, x) for i, (e, r, s, k, b, x) in enumerate(rows)], "row_id long, event_id string, repository_id string, s long, kind string, body string, subject_id string")
-    named = {"session_id": "null", "event_timestamp": f"timestamp_seconds(unix_seconds(timestamp '{WHEN}') + s)", "title": "''", "confidence": "'verified'", "authority_scope": "'team/platform'", "authority_rank": "50", "valid_from": "null", "valid_until": "null", "event_hash": "null"}
+    named = {"session_id": "null", "event_timestamp": f"timestamp_seconds(unix_seconds(timestamp '{WHEN}') + s)", "title": "''", "confidence": "'verified'", "authority_scope": "'team/platform'", "authority_rank": "50", "valid_from": "null", "valid_until": "null", "event_hash": "null", "data_json": "null"} | (own or {})
     schema = [c.split() for c in columns.split(", ")]
     df.selectExpr(*[f"cast({named.get(n, n)} as {t}) as {n}" for n, t in schema]).write.parquet(f"{folder}/ledger_events.parquet")
     spark.sql("select distinct repository_id, 'permanent' as retention_class from {r}", r=df).write.parquet(f"{folder}/repositories.parquet")
@@ -84,3 +88,65 @@ def test_diverse_looks_past_a_thousand_copies(spark):
     rows = [(f"c{i:04d}", 1, 10.0, ["x", "y"]) for i in range(1500)] + [("z", 1, 9.0, ["z"])]
     got = packs.diverse(spark.createDataFrame(rows, "eid string, ts long, score double, terms array<string>"), limit=3).orderBy("rank").collect()
     assert [r.eid for r in got] == ["c0000", "z", "c0001"]
+
+
+def with_edges(spark, d, rows=()):
+    e = spark.createDataFrame([(str(i), *r) for i, r in enumerate(rows)], "edge_id string, source_event_id string, edge_type string, target_id string")
+    e.withColumn("payload_json", F.lit(None).cast("string")).write.parquet(f"{d}/event_edges.parquet")
+    return d
+
+
+def test_nothing_forbidden_comes_back_through_a_relation(spark, tmp_path):
+    """Ten is admitted and refers to eleven, which is restricted; the others are of another repository, expired, stale and in the future."""
+    at = "timestamp_millis(%d)" % AS_OF
+    rows = [(f"e{i}", "repo_00999" if i == 12 else "repo_00002" if i == 13 else "repo_00001", 0, "claim", "poison sentinel", "s") for i in range(10, 16)]
+    own = {
+        "authority_scope": "case row_id when 1 then 'org/secret' else 'team/platform' end", "valid_until": f"case row_id when 4 then '{AS_OF}' end",
+        "event_timestamp": f"case row_id when 5 then {at} + interval 1 second when 3 then {at} - interval 30 days else {at} - interval 1 day end",
+    }
+    d = with_edges(spark, ledger(spark, tmp_path / "t", rows, own), [("e10", "references", x) for x in ("e11", "e12", "e13", "e14", "e15")])
+    spark.sql("select 'repo_00001' repository_id, 'permanent' retention_class union all select 'repo_00002', 'session' union all select 'repo_00999', null").write.mode("overwrite").parquet(f"{d}/repositories.parquet")
+    ask = Ask(query="poison sentinel")
+    for a in (ask, Ask(query="poison sentinel", reciprocal=True), Ask(query="poison sentinel", diversity=0.5), Ask(query="")):
+        assert {r.eid for r in selected(rank_events(spark, d, a), spark, d).collect()} == {"e10"}
+    pack = compile_context(spark, d, ask)
+    assert [x["eid"] for x in pack["items"]] == ["e10"] and pack["header"]["filters"] == {"expired": 1, "future": 1, "stale": 1, "unauthorized": 2} and pack["items"][0]["reason"].startswith("bm25#1")
+
+
+def test_asking_for_history_coverage_and_conflicts(spark, tmp_path):
+    rows = [(e, "repo_00001", i, "claim", b, "s") for i, (e, b) in enumerate([("old", "alpha beta"), ("new", "alpha beta gamma"), ("other", "alpha delta"), ("far", "nothing")])]
+    d = with_edges(spark, ledger(spark, tmp_path / "t", rows), [("new", "supersedes", "old"), ("new", "contradicts", "other"), ("other", "contradicts", "new")])
+    eids = lambda a: [x["eid"] for x in compile_context(spark, d, a)["items"]]
+    assert set(eids(Ask(query="alpha beta"))) == {"new", "other"} and set(eids(Ask(query="alpha beta", history=True))) == {"old", "new", "other"}
+    assert set(eids(Ask(query="alpha beta, and old"))) == {"old", "new", "other"}
+    pack = compile_context(spark, d, Ask(query="alpha beta", limit=1))
+    assert len(pack["items"]) == 1 and pack["header"]["conflicts"] == [["new", "other"]] and pack["header"]["exclusions"] == [["old", "new"]]
+    with pytest.raises(LookupError):
+        compile_context(spark, d, Ask(query="alpha omega"), minimum_coverage="direct")
+    more = compile_context(spark, d, Ask(query="omega"), expand=lambda q: ["alpha"])
+    assert more["header"]["query"] == "omega" and more["header"]["added_terms"] == 1 and len(more["items"]) == 2
+    with pytest.raises(ValueError):
+        compile_context(spark, d, Ask(query="x"), expand=lambda q: ["y"] * 17)
+    budget = compile_context(spark, d, Ask(query="alpha beta"), tokens=packs.token_plan(4000))
+    assert budget["tokens"]["content"] > 0 and sum(budget["tokens"].values()) <= 3600
+    with pytest.raises(ValueError):
+        tight = [packs.Reservation("framing", 0, 10, 10, 100, "error"), packs.Reservation("citations", 0, 500, 900, 90), packs.Reservation("content", 0, 100, 900, 50)]
+        compile_context(spark, d, Ask(query="alpha beta"), tokens=packs.token_plan(1000, reservations=tight))
+
+
+def test_data_is_searched_and_shown(spark, tmp_path):
+    rows = [(f"e{i}", "repo_00001", i, "claim", "text", "s") for i in range(4)]
+    data = ['{"note": "zebra crossing", "n": 17, "deep": {"x": "quagga"}, "no": null}', '"{\\"note\\": \\"zebra\\"}"', '{"projectStructure": {"files": [{"path": "src/zebra.py", "language": "python", "references": [{"type": "imports", "specifier": "okapi"}]}]}}', "{broken zebra"]
+    quoted = ", ".join("'" + x.replace("\\", "\\\\") + "'" for x in data)
+    d = with_edges(spark, ledger(spark, tmp_path / "t", rows, {"data_json": f"element_at(array({quoted}), cast(row_id as int) + 1)"}))
+    found = lambda q: {x["eid"] for x in compile_context(spark, d, Ask(query=q))["items"]}
+    assert found("zebra") == {"e0", "e1", "e2"} and found("okapi") == {"e2"} and found("quagga") == {"e0"}
+    item = compile_context(spark, d, Ask(query="zebra python"))["items"][0]
+    assert item["eid"] == "e2" and item["excerpt"] == "1 files\nsrc/zebra.py"
+
+
+def test_a_query_reads_the_columns_it_needs(spark, tmp_path):
+    d = ledger(spark, tmp_path / "t", [("a", "repo_00001", 0, "claim", "b", "s")])
+    plan = id_buckets(spark, d)._jdf.queryExecution().executedPlan().toString()
+    assert "body" not in plan and "title" not in plan and "data_json" not in plan
+    assert "body" not in base.events(spark, d).select("kind")._jdf.queryExecution().executedPlan().toString()
