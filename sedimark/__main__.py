@@ -7,7 +7,7 @@ import importlib
 import json
 import time
 
-PLANS = ["problems", "ranking", "readmodel", "evaluation", "graph", "lifecycle"]
+PLANS = ["problems", "ranking", "readmodel", "evaluation", "graph", "lifecycle", "parts"]
 
 
 def queries() -> dict:

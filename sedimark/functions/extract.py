@@ -10,27 +10,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _strings(c: Column) -> Column:
+    return F.coalesce(c, F.array().cast("array<string>"))
+
+
 def changed_files(diff: Column) -> Column:
-    """Distinct sorted paths that a unified diff changes."""
-    new = F.regexp_extract_all(diff, F.lit(r"(?m)^diff --git a/\S+ b/(\S+)$"), 1)
-    return F.array_sort(F.array_distinct(F.coalesce(new, F.array().cast("array<string>"))))
+    """Distinct sorted paths that a unified diff changes, as they are named afterwards; paths may hold spaces."""
+    return F.array_sort(F.array_distinct(_strings(F.regexp_extract_all(diff, F.lit(r"(?m)^diff --git a/(.+?) b/(.+?)\r?$"), 2))))
 
 
 # fixed values: words that are no symbols
-_NO_SYMBOLS = "and class const def else false for from function import let not null return self string this true var void while with".split()
+_NO_SYMBOLS = ("and", "async", "await", "class", "const", "def", "else", "except", "false", "finally", "for", "from", "function", "if", "import", "lambda", "none", "null", "return", "self", "static", "super", "this", "true", "try", "while", "with", "yield")
 
 
 def changed_symbols(diff: Column, most: int = 128) -> Column:
-    """Distinct sorted lower-case identifiers of three letters or more in a diff's changed lines, at most so many."""
-    lines = F.array_join(F.regexp_extract_all(diff, F.lit(r"(?m)^[+-](?![+-]{2} )(.*)$"), 1), "\n")
-    found = F.transform(F.regexp_extract_all(lines, F.lit(r"\b([A-Za-z_][A-Za-z0-9_]{2,})\b"), 1), F.lower)
-    return F.slice(F.array_sort(F.array_distinct(F.filter(F.coalesce(found, F.array().cast("array<string>")), lambda x: ~x.isin(_NO_SYMBOLS)))), 1, most)
+    """Distinct sorted lower-case names that a diff touches, at most so many: what its changed lines define, and what its hunks' headings define or call (three letters or more, no keywords)."""
+    name = "[A-Za-z_][A-Za-z0-9_]*"
+    defined = F.transform(_strings(F.regexp_extract_all(diff, F.lit(rf"(?m)^[+-](?![+-])\s*(?:async\s+)?(?:def|class|function)\s+({name})"), 1)), F.lower)
+    headings = _strings(F.regexp_extract_all(diff, F.lit(r"(?m)^@@[^@]*@@\s*(.*)$"), 1))
+    either = rf"(?:def|class|function)\s+({name})|\b({name})\s*\("
+    told = lambda h: F.zip_with(F.regexp_extract_all(h, F.lit(either), 1), F.regexp_extract_all(h, F.lit(either), 2), lambda a, b: F.lower(F.when(a != "", a).otherwise(b)))
+    said = F.filter(F.flatten(F.transform(headings, told)), lambda x: (F.length(x) >= 3) & ~x.isin(*_NO_SYMBOLS))
+    return F.slice(F.array_sort(F.array_distinct(F.concat(defined, said))), 1, most)
 
 
 def module_scope(path: Column) -> Column:
-    """The first two segments of a path's directory; the file itself at the top."""
-    parts = F.split(path, "/")
-    return F.when(F.size(parts) <= 2, F.element_at(parts, 1)).otherwise(F.array_join(F.slice(parts, 1, 2), "/"))
+    """The first two folders of a path, or the one that it has; a dot for a file at the top."""
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    return F.when(F.size(parts) <= 1, F.lit(".")).otherwise(F.array_join(F.slice(parts, F.lit(1), F.least(F.lit(2), F.size(parts) - 1)), "/"))
 
 
 def line_and_column(text: Column, place: Column) -> tuple[Column, Column]:

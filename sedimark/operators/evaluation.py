@@ -79,6 +79,29 @@ def leave_one_out(obs: DataFrame, key: str, grid: tuple[float, ...] = (0.65, 0.7
     return g.crossJoin(F.broadcast(all_)).withColumn("b", best).select(key, (-F.col("b.minus")).alias("threshold"), F.col("b.tp").alias("tp"), F.col("b.fp").alias("fp"))
 
 
+def relevance_grades(files: DataFrame) -> DataFrame:
+    """(repo, row_id, grade) of the records of files(repo, row_id, path, scope) before each repository's last: 2 if a file is also in the last one, 1 if only a module is; others have no row."""
+    last = files.groupBy("repo").agg(F.max("row_id").alias("last"))
+    known = files.join(last, "repo")
+    now, old = known.where("row_id = last"), known.where("row_id < last")
+    direct = old.join(now.select("repo", "path").distinct(), ["repo", "path"], "left_semi").select("repo", "row_id", F.lit(2).alias("grade"))
+    near = old.join(now.select("repo", "scope").distinct(), ["repo", "scope"], "left_semi").select("repo", "row_id", F.lit(1).alias("grade"))
+    return direct.union(near).groupBy("repo", "row_id").agg(F.max("grade").alias("grade"))
+
+
+def ranking_hits(ranked: DataFrame, key: str) -> DataFrame:
+    """One row of rows(key, rank, grade): keys with a relevant row, those with one among the first 1, 5 and 10, and the mean reciprocal rank up to 10 (null without keys)."""
+    first = ranked.where("grade > 0").groupBy(key).agg(F.min("rank").alias("f"))
+    return first.agg(F.count("*").alias("subjects"), *[F.count_if(F.col("f") <= k).alias(f"hit_{k}") for k in (1, 5, 10)], rounded(F.try_divide(F.sum(F.when(F.col("f") <= 10, 1 / F.col("f")).otherwise(0.0)), F.count("*"))).alias("mrr_10"))
+
+
+def summarized(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, mean, p50, p95, most) of a number by key; percentiles by nearest rank. Values are counted before they are ordered, so a key costs its distinct values."""
+    p = lambda q: F.expr(f"percentile_disc({q}) within group (order by {value})")
+    kind = rows.schema[value].dataType
+    return rows.groupBy(key).agg(F.count("*").alias("n"), rounded(F.avg(value)).alias("mean"), p(0.5).cast(kind).alias("p50"), p(0.95).cast(kind).alias("p95"), F.max(value).alias("most"))
+
+
 def complete_prefix(ranked: DataFrame, required: DataFrame, key: str, most: int = 32) -> DataFrame:
     """(key, prefix): the smallest number of first ranks of ranked(key, eid, rank) that holds all required(key, eid); null if one is missing or ranked below most."""
     j = required.select(key, "eid").distinct().join(ranked.where(F.col("rank") <= most).select(key, "eid", "rank"), [key, "eid"], "left")

@@ -89,6 +89,58 @@ def positions(df: DataFrame, key: str, order: list[str], carry: list[str]) -> Da
     )
 
 
+def last_seen(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """Adds last_<value>: the value of the nearest earlier row of the same key that has one.
+
+    key must not be null. Each range partition carries values forward by itself; what its first key has seen before
+    comes from a summary of one row per partition. Stages its input once.
+    """
+    kind = df.schema[value].dataType
+    local = T.StructType(df.schema.fields + [T.StructField("part_no", T.IntegerType()), T.StructField("is_last", T.BooleanType()), T.StructField("seen", kind), T.StructField("upto", kind)])
+
+    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, last_key, last, held = TaskContext.get().partitionId(), None, None, None
+        for b in batches:
+            if b.empty:
+                continue
+            own = b[value].astype(object).where(b[value].notna(), None)
+            upto = own.groupby(b[key], sort=False).ffill()
+            leading = (b[key] == last_key) & upto.isna()
+            upto = upto.astype(object).where(~leading, last)
+            same = b[key] == b[key].shift(1, fill_value=last_key)
+            seen = upto.shift(1).astype(object)
+            seen.iloc[0] = last
+            b = b.assign(part_no=part, is_last=False, seen=seen.where(same, None).where(lambda x: x.notna(), None), upto=upto.where(upto.notna(), None))
+            last_key, last = b[key].iloc[-1], b["upto"].iloc[-1]
+            if held is not None:
+                yield held
+            held = b
+        if held is not None:
+            held.iloc[-1, held.columns.get_loc("is_last")] = True
+            yield held
+
+    rows = staged(key_sorted(df, [key, *order]).mapInPandas(carry, local), "seen")
+    edge = T.StructType([T.StructField("part_no", T.IntegerType()), T.StructField(key, df.schema[key].dataType), T.StructField("before", kind)])
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last_key, last = None, None
+        for b in batches:
+            out = []
+            for r in b.to_dict("records"):
+                own = None if pd.isna(r["upto"]) else r["upto"]
+                if r["first_key"] == last_key and last is not None:
+                    out.append((r["part_no"], last_key, last))
+                last = own if own is not None else last if r["first_key"] == last_key == r["last_key"] else None
+                last_key = r["last_key"]
+            if out:
+                yield pd.DataFrame(out, columns=edge.names)
+
+    ends = rows.groupBy("part_no").agg(F.min(key).alias("first_key"), F.max(key).alias("last_key"), F.max_by(F.struct("upto"), "is_last").alias("end")).select("part_no", "first_key", "last_key", "end.upto")
+    fixes = ends.coalesce(1).sortWithinPartitions("part_no").mapInPandas(chain, edge)
+    joined = rows.join(F.broadcast(fixes), ["part_no", key], "left")
+    return joined.select(*df.columns, F.coalesce("seen", "before").alias(f"last_{value}"))
+
+
 def running_totals(df: DataFrame, order: list[str], sums: list[str]) -> DataFrame:
     """Adds before_<c> for each c of sums (long): its sum over all rows that come earlier in order. order must be unique.
 

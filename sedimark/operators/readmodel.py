@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -50,6 +50,23 @@ def freshness(cited: DataFrame, observed: DataFrame) -> DataFrame:
     return cited.join(o, "path", "left").select("path", status.alias("status"))
 
 
+def freshness_summary(states: DataFrame) -> DataFrame:
+    """One row of freshness: current, changed, missing, unverified, and status (unavailable without any, stale if something changed or is missing, else current)."""
+    n = states.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("current", "changed", "missing", "unverified")], F.count("*").alias("n"))
+    return n.select("current", "changed", "missing", "unverified", F.when(F.col("n") == 0, "unavailable").when(F.col("changed") + F.col("missing") > 0, "stale").otherwise("current").alias("status"))
+
+
+def dependency_freshness(cited: DataFrame, resolved: DataFrame | None) -> DataFrame:
+    """(name, version, repo, status) of the last cited dependencies(name, version, repo, hash, seq) against a resolver's table(name, version, repo, hash): unverified without one, missing if it has none or a null hash, changed, current."""
+    last = latest(cited, "name", "seq", ["version", "repo", "hash"])
+    if resolved is None:
+        return last.select("name", "version", "repo", F.lit("unverified").alias("status"))
+    o = resolved.groupBy("name", "version", "repo").agg(F.max("hash").alias("now"))
+    same = last.name.eqNullSafe(o.name) & last.version.eqNullSafe(o.version) & last.repo.eqNullSafe(o.repo)
+    status = F.when(F.col("now").isNull(), "missing").when(F.col("now").eqNullSafe(F.col("hash")), "current").otherwise("changed")
+    return last.join(o.select(o.name, o.version, o.repo, "now"), same, "left").select(last.name, last.version, last.repo, status.alias("status"))
+
+
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """(repo, path, change, old_path) between snapshots(repo, path, hash), paths unique in each: added, removed, modified, renamed.
 
@@ -68,13 +85,6 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return modified.union(taken).union(new).union(gone)
 
 
-def chain_links(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """rows with previous (the hash before, in order within key) and link, the digest of both. For keys of any size use ordered.positions; this is for bounded keys."""
-    w = Window.partitionBy(key).orderBy(*order)
-    own = rows.withColumn("previous", F.lag("hash").over(w))
-    return own.withColumn("link", F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("|", F.coalesce("previous", F.lit("")), F.coalesce("hash", F.lit(""))), 256)))
-
-
 def verify_chain(rows: DataFrame, key: str) -> DataFrame:
     """(key, n_rows, roots, orphans, forks) of rows(key, hash, previous): a whole chain has one root, no orphans and no forks.
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimark.functions.identity import canonical_id, hook_name
@@ -12,12 +10,12 @@ from sedimark.functions.text import rounded
 from sedimark.operators import evaluation as E
 from sedimark.operators import packs, similar
 from sedimark.operators import readmodel as M
-from sedimark.operators.ordered import greedy_skip
+from sedimark.operators.ordered import greedy_skip, positions
 from sedimark.plans.base import EVENTS_SQL, QUERY, events
-from sedimark.plans.problems import canonical_sql
+from sedimark.plans.problems import _trim, canonical_sql
 from sedimark.plans.context import compile_context
 from sedimark.plans.ranking import Ask, rank_events, selected
-from sedimark.runtime import send_package, shared_dir, table
+from sedimark.runtime import scratch, send_package, table
 from sedimark.streaming import ingest
 
 LEVEL = 0.7
@@ -33,9 +31,10 @@ def _observations(spark: SparkSession, d: str) -> DataFrame:
 
 def _rankings(spark: SparkSession, d: str) -> DataFrame:
     """Decisions of each subject by authority, with grades by confidence."""
-    w = Window.partitionBy("subject").orderBy(F.desc_nulls_last("arank"), F.desc_nulls_last("ts"), "eid")
+    last = lambda c: F.coalesce(-F.col(c).cast("long"), F.lit(2**63 - 1))
     grade = F.when(F.col("confidence") == "verified", 2).when(F.col("confidence") == "claimed", 1).otherwise(0)
-    return events(spark, d).where("kind = 'decision' and subject is not null").select("subject", "eid", "body", F.row_number().over(w).alias("rank"), grade.alias("grade"))
+    rows = events(spark, d).where("kind = 'decision' and subject is not null").select("subject", last("arank").alias("below"), last("ts").alias("age"), "eid", grade.alias("grade"))
+    return positions(rows, "subject", ["below", "age", "eid"], []).select("subject", "eid", F.col("row_no").alias("rank"), "grade")
 
 
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +80,7 @@ def decision_metrics(spark: SparkSession, d: str) -> DataFrame:
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     """Share of positives with an interval from resampled repositories."""
     g = _observations(spark, d).where("repo is not null").groupBy(F.col("repo").alias("cluster")).agg(F.count_if("positive").alias("total"), F.count("*").alias("n"))
-    return E.cluster_bootstrap(g)
+    return E.cluster_bootstrap(g, 10_000)
 
 
 def mcnemar_power(spark: SparkSession, d: str) -> DataFrame:
@@ -102,28 +101,35 @@ def budget_curve(spark: SparkSession, d: str) -> DataFrame:
 
 def near_dup_shingles(spark: SparkSession, d: str) -> DataFrame:
     """Classes of documents with the same audited text, and how many other classes are nearly the same."""
-    return similar.similar_classes(table(spark, d, "documents"), 0.85, audit=similar.ascii_text)
+    return similar.similar_classes(table(spark, d, "documents"), 0.85)
 
 
 def exact_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Audited texts that several documents have, and from how many sources they are."""
-    t = table(spark, d, "documents").select("source", similar.ascii_text(F.col("text")).alias("t")).where("t <> ''")
+    t = table(spark, d, "documents").select("source", similar.audit_text(F.col("text")).alias("t")).where("t <> ''")
     g = t.groupBy(F.sha2("t", 256).alias("digest"), "source").agg(F.count("*").alias("n")).groupBy("digest").agg(F.sum("n").alias("n_documents"), F.count("source").alias("n_sources"))
     return g.where("n_documents > 1")
 
 
+def _timed(spark: SparkSession, d: str) -> DataFrame:
+    """(repo, ts, eid, kind, n, total): events of each repository numbered by time over range partitions, with how many it has."""
+    rows = events(spark, d).where("repo is not null and ts is not null").select("repo", "ts", "eid", "kind")
+    placed = positions(rows, "repo", ["ts", "eid"], []).withColumnRenamed("row_no", "n")
+    return placed.join(placed.groupBy("repo").agg(F.count("*").alias("total")), "repo")
+
+
+def _phase():
+    return F.when(F.col("n") <= F.greatest(F.lit(1), F.floor(0.2 * F.col("total") + 0.5)), "warmup").otherwise("heldout")
+
+
 def chrono_split(spark: SparkSession, d: str) -> DataFrame:
     """The first fifth of each repository's events by time as warm-up, the rest held out."""
-    w, all_ = Window.partitionBy("repo").orderBy("ts", "eid"), Window.partitionBy("repo")
-    r = events(spark, d).where("repo is not null and ts is not null").select("repo", "eid", F.row_number().over(w).alias("n"), F.count("*").over(all_).alias("total"))
-    return r.select("repo", "eid", F.when(F.col("n") <= F.greatest(F.lit(1), F.floor(0.2 * F.col("total") + 0.5)), "warmup").otherwise("heldout").alias("phase"))
+    return _timed(spark, d).select("repo", "eid", _phase().alias("phase"))
 
 
 def date_quartile(spark: SparkSession, d: str) -> DataFrame:
     """Quarter of each repository's events by time: floor(4 i / n) + 1 for i from 0."""
-    w, all_ = Window.partitionBy("repo").orderBy("ts", "eid"), Window.partitionBy("repo")
-    r = events(spark, d).where("repo is not null and ts is not null")
-    return r.select("repo", "eid", (F.floor((F.row_number().over(w) - 1) * 4 / F.count("*").over(all_)) + 1).alias("quartile"))
+    return _timed(spark, d).select("repo", "eid", (F.floor((F.col("n") - 1) * 4 / F.col("total")) + 1).alias("quartile"))
 
 
 def repository_manifest(spark: SparkSession, d: str) -> DataFrame:
@@ -135,11 +141,11 @@ def repository_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 def task_manifest(spark: SparkSession, d: str) -> DataFrame:
     """Claims that can be asked about: not in the warm-up and with earlier events of their repository, by how long that history is."""
-    w = Window.partitionBy("repo").orderBy("ts")
-    ev = events(spark, d).where("repo is not null and ts is not null").withColumn("history", F.rank().over(w) - 1)
-    warm = chrono_split(spark, d).where("phase = 'warmup'").select("eid")
-    c = ev.where("kind = 'claim'").join(warm.withColumn("dev", F.lit(True)), "eid", "left")
-    state = F.when(F.col("dev"), "development").when(F.col("history") == 0, "no prior memory").when(F.col("history") <= 3, "1-3").when(F.col("history") <= 10, "4-10").otherwise("11+")
+    t = _timed(spark, d)
+    # what is earlier is all before the first of the same time
+    firsts = t.groupBy("repo", "ts").agg((F.min("n") - 1).alias("history"))
+    c = t.where("kind = 'claim'").join(firsts, ["repo", "ts"])
+    state = F.when(_phase() == "warmup", "development").when(F.col("history") == 0, "no prior memory").when(F.col("history") <= 3, "1-3").when(F.col("history") <= 10, "4-10").otherwise("11+")
     return c.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
@@ -150,7 +156,7 @@ def file_history(spark: SparkSession, d: str) -> DataFrame:
     # elements are taken as texts: a list may hold other things than files
     files = F.when(F.startswith(F.ltrim(raw), F.lit("{")), F.array(raw)).otherwise(F.from_json(raw, "array<string>"))
     one = rows.select("row_id", F.explode(F.array_distinct(F.transform(files, lambda f: F.get_json_object(f, "$.path")))).alias("path")).where("path is not null")
-    return one.select("row_id", "path", F.lag("row_id").over(Window.partitionBy("path").orderBy("row_id")).alias("previous"))
+    return positions(one, "path", ["row_id"], ["row_id"]).select("row_id", "path", F.col("prev_row_id").alias("previous"))
 
 
 def mmr_diverse(spark: SparkSession, d: str) -> DataFrame:
@@ -179,7 +185,7 @@ def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     """The ledger read as a stream, each id and hash once."""
     rows = ingest.file_stream(spark, f"{d}/ledger_events.parquet*", spark.read.parquet(f"{d}/ledger_events.parquet").schema)
     own = rows.select(canonical_id(F.col("event_id")).alias("eid"), canonical_id(F.col("event_hash")).alias("hash")).where("eid is not null")
-    return ingest.run_to_table(ingest.once_by(own, ["eid", "hash"]), f"{shared_dir(spark)}/sedimark/stream-{uuid.uuid4().hex}")
+    return ingest.run_to_table(ingest.once_by(own, ["eid", "hash"]), scratch(spark, "stream"))
 
 
 def stream_sequence(spark: SparkSession, d: str) -> DataFrame:
@@ -188,9 +194,9 @@ def stream_sequence(spark: SparkSession, d: str) -> DataFrame:
     rows = ingest.file_stream(spark, f"{d}/claude_hooks.parquet*", spark.read.parquet(f"{d}/claude_hooks.parquet").schema)
     ident = canonical_id(F.col("tool_use_id"))
     number = F.regexp_extract(ident, r"^call_(\d{1,15})$", 1)
-    producer = F.concat_ws("|", canonical_id(F.col("session_id")), hook_name(F.col("hook_event_name")))
+    producer = F.concat(canonical_id(F.col("session_id")), F.lit("|"), hook_name(F.col("hook_event_name")))
     calls = rows.select(F.when(number != "", producer).alias("producer"), F.when(number != "", number).try_cast("long").alias("number")).where("producer is not null and number is not null")
-    return ingest.run_to_table(ingest.sequence_continuity(calls), f"{shared_dir(spark)}/sedimark/stream-{uuid.uuid4().hex}")
+    return ingest.run_to_table(ingest.sequence_continuity(calls), scratch(spark, "stream"))
 
 
 _FUNCTIONS = (
@@ -209,11 +215,11 @@ def oracle() -> dict[str, str]:
     obs = ev + "ob as (select eid, repo, arank / 100.0::double score, coalesce(confidence in ('verified', 'claimed'), false) positive from ev where arank is not null)"
     rk = ev + "rk as (select subject, eid, body, row_number() over (partition by subject order by arank desc nulls last, ts desc nulls last, eid) rank, case confidence when 'verified' then 2 when 'claimed' then 1 else 0 end grade from ev where kind = 'decision' and subject is not null)"
     steps = "g as (select score, count(*) n, count(*) filter (positive) pos from ob group by 1), s as (select *, coalesce(sum(n) over w, 0) above_n, coalesce(sum(pos) over w, 0) above_pos from g window w as (order by score desc rows between unbounded preceding and 1 preceding))"
-    word = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), 'https?://[^ \n\t]+', ' <url> ', 'g'), '[^a-z0-9<> ]', ' ', 'g'), '\b[0-9a-f]{7,40}\b', ' <sha> ', 'g'), '\b[0-9]+\b', ' <num> ', 'g')"
-    audit = f"trim(regexp_replace({word}, ' +', ' ', 'g'))"
+    audit = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), 'https?://[^\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}\x{feff}]+', ' <url> ', 'g'), '\b[0-9a-f]{7,40}\b', ' <sha> ', 'g'), '\b[0-9]+(?:\.[0-9]+)*\b', ' <num> ', 'g'), '[^\p{L}\p{N}_<>]+', ' ', 'g'))"
     timed = ev + "t as (select repo, eid, ts, kind, row_number() over (partition by repo order by ts, eid) n, count(*) over (partition by repo) total, rank() over (partition by repo order by ts) - 1 history from ev where repo is not null and ts is not null)"
     phase = "case when n <= greatest(1, floor(0.2::double * total + 0.5::double)) then 'warmup' else 'heldout' end"
     grid = ", ".join(f"({t}::double)" for t in GRID)
+    budgets = ", ".join(f"({b})" for b in BUDGETS)
     shares = ", ".join(f"({t}::double)" for t in SHARES)
     div = lambda a, b: r6.format(f"({a}) / nullif({b}, 0)::double")
     return {
@@ -228,7 +234,13 @@ def oracle() -> dict[str, str]:
  a as (select t, sum(tp) atp, sum(fp) afp from r group by 1), c as (select repo, t, tp, fp from r join a using (t) where afp = fp qualify row_number() over (partition by repo order by atp - tp desc, t) = 1)
  select r.repo, c.t threshold, c.tp, c.fp from (select distinct repo from r) r left join c using (repo)""",
         "decision_metrics": obs + f", g as (select repo, count(*) n, count(*) filter (score >= {LEVEL} and positive) tp, count(*) filter (score >= {LEVEL} and not positive) fp, count(*) filter (score < {LEVEL} and positive) fn from ob group by 1) select repo, n, {div('tp', '(tp + fp)')} \"precision\", {div('tp', '(tp + fn)')} recall, {div('2 * tp', '(2 * tp + fp + fn)')} f1, {div('fp', '(n - tp - fn)')} false_accept_rate, {div('tp + fp', 'n')} coverage from g",
-        "near_dup_shingles": f"""with t as (select doc_id, {audit} t from documents), k as (select *, min(doc_id) over (partition by t) class_id from t), w as (select doc_id, list_filter(string_split(t, ' '), lambda x: x <> '') w from k where doc_id = class_id),
+        "budget_curve": ev + f"""t as (select subject, ceil(length(coalesce(body, '')) / 4.0)::bigint tokens, arank, ts, eid from ev where kind = 'decision' and subject is not null), g as (select subject, list(tokens order by arank desc nulls last, ts desc nulls last, eid) sizes from t group by 1), b as (select * from (values {budgets}) v(budget)),
+ f as (select subject, budget, list_reduce(list_prepend({{'u': 0::bigint, 'n': 0::bigint}}, list_transform(sizes, lambda x: {{'u': x, 'n': 1::bigint}})), lambda a, x: case when a.u + x.u <= budget then {{'u': a.u + x.u, 'n': a.n + 1}} else a end) r from g, b) select subject, budget::int budget, r.n n, r.u used from f""",
+        "mcnemar_power": """with g as (select p::double p, e::double e from (values (0.1), (0.2), (0.3), (0.4)) a(p), (values (0.05), (0.1), (0.15), (0.2)) b(e) where e <= p), m as (select range::double m from range(41)),
+ c as (select m, range::double k, exp(lgamma(m + 1) - lgamma(range + 1) - lgamma(m - range + 1)) c from m, range(41) where range <= m), t as (select *, sum(c) over (partition by m order by k) / pow(2, m) below from c),
+ r as (select c.m, c.k, c.c from c join t on t.m = c.m and t.k = least(c.k, c.m - c.k) where least(1.0, 2 * t.below) <= 0.05)
+ select 40::int pairs, p discordance, e effect, round(sum(exp(lgamma(41) - lgamma(m + 1) - lgamma(41 - m)) * pow(p, m) * pow(1 - p, 40 - m) * c * pow((p + e) / (2 * p), k) * pow(1 - (p + e) / (2 * p), m - k)), 6) "power" from g, r group by p, e""",
+        "near_dup_shingles": f"""with t as (select doc_id, {audit} t from documents), k as (select *, case when t = '' then doc_id else min(doc_id) over (partition by t) end class_id from t), w as (select doc_id, list_filter(string_split(t, ' '), lambda x: x <> '') w from k where doc_id = class_id),
  s as (select doc_id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) s from w where len(w) >= 5), n as (select doc_id, count(*) n from s group by 1),
  p as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by all), l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where c / (x.n + y.n - c)::double >= 0.85::double),
  c as (select d class_id, count(*) n_links from (select a d from l union all select b from l) group by 1) select doc_id, k.class_id, coalesce(n_links, 0) n_links from k left join c on c.class_id = k.class_id""",
@@ -239,5 +251,7 @@ def oracle() -> dict[str, str]:
         "task_manifest": timed + f" select case when {phase} = 'warmup' then 'development' when history = 0 then 'no prior memory' when history <= 3 then '1-3' when history <= 10 then '4-10' else '11+' end state, count(*) n from t where kind = 'claim' group by 1",
         "file_history": """with j as (select row_id, case when json_valid(data_json) then data_json end j from ledger_events where kind = 'artifact'), w as (select row_id, case json_type(j, '$.projectStructure.files') when 'VARCHAR' then json_extract(j ->> '$.projectStructure.files', '$') when 'OBJECT' then json_array(json_extract(j, '$.projectStructure.files')) else json_extract(j, '$.projectStructure.files') end w from j),
  f as (select distinct row_id, unnest(json_extract_string(w, '$[*].path')) path from w) select row_id, path, lag(row_id) over (partition by path order by row_id) previous from f where path is not null""",
+        "stream_sequence": f"""with c as (select {canonical_sql('session_id')} || '|' || replace(lower({_trim('hook_event_name')}), '_', '') producer, try_cast(regexp_extract({canonical_sql('tool_use_id')}, '^call_([0-9]{{1,15}})$', 1) as bigint) number from claude_hooks)
+ select producer, number, case when number <= coalesce(lag(number) over w, 0) then 'replay' when number = coalesce(lag(number) over w, 0) + 1 then 'next' else 'gap' end status from c where producer is not null and number is not null window w as (partition by producer order by number)""",
         "stream_dedup": f"select distinct {canonical_sql('event_id')} eid, {canonical_sql('event_hash')} hash from ledger_events where {canonical_sql('event_id')} is not null",
     }

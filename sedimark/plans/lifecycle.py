@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimark.functions.identity import canonical_id, hook_name
 from sedimark.operators import admission as A
 from sedimark.operators import readmodel as M
+from sedimark.operators.ordered import last_seen
 from sedimark.plans.base import AS_OF, EVENTS_SQL, REPOSITORIES, SCOPES, events
 from sedimark.plans.problems import _trim, canonical_sql
 from sedimark.plans.ranking import _bm25, _bm25_sql, _counted_sql, _reasons_sql, _stats_sql, oracle as ranking_oracle
@@ -41,11 +42,11 @@ def agent_disclosures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def asof_decision(spark: SparkSession, d: str) -> DataFrame:
-    """For each claim the latest decision strictly before it in its repository."""
+    """For each claim the latest decision strictly before it in its repository; carried forward over range partitions."""
     ev = events(spark, d).where("repo is not null and ts is not null and kind in ('claim', 'decision')")
-    w = Window.partitionBy("repo").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    decision = F.when(F.col("kind") == "decision", F.struct("ts", "eid"))
-    return ev.withColumn("last", F.max(decision).over(w)).where("kind = 'claim'").select("eid", F.col("last.eid").alias("decision"))
+    # at the same time claims come first, so that a decision isn't seen by them
+    rows = ev.select("repo", "ts", (F.col("kind") == "decision").alias("late"), "eid", F.when(F.col("kind") == "decision", F.col("eid")).alias("decision"))
+    return last_seen(rows, "repo", ["ts", "late", "eid"], "decision").where("not late").select("eid", F.col("last_decision").alias("decision"))
 
 
 def forbidden_rate(spark: SparkSession, d: str) -> DataFrame:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import secrets
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimark.functions.identity import canonical_id, hook_name
 from sedimark.operators import readmodel as M
-from sedimark.operators.ordered import greedy_skip, positions
+from sedimark.operators.ordered import greedy_skip, positions, running_totals
 from sedimark.plans.base import AS_OF, EDGES_SQL, EVENTS_SQL, edges, events
 from sedimark.plans.problems import _trim, canonical_sql
 from sedimark.plans.ranking import _EL, _eligible
 from sedimark.runtime import staged, table
+from sedimark.sinks import export
 
 SPLIT = "2025-08-01 00:00:00"
 BUDGET = 2000
@@ -105,11 +108,17 @@ def causal_receipt(spark: SparkSession, d: str) -> DataFrame:
     return p.select("eid", F.col("row_no").alias("stage"), F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("|", F.coalesce("prev_hash", F.lit("")), "hash"), 256)).alias("link"))
 
 
-def hash_chain_verify(spark: SparkSession, d: str) -> DataFrame:
-    """Roots, orphans and forks of the chain of hashes of each repository's stored rows."""
-    rows = table(spark, d, "ledger_events").where("repository_id is not null and event_hash is not null").select("repository_id", "row_id", canonical_id(F.col("event_hash")).alias("hash"))
-    w = Window.partitionBy("repository_id").orderBy("row_id")
-    return M.verify_chain(rows.withColumn("previous", F.lag("hash").over(w)), "repository_id")
+def hash_integrity(spark: SparkSession, d: str) -> DataFrame:
+    """By repository: rows, rows without hash, ids that came with different hashes and hashes that came with different ids. The tables name no previous hash; chains are verified on logs (sources.log.verified)."""
+    rows = table(spark, d, "ledger_events").where("repository_id is not null").select(F.col("repository_id").alias("repo"), canonical_id(F.col("event_id")).alias("eid"), canonical_id(F.col("event_hash")).alias("hash"))
+    # combined by repository, id and hash before anything is counted
+    one = staged(rows.groupBy("repo", "eid", "hash").agg(F.count("*").alias("n")), "hashes")
+    whole = one.where("eid is not null and hash is not null")
+    changed = whole.groupBy("repo", "eid").count().where("count > 1").groupBy("repo").agg(F.count("*").alias("changed_ids"))
+    shared = whole.groupBy("repo", "hash").count().where("count > 1").groupBy("repo").agg(F.count("*").alias("shared_hashes"))
+    total = one.groupBy("repo").agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("hash").isNull(), F.col("n")).otherwise(0)).alias("without_hash"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return total.join(changed, "repo", "left").join(shared, "repo", "left").select("repo", "n_rows", "without_hash", zero("changed_ids"), zero("shared_hashes"))
 
 
 def idempotency_conflicts(spark: SparkSession, d: str) -> DataFrame:
@@ -137,10 +146,12 @@ def token_estimate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def byte_offsets(spark: SparkSession, d: str) -> DataFrame:
-    """Where each row begins in its batch, rows in stored order with a line break between them."""
+    """Where each row begins in its batch, rows in stored order with a line break between them. Added up over range partitions, so a batch may be of any size."""
     size = F.octet_length(F.coalesce("body", F.lit(""))).cast("long") + 1
-    w = Window.partitionBy("batch_id").orderBy("row_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, d, "ledger_events").select("row_id", "batch_id", size.alias("size")).withColumn("offset", F.coalesce(F.sum("size").over(w), F.lit(0))).select("row_id", "batch_id", "offset", "size")
+    rows = table(spark, d, "ledger_events").select("row_id", "batch_id", size.alias("size"))
+    sums = running_totals(rows, ["batch_id", "row_id"], ["size"])
+    begins = sums.groupBy(F.col("batch_id").alias("b")).agg(F.min("before_size").alias("begin"))
+    return sums.join(begins, F.col("batch_id").eqNullSafe(F.col("b"))).select("row_id", "batch_id", (F.col("before_size") - F.col("begin")).alias("offset"), "size")
 
 
 def id_buckets(spark: SparkSession, d: str) -> DataFrame:
@@ -149,10 +160,13 @@ def id_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def budget_prefix(spark: SparkSession, d: str) -> DataFrame:
-    """Of each repository the latest admitted events that fit the budget, up to the first that doesn't."""
-    w = Window.partitionBy("repo").orderBy(F.desc_nulls_last("ts"), "eid").rowsBetween(Window.unboundedPreceding, 0)
-    rows = _eligible(spark, d).where("repo is not null").withColumn("tokens", F.ceil(F.length(F.coalesce("body", F.lit(""))) / 4))
-    return rows.withColumn("used", F.sum("tokens").over(w)).where(F.col("used") <= BUDGET).select("repo", "eid", "tokens", "used")
+    """Of each repository the latest admitted events that fit the budget, up to the first that doesn't. Added up over range partitions."""
+    tokens = F.ceil(F.length(F.coalesce("body", F.lit(""))) / 4).cast("long")
+    rows = _eligible(spark, d).where("repo is not null").select("repo", F.coalesce(-F.col("ts"), F.lit(2**63 - 1)).alias("age"), "eid", tokens.alias("tokens"))
+    sums = running_totals(rows, ["repo", "age", "eid"], ["tokens"])
+    begins = sums.groupBy("repo").agg(F.min("before_tokens").alias("begin"))
+    used = sums.join(begins, "repo").withColumn("used", F.col("before_tokens") - F.col("begin") + F.col("tokens"))
+    return used.where(F.col("used") <= BUDGET).select("repo", "eid", "tokens", "used")
 
 
 def budget_greedy_skip(spark: SparkSession, d: str) -> DataFrame:
@@ -184,11 +198,11 @@ def okf_log(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("day").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "path", "hash"))), "\n"), 256).alias("digest"))
 
 
-def sync_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Bodies through an authenticated encrypted bundle and back; the event id is bound to each payload."""
-    key, iv = F.lit("0123456789abcdef0123456789abcdef"), F.to_binary(F.substring(F.sha2("eid", 256), 1, 24), F.lit("hex"))
-    sealed = events(spark, d).where("body is not null").select("eid", F.aes_encrypt("body", key, F.lit("GCM"), F.lit("DEFAULT"), iv, F.col("eid")).alias("sealed"))
-    return sealed.select("eid", F.aes_decrypt("sealed", key, F.lit("GCM"), F.lit("DEFAULT"), F.col("eid")).cast("string").alias("body"))
+def sync_round_trip(spark: SparkSession, d: str, key: str | None = None) -> DataFrame:
+    """Bodies through an authenticated encrypted bundle and back; each payload has an initial vector of its own, and its event id is bound to it."""
+    sealed = export.sealed(events(spark, d).where("body is not null").select("eid", F.col("body").alias("payload")), key or secrets.token_hex(16))
+    # written, as a bundle is: what is opened has to be what was sealed
+    return export.opened(staged(sealed[0], "bundle"), sealed[1]).select("eid", F.col("payload").alias("body"))
 
 
 def event_languages(spark: SparkSession, d: str) -> DataFrame:
@@ -197,7 +211,7 @@ def event_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FUNCTIONS = (
-    edge_coalesce, dangling_targets, sources_latest, decisions_status, dashboard_totals, active_scopes_asof, freshness_status, snapshot_diff, rename_detect, link_references, causal_receipt, hash_chain_verify,
+    edge_coalesce, dangling_targets, sources_latest, decisions_status, dashboard_totals, active_scopes_asof, freshness_status, snapshot_diff, rename_detect, link_references, causal_receipt, hash_integrity,
     idempotency_conflicts, redact_secrets, size_class, token_estimate, byte_offsets, id_buckets, budget_prefix, budget_greedy_skip, hook_events, okf_log, sync_round_trip, event_languages,
 )
 
@@ -247,9 +261,9 @@ def oracle() -> dict[str, str]:
         "link_references": r"""with l as (select doc_id, unnest(regexp_extract_all(text, '\[[^\]\n]*\]\(([^)\s#?]+)(?:[?#][^)]*)?\)', 1)) specifier from documents), i as (select doc_id, unnest(regexp_extract_all(text, '\b(?:import|export)\s+(?:[^"''\n]*?\s+from\s*)?["'']([^"''\n]+)["'']', 1)) specifier from documents)
  select doc_id, 'links' "type", specifier, count(*) n from l where not regexp_matches(specifier, '^(https?:|mailto:)') group by all union all select doc_id, 'imports', specifier, count(*) from i group by all""",
         "causal_receipt": ev + "r as (select *, coalesce(hash, '') h from ev where session is not null and ts is not null) select eid, row_number() over w stage, 'sha256:' || sha256(coalesce(lag(h) over w, '') || '|' || h) link from r window w as (partition by session order by ts, eid)",
-        "hash_chain_verify": f"""with r as (select repository_id, {canonical_sql('event_hash')} hash, row_id from ledger_events where repository_id is not null and event_hash is not null), l as (select *, lag(hash) over (partition by repository_id order by row_id) previous from r),
- f as (select repository_id, count(*) forks from (select repository_id, previous from l where previous is not null group by all having count(*) > 1) group by 1), h as (select distinct repository_id, hash from r)
- select l.repository_id, count(*) n_rows, count(*) filter (previous is null) roots, count(*) filter (previous is not null and h.hash is null) orphans, coalesce(any_value(forks), 0) forks from l left join h on h.repository_id = l.repository_id and h.hash = l.previous left join f on f.repository_id = l.repository_id group by 1""",
+        "hash_integrity": f"""with r as (select repository_id repo, {canonical_sql('event_id')} eid, {canonical_sql('event_hash')} hash from ledger_events where repository_id is not null),
+ c as (select repo, count(*) n from (select repo, eid from r where eid is not null and hash is not null group by 1, 2 having count(distinct hash) > 1) group by 1), s as (select repo, count(*) n from (select repo, hash from r where eid is not null and hash is not null group by 1, 2 having count(distinct eid) > 1) group by 1)
+ select r.repo, count(*) n_rows, count(*) filter (hash is null) without_hash, coalesce(any_value(c.n), 0) changed_ids, coalesce(any_value(s.n), 0) shared_hashes from r left join c on c.repo = r.repo left join s on s.repo = r.repo group by 1""",
         "idempotency_conflicts": f"select {canonical_sql('event_id')} eid, count(*) deliveries, count(distinct {canonical_sql('event_hash')}) contents from ledger_events where {canonical_sql('event_id')} is not null group by 1 having count(*) > 1",
         "redact_secrets": ev + f"x as (select eid, {secrets} t from ev where body is not null) select eid, sha256(t) digest, length(t)::int n_chars from x",
         "size_class": ev + "x as (select kind, strlen(body) n from ev) select kind, case when n is null then 'none' when n = 0 then 'empty' when n <= 64 then 'tiny' when n <= 1024 then 'small' when n <= 16384 then 'medium' when n <= 65536 then 'large' else 'very_large' end size_class, count(*) n, sum(coalesce(n, 0))::bigint bytes from x group by 1, 2",
@@ -257,6 +271,9 @@ def oracle() -> dict[str, str]:
         "byte_offsets": "with s as (select row_id, batch_id, strlen(coalesce(body, ''))::bigint + 1 size from ledger_events) select row_id, batch_id, coalesce(sum(size) over (partition by batch_id order by row_id rows between unbounded preceding and 1 preceding), 0)::bigint \"offset\", size from s",
         "id_buckets": ev + "x as (select substr(sha256(eid), 1, 2) bucket from ev) select bucket, count(*) n from x group by 1",
         "budget_prefix": ev + f"{_EL}, t as (select repo, eid, ts, {tok} tokens from el where repo is not null), u as (select repo, eid, tokens, sum(tokens) over (partition by repo order by ts desc nulls last, eid rows unbounded preceding)::bigint used from t) select * from u where used <= {BUDGET}",
+        "budget_greedy_skip": ev + f"""{_EL}, t as (select repo, eid, ts, {tok} tokens from el where repo is not null), g as (select repo, list(eid order by ts desc nulls last, eid) ids, list(tokens order by ts desc nulls last, eid) sizes from t group by 1),
+ f as (select repo, list_reduce(list_prepend({{'u': 0::bigint, 'k': []::varchar[]}}, list_transform(list_zip(sizes, ids), lambda x: {{'u': x[1], 'k': [x[2]]}})), lambda a, x: case when a.u + x.u <= {BUDGET} then {{'u': a.u + x.u, 'k': list_concat(a.k, x.k)}} else a end) r from g)
+ select repo, r.u used, len(r.k)::int n, (unnest(range(len(r.k))))::int place, unnest(r.k) eid from f""",
         "hook_events": f"""with h as (select hook_id, {kinds(0)} kind, {kinds(1)} actor_type, {s} s, {p} p, {t} t, sha256(coalesce({s}, '') || '|' || {name} || '|' || coalesce('tool:' || {t}, case when starts_with({name}, 'subagent') then 'agent:' || agent_id end, case when {name} in ('userpromptsubmit', 'stop') then 'prompt:' || {p} end)) x from claude_hooks)
  select hook_id, kind, actor_type, 'evt_' || substr(x, 1, 8) || '-' || substr(x, 9, 4) || '-4' || substr(x, 14, 3) || '-8' || substr(x, 18, 3) || '-' || substr(x, 21, 12) event_id, concat_ws(',', 'session:' || s, 'turn:' || p, 'toolcall:' || t) relations from h where kind is not null""",
         "okf_log": ev + "x as (select strftime(make_timestamp(ts * 1000), '%Y-%m-%d') \"day\", 'events/' || eid || '.md:' || sha256(concat_ws(chr(10), title, body)) p from ev where ts is not null) select \"day\", count(*) n, sha256(string_agg(p, chr(10) order by p)) digest from x group by 1",

@@ -50,10 +50,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path below the application's folder in the shared one; release deletes it."""
+    return f"{shared_dir(spark)}/sedimark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{label}"
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and returns the written table: lineage ends there and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sedimark/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{label}"
+    path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import html
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimark.functions.data import primitive_lines, project_lines
 from sedimark.operators import ranking, readmodel
 from sedimark.operators.graph import node_id
+from sedimark.operators.ordered import positions
 
 
 def inline(c: Column) -> Column:
@@ -29,9 +30,24 @@ def concepts(events: DataFrame) -> DataFrame:
 def index_lines(events: DataFrame) -> DataFrame:
     """(day, place, line) of the index, newest first within each day; the days are its files, so no file grows without bound."""
     day = F.date_from_unix_date(F.floor(F.col("ts") / 86_400_000).cast("int")).cast("string")
-    w = Window.partitionBy("day").orderBy(F.desc("ts"), "eid")
-    rows = events.where("ts is not null").withColumn("day", day)
-    return rows.select("day", F.row_number().over(w).alias("place"), F.concat(F.lit("- ["), inline(F.col("title")), F.lit("](../events/"), F.col("eid"), F.lit(".md)")).alias("line"))
+    rows = positions(events.where("ts is not null").select(day.alias("day"), (-F.col("ts")).alias("age"), "eid", "title"), "day", ["age", "eid"], [])
+    return rows.select("day", F.col("row_no").alias("place"), F.concat(F.lit("- ["), inline(F.col("title")), F.lit("](../events/"), F.col("eid"), F.lit(".md)")).alias("line"))
+
+
+def sealed(rows: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """(eid, box) of rows(eid, payload) and the key: AES-GCM with a random initial vector for each payload, so that a changed one never reuses a vector, and the id as bound data. key has 16, 24 or 32 bytes; keep it out of what is written."""
+    return rows.select("eid", F.expr("aes_encrypt(payload, :k, 'GCM', 'DEFAULT', cast('' as binary), eid)".replace(":k", f"cast('{_plain_key(key)}' as binary)")).alias("box")), key
+
+
+def opened(boxes: DataFrame, key: str) -> DataFrame:
+    """(eid, payload) of boxes(eid, box); fails if a box or its id was changed."""
+    return boxes.select("eid", F.expr(f"cast(aes_decrypt(box, cast('{_plain_key(key)}' as binary), 'GCM', 'DEFAULT', eid) as string)").alias("payload"))
+
+
+def _plain_key(key: str) -> str:
+    if len(key) not in (16, 24, 32) or not key.isalnum():
+        raise ValueError("the key has 16, 24 or 32 letters and digits")
+    return key
 
 
 def bundle_digest(files: DataFrame) -> DataFrame:

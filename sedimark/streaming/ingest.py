@@ -41,23 +41,29 @@ _STATUS = "producer string, number long, status string"
 
 
 def _continuity(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (head,) = state.get if state.exists else (0,)
+    head, last = state.get if state.exists else (0, None)
+    # a producer's rows of a micro-batch come in several Arrow batches; only when all are there is their order known
+    rows = pd.concat(list(batches)).sort_values("number", kind="stable")
     out = []
-    for b in batches:
-        for n in sorted(b["number"]):
-            status = "next" if n == head + 1 else "replay" if n <= head else "gap"
-            out.append((key[0], int(n), status))
-            head = max(head, int(n))
-    state.update((head,))
-    yield pd.DataFrame(out, columns=["producer", "number", "status"])
+    for n, own, before in zip(rows["number"], rows["hash"], rows["previous"]):
+        n = int(n)
+        status = "replay" if n <= head else "gap" if n > head + 1 else "broken" if before is not None and last is not None and before != last else "next"
+        out.append((key[0], n, status))
+        if n > head:
+            head, last = n, own
+    state.update((head, last))
+    for i in range(0, len(out), 10_000):
+        yield pd.DataFrame(out[i : i + 10_000], columns=["producer", "number", "status"])
 
 
 def sequence_continuity(stream: DataFrame) -> DataFrame:
-    """(producer, number, status) of a stream(producer, number): next if it follows the producer's head, replay if not above it, gap if numbers are missing before it.
+    """(producer, number, status) of a stream(producer, number[, hash, previous]): next if it follows the producer's head, replay if not above it, gap if numbers are missing before it, broken if it follows but names another hash as the one before it.
 
-    The state is one number per producer. Within a micro-batch numbers are taken in order.
+    The state is the head's number and hash of each producer. Within a micro-batch numbers are taken in order, for which
+    one producer's numbers and hashes of the micro-batch are held by one task; maxFilesPerTrigger bounds them.
     """
-    return stream.select("producer", "number").groupBy("producer").applyInPandasWithState(_continuity, _STATUS, "head long", "append", GroupStateTimeout.NoTimeout)
+    text = lambda c: (F.col(c) if c in stream.columns else F.lit(None)).cast("string").alias(c)
+    return stream.select("producer", "number", text("hash"), text("previous")).groupBy("producer").applyInPandasWithState(_continuity, _STATUS, "head long, last string", "append", GroupStateTimeout.NoTimeout)
 
 
 def statuses(rows: DataFrame) -> DataFrame:

@@ -10,7 +10,13 @@ DIFF = "diff --git a/src/core/a.py b/src/core/a.py\n--- a/src/core/a.py\n+++ b/s
 
 def test_diffs(spark):
     r = spark.createDataFrame([(DIFF, None)], "d string, n string").select(X.changed_files(F.col("d")).alias("f"), X.changed_symbols(F.col("d")).alias("s"), X.changed_files(F.col("n")).alias("nf"), X.changed_symbols(F.col("n")).alias("ns"), X.module_scope(F.lit("src/core/a.py")).alias("m"), X.module_scope(F.lit("b.md")).alias("t")).first()
-    assert r.f == ["b.md", "src/core/a.py"] and r.s == ["my_value", "newname", "old_name"] and r.nf == [] and r.ns == [] and r.m == "src/core" and r.t == "b.md"
+    assert r.f == ["b.md", "src/core/a.py"] and r.s == ["newname", "old_name"] and r.nf == [] and r.ns == [] and r.m == "src/core" and r.t == "."
+
+
+def test_names_in_diffs(spark):
+    d = "diff --git a/a b.txt b/a b.txt\n@@ -1,2 +1,2 @@ def Outer(self):\n+    call_it(x)\n-async def gone():\n@@ -9 +9 @@ if (check_this(y) and go(z))\n+x = 1\r\ndiff --git a/c b/c\r\n"
+    r = spark.createDataFrame([(d,)], "d string").select(X.changed_files(F.col("d")).alias("f"), X.changed_symbols(F.col("d")).alias("s"), *[X.module_scope(F.lit(p)).alias(f"m{i}") for i, p in enumerate(["a", "/a/", "a/b", "a/b/c/d"])]).first()
+    assert r.f == ["a b.txt", "c"] and r.s == ["check_this", "gone", "outer"] and (r.m0, r.m1, r.m2, r.m3) == (".", ".", "a", "a/b")
 
 
 def test_places_and_urls(spark):

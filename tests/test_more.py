@@ -1,5 +1,6 @@
 """Measures, similar texts, packs, logs and streams."""
 
+import json
 import math
 import random
 
@@ -64,7 +65,8 @@ def test_similar_classes_against_brute_force(spark):
     docs += ["", None, docs[0], docs[0].upper() + " !"]
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     norm = [" ".join(x for x in (d or "").lower().replace("!", " ").split()) for d in docs]
-    rep = [norm.index(n) for n in norm]
+    # empty and null texts are by themselves
+    rep = [norm.index(n) if n else i for i, n in enumerate(norm)]
     sets = [{tuple(n.split()[i : i + 5]) for i in range(len(n.split()) - 4)} for n in norm]
     links = [0] * len(docs)
     reps = sorted(set(rep))
@@ -116,9 +118,17 @@ def test_project_files_and_publish(spark, tmp_path):
     (tmp_path / "p" / "b.bin").write_bytes(bytes(range(256)))
     got = {r.path.rsplit("/", 1)[1]: (r.language, r.is_binary) for r in log.project_files(spark, str(tmp_path / "p")).collect()}
     assert got == {"a.py": ("python", False), "b.bin": ("text", True)}
-    for n in (3, 5):
+    for n in (3, 5, 7):
+        before = log.published(spark, str(tmp_path / "views"), "v") if n > 3 else None
         log.publish({"v": spark.range(n)}, str(tmp_path / "views"))
-        assert spark.read.parquet(str(tmp_path / "views" / "v")).count() == n
+        assert log.published(spark, str(tmp_path / "views"), "v").count() == n
+        # who reads the version before goes on reading it
+        assert before is None or before.count() == n - 2
+    log.prune(spark, str(tmp_path / "views"), 1)
+    assert log.published(spark, str(tmp_path / "views"), "v").count() == 7 and len(list((tmp_path / "views").glob("0*"))) == 1
+    # tabs, line breaks, form feeds and vertical tabs aren't control bytes
+    (tmp_path / "p" / "c.txt").write_bytes(b"a\x0b\x0c\t\r\n\x7f" * 20)
+    assert not next(r.is_binary for r in log.project_files(spark, str(tmp_path / "p")).collect() if r.path.endswith("c.txt"))
 
 
 def test_streams(spark, tmp_path):
@@ -132,6 +142,43 @@ def test_streams(spark, tmp_path):
     assert got == sorted(tuple(r) for r in ingest.statuses(rows).collect())
 
 
+def test_a_producer_of_several_arrow_batches_is_ordered(spark, tmp_path):
+    rows = spark.createDataFrame([("p", n) for n in (3, 4, 1, 2)], "producer string, number long").coalesce(1)
+    rows.write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        s = ingest.file_stream(spark, str(tmp_path / "in"), rows.schema)
+        got = {(r.number, r.status) for r in ingest.run_to_table(ingest.sequence_continuity(s), str(tmp_path / "seq")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(n, "next") for n in (1, 2, 3, 4)}
+
+
+def test_receipts_name_the_one_before(spark, tmp_path):
+    rows = spark.createDataFrame([("p", 1, "a", None), ("p", 2, "b", "a"), ("p", 3, "c", "x"), ("p", 4, "d", "c")], "producer string, number long, hash string, previous string")
+    rows.write.parquet(str(tmp_path / "in"))
+    s = ingest.file_stream(spark, str(tmp_path / "in"), rows.schema)
+    got = [(r.number, r.status) for r in ingest.run_to_table(ingest.sequence_continuity(s), str(tmp_path / "seq")).orderBy("number").collect()]
+    assert got == [(1, "next"), (2, "next"), (3, "broken"), (4, "next")]
+
+
+def test_logs_are_verified(spark, tmp_path):
+    good = log.chained([{"eventId": f"e{i}", "title": f"t{i}", "workspaceId": "w"} for i in range(5)])
+
+    def summary(lines, workspace=None):
+        (tmp_path / "l.jsonl").write_text("".join(x + "\n" for x in lines))
+        rows, s = log.verified(log.read_log(spark, str(tmp_path / "l.jsonl")), workspace)
+        return s.first(), {r.problem for r in rows.where("problem is not null").collect()}
+
+    s, problems = summary(good, "w")
+    assert s.ok and s["count"] == 5 and s.head == json.loads(good[-1])["hash"] and not problems
+    assert not summary(good[:2] + good[3:])[0].ok and summary(good[:2] + good[3:])[0].orphans == 1
+    assert summary([*good[:4], good[4].replace("t4", "t5")])[1] == {"hash"}
+    assert summary([*good, good[4]])[0].repeated == 1 and not summary([*good, good[4]])[0].ok
+    assert summary([" " + good[0]])[1] == {"not canonical"} and summary(good, "v")[1] == {"workspace"}
+    assert summary([])[0].ok
+
+
 def test_statements_on_measures(spark):
     r = spark.createDataFrame([("s", 1, 0), ("s", 2, 2), ("s", 3, 1), ("n", 1, 0)], "subject string, rank int, grade int")
     row = E.retrieval_metrics(r, "subject").collect()

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedimark.operators import delivery, history, shred
-from sedimark.operators.ordered import positions, running_totals
+from sedimark.operators.ordered import last_seen, positions, running_totals
 
 HOOKS = "hook_id long, session_id string, hook_event_name string, tool_use_id string, prompt_id string, batch_id long, received_at timestamp, producer string, ident string, message_key string"
 LEDGER = "row_id long, event_id string, event_hash string, batch_id long, received_at timestamp, kind string, subject_id string, authority_scope string, valid_from string, valid_until string, event_timestamp timestamp"
@@ -320,3 +320,20 @@ def test_running_totals_over_partitions(spark):
 
 def test_executors_can_import(spark):
     assert spark.range(3).select(F.col("id")).mapInPandas(lambda it: (b for b in it), "id long").count() == 3
+
+
+def test_last_seen_over_partitions(spark):
+    random.seed(4)
+    rows = [(random.choice(["hot"] * 6 + ["a", "b"]), i, f"v{i}" if random.random() < 0.02 else None) for i in random.sample(range(10**6), 3000)]
+    df = spark.createDataFrame(rows, "k string, o long, v string").repartition(5)
+    for n in (10_000, 37):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        try:
+            got = {(r.k, r.o): r.last_v for r in last_seen(df, "k", ["o"], "v").collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        seen = {}
+        for k, o, v in sorted(rows, key=lambda r: (r[0], r[1])):
+            assert got[k, o] == seen.get(k), (k, o)
+            seen[k] = v or seen.get(k)
+    assert last_seen(spark.createDataFrame([], "k string, o long, v string"), "k", ["o"], "v").count() == 0

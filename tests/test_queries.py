@@ -7,7 +7,7 @@ import pytest
 from compare import connection, rows_of_spark, rows_of_sql
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-MODULES = [importlib.import_module(f"sedimark.plans.{m}") for m in ("problems", "ranking", "readmodel", "evaluation", "graph", "lifecycle")]
+MODULES = [importlib.import_module(f"sedimark.plans.{m}") for m in ("problems", "ranking", "readmodel", "evaluation", "graph", "lifecycle", "parts")]
 QUERIES = {n: (f, m.oracle().get(n)) for m in MODULES for n, f in m.queries().items()}
 
 

@@ -145,6 +145,40 @@ def test_data_is_searched_and_shown(spark, tmp_path):
     assert item["eid"] == "e2" and item["excerpt"] == "1 files\nsrc/zebra.py"
 
 
+def test_the_index_gives_the_scores_of_the_texts(spark, tmp_path):
+    from sedimark.functions.text import query_terms
+    from sedimark.operators import ranking as R
+    from sedimark.plans.ranking import search_text
+    from sedimark.sinks import index
+
+    random.seed(6)
+    words = ["alpha", "beta", "gamma", "delta", "of"]
+    rows = [(f"e{i:03d}", "repo_00001", i, "claim", " ".join(random.choice(words) for _ in range(random.randrange(12))), "s") for i in range(80)]
+    d = ledger(spark, tmp_path / "t", rows)
+    ev = base.events(spark, d)
+    index.write_index(ev, search_text(), str(tmp_path / "index"))
+    q = query_terms("alpha of gamma")
+    counted = R.counted(ev, search_text(), q)
+    want = {r.eid: r.score for r in R.bm25(counted, R.corpus_stats(counted, q), q, False).collect()}
+    found = index.bm25(spark, str(tmp_path / "index"), q)
+    assert {r.eid: r.score for r in found.collect()} == pytest.approx(want, abs=2e-6) and len(want) > 40
+    assert "body" not in found._jdf.queryExecution().executedPlan().toString()
+    assert not index.is_stale(spark, str(tmp_path / "index"), ev) and index.is_stale(spark, str(tmp_path / "index"), ev.where("eid <> 'e007'"))
+    index.write_by_id(ev.select("eid", "seq"), str(tmp_path / "ids"))
+    got = index.by_id(spark, str(tmp_path / "ids"), ["e003", "e070", "nothing"])
+    assert {(r.eid, r.seq) for r in got.collect()} == {("e003", 3), ("e070", 70)}
+    assert "PartitionFilters: [" in got._jdf.queryExecution().executedPlan().toString() and "bucket" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dependencies_against_a_resolver(spark):
+    from sedimark.operators import readmodel as M
+
+    cited = spark.createDataFrame([("a", "1", "r", "x", 1), ("a", "2", "r", "y", 2), ("b", "1", None, "x", 1), ("c", "1", "r", "x", 1), ("d", "1", "r", None, 1)], "name string, version string, repo string, hash string, seq long")
+    known = spark.createDataFrame([("a", "1", "r", "x"), ("a", "2", "r", "y"), ("b", "1", None, "z"), ("d", "1", "r", "q")], "name string, version string, repo string, hash string")
+    assert {(r.name, r.status) for r in M.dependency_freshness(cited, known).collect()} == {("a", "current"), ("b", "changed"), ("c", "missing"), ("d", "changed")}
+    assert {r.status for r in M.dependency_freshness(cited, None).collect()} == {"unverified"}
+
+
 def test_a_query_reads_the_columns_it_needs(spark, tmp_path):
     d = ledger(spark, tmp_path / "t", [("a", "repo_00001", 0, "claim", "b", "s")])
     plan = id_buckets(spark, d)._jdf.queryExecution().executedPlan().toString()
