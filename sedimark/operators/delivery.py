@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimark.functions.identity import canonical_id, hook_name
+from sedimark.runtime import staged
 
 #: A producer's numbers are kept in blocks of this many, so that one producer never fills one task.
 BLOCK = 1 << 16
@@ -108,6 +109,8 @@ def copy_pairs(keys: DataFrame, source: str) -> DataFrame:
     Every pair is asked for, so a group of n copies gives n(n-1)/2 rows; the join streams and spills, no group is
     collected. Null versions fit any.
     """
+    # written once: canonical spellings are the dearest part, and four branches start from them
+    keys = staged(keys.select("rid", "producer", "ident", "version"), "keys")
     members = repeated_members(keys).select("message_key", "rid", "version")
     a, b = members.alias("a"), members.alias("b")
     fits = F.col("a.version").isNull() | F.col("b.version").isNull() | (F.col("a.version") == F.col("b.version"))
@@ -122,6 +125,7 @@ def once(df: DataFrame, keys: DataFrame, row_id: str) -> DataFrame:
     Rows without identifiers all stay. Where copies fit several versions (a missing version), they count as copies of
     the version that came first.
     """
+    keys = staged(keys, "keys")
     members = repeated_members(keys).withColumn("arrival", F.struct("batch_id", "received_at", "rid"))
     first = members.groupBy("message_key").agg(F.min_by("version", F.when(F.col("version").isNotNull(), F.col("arrival"))).alias("first_version"))
     versioned = members.join(first, "message_key").withColumn("held", F.coalesce("version", "first_version"))
