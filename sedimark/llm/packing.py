@@ -139,3 +139,9 @@ def fill_containers(items: DataFrame, capacity: int = CAPACITY, windows: int = W
     return placed.where("piece_no is not null").join(moves, "window", "left").select(
         F.coalesce("into", "window").alias("container_id"), (F.col("place") + F.coalesce("base", F.lit(0))).alias("place"), "doc_id", "piece_no", "n_tokens"
     )
+
+
+def space(filled: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: containers, tokens, lower_bound (tokens / capacity, rounded up) and unused, the share of the containers' space that is left (0 without containers)."""
+    t = filled.groupBy("container_id").agg(F.sum("n_tokens").alias("n")).agg(F.count("*").alias("containers"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"))
+    return t.select("containers", "tokens", F.ceil(F.col("tokens") / capacity).alias("lower_bound"), F.when(F.col("containers") > 0, F.round(1 - F.col("tokens") / (F.col("containers") * capacity), 6)).otherwise(0.0).alias("unused"))

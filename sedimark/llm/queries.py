@@ -68,6 +68,11 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_containers(tokens.encode_corpus(table(spark, d, "documents"), lengths_only=True))
 
 
+def p7_space(spark: SparkSession, d: str) -> DataFrame:
+    """One row: containers in use, the least number that the tokens could fill, and the share of unused space."""
+    return packing.space(p7_containers(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents that share a run of 300 characters."""
     return spans.document_pairs(table(spark, d, "documents"))
@@ -79,7 +84,7 @@ def p8_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_messages, p1_components, p2_found, p2_redacted, p6_ids, p6_round_trip, p7_containers, p8_found, p8_shared)}
+    return {f.__name__: f for f in (p1_found, p1_messages, p1_components, p2_found, p2_redacted, p6_ids, p6_round_trip, p7_containers, p7_space, p8_found, p8_shared)}
 
 
 def _talk_sql(session: str, rows: str) -> str:

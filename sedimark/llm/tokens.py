@@ -9,6 +9,7 @@ and one row per block and distinct word, so frequent words cost no more than rar
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,7 +30,10 @@ BLOCK = 8 << 20
 #: fixed value: the pre-token pattern of the vocabulary
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_loaded: dict[str, object] = {}
+#: Bytes of a vocabulary file, at most.
+LARGEST = 64 << 20
+
+_loaded: dict[object, object] = {}
 
 
 def vocabulary_path(name: str = VOCABULARY, folder: str | None = None) -> str:
@@ -37,20 +41,31 @@ def vocabulary_path(name: str = VOCABULARY, folder: str | None = None) -> str:
     return f"{folder or os.environ.get('SEDIMARK_TOKENIZERS', TOKENIZERS)}/{name}.tiktoken"
 
 
-def token_bytes(path: str) -> dict[int, bytes]:
-    """The token-byte table: id to bytes."""
+def vocabulary_bytes(path: str) -> bytes:
+    """The vocabulary file, read on the driver; tasks get it by broadcast, so executors need no copy of it. Its size is checked."""
+    size = os.path.getsize(path)
+    if size > LARGEST:
+        raise ValueError(f"{path} has {size} bytes, {LARGEST} at most are sent to the tasks")
     with open(path, "rb") as f:
-        return {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, f)}
+        return f.read()
+
+
+def token_bytes(content: bytes) -> dict[int, bytes]:
+    """The token-byte table: id to bytes."""
+    return {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, content.splitlines())}
 
 
-def word_encoder(path: str):
-    """bytes of one pre-token -> its ids. One encoder per process."""
-    if path not in _loaded:
+def word_encoder(content: bytes):
+    """bytes of one pre-token -> its ids. One encoder per process and vocabulary."""
+    key = hashlib.blake2b(content, digest_size=16).digest()
+    if key not in _loaded:
         import tiktoken
 
-        ranks = {token: rank for rank, token in token_bytes(path).items()}
-        _loaded[path] = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-    return _loaded[path]
+        ranks = {token: rank for rank, token in token_bytes(content).items()}
+        # the pattern takes the whole of what is given: it is one pre-token already
+        whole = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+        _loaded[key] = lambda word: whole.encode_ordinary(word.decode())
+    return _loaded[key]
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -97,9 +112,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from block()
 
 
-def _encode(path: str):
+def _encode(content):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, known = word_encoder(path), {}
+        encode, known = word_encoder(content.value), {}
         for b in batches:
             out = []
             for word in b.column(2).to_pylist():
@@ -148,11 +163,11 @@ def encode_corpus(documents: DataFrame, path: str | None = None, lengths_only: b
     Null and empty texts give an empty list; a null doc_id stays null. Without special tokens: their strings are ordinary text. Blocks are staged
     once, so texts are cut once; a block is at most about BLOCK characters or one text.
     """
-    path = path or vocabulary_path()
+    content = documents.sparkSession.sparkContext.broadcast(vocabulary_bytes(path or vocabulary_path()))
     cut = staged(documents.select("doc_id", "text").mapInArrow(_cut, "block long, number int, word binary, docs binary, lengths binary, numbers binary"), "blocks")
     blocks = cut.where("docs is not null").select("block", "docs", "lengths", "numbers")
     words = cut.where("word is not null").select("block", "number", "word").repartition("word")
-    encoded = words.mapInArrow(_encode(path), "block long, number int, ids binary")
+    encoded = words.mapInArrow(_encode(content), "block long, number int, ids binary")
     schema = "doc_id long, n_tokens long" if lengths_only else "doc_id long, ids array<int>"
     return blocks.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_place(lengths_only), schema)
 
@@ -163,7 +178,7 @@ def decode_corpus(encoded: DataFrame, path: str | None = None) -> DataFrame:
     The table has a fixed size (one row per id of the vocabulary), so every task holds it and nothing is shuffled.
     Empty and null lists give empty texts; bytes that aren't UTF-8 become the replacement character, unknown ids nothing.
     """
-    table = token_bytes(path or vocabulary_path())
+    table = token_bytes(vocabulary_bytes(path or vocabulary_path()))
     size = np.zeros(max(table) + 1, np.int64)
     for i, b in table.items():
         size[i] = len(b)

@@ -280,7 +280,7 @@ def test_no_texts(spark):
 def reference_encoder():
     import tiktoken
 
-    ranks = {b: i for i, b in tokens.token_bytes(tokens.vocabulary_path()).items()}
+    ranks = {b: i for i, b in tokens.token_bytes(tokens.vocabulary_bytes(tokens.vocabulary_path())).items()}
     return tiktoken.Encoding("whole", pat_str=tokens.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
@@ -328,6 +328,17 @@ def test_containers(spark, fan_in):
     assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
 
 
+def test_little_space_is_left_on_real_sizes(spark):
+    import os
+
+    docs_ = spark.read.parquet(os.environ.get("HELDOUT_SF_DIR", "/root/testdata/sf0.01") + "/documents.parquet")
+    filled = packing.fill_containers(tokens.encode_corpus(docs_, lengths_only=True))
+    r = packing.space(filled).first()
+    print("containers", r.containers, "of at least", r.lower_bound, "unused", r.unused)
+    assert r.lower_bound <= r.containers <= r.lower_bound * 1.02 + 1 and r.unused < 0.02
+    assert packing.space(filled.limit(0)).first().unused == 0.0
+
+
 def test_no_items(spark):
     assert packing.fill_containers(spark.createDataFrame([], "doc_id long, n_tokens long")).count() == 0
 
