@@ -37,12 +37,13 @@ def project_nodes(files: DataFrame, references: DataFrame) -> DataFrame:
 
 
 def project_edges(files: DataFrame, references: DataFrame) -> DataFrame:
-    """(repo, source, type, target): directories contain directories and files, files refer to files or to outer nodes."""
+    """(repo, source, type, target): directories contain directories and files, files refer to files or to outer nodes by the type of the reference (imports, links; references without one)."""
     d = files.select("repo", F.explode(directories(F.col("path"))).alias("name")).distinct().where("name <> '.'")
     held = d.select("repo", node_id("directory", parent(F.col("name"))).alias("source"), F.lit("contains").alias("type"), node_id("directory", F.col("name")).alias("target"))
     inside = files.select("repo", "path").distinct().select("repo", node_id("directory", parent(F.col("path"))), F.lit("contains"), node_id("file", F.col("path")))
     r = references.where("specifier is not null").join(files.select("repo", F.col("path").alias("target"), F.lit(True).alias("there")).distinct(), ["repo", "target"], "left")
-    refers = r.select("repo", node_id("file", F.col("path")), F.lit("references"), F.when(F.col("there"), node_id("file", F.col("target"))).otherwise(node_id("reference", F.col("specifier")))).distinct()
+    kind = F.coalesce("type", F.lit("references")) if "type" in references.columns else F.lit("references")
+    refers = r.select("repo", node_id("file", F.col("path")), kind, F.when(F.col("there"), node_id("file", F.col("target"))).otherwise(node_id("reference", F.col("specifier")))).distinct()
     return held.union(inside).union(refers)
 
 
@@ -59,17 +60,23 @@ def changed_together(records: DataFrame, mentioned: DataFrame) -> DataFrame:
     return both.select("id", (F.coalesce("direct", F.lit(0)) + 0.5 * F.coalesce("near", F.lit(0))).alias("score"))
 
 
+# fixed values, in order: what a specifier without ending may stand for
+ENDINGS = ("", ".js", ".mjs", ".cjs", ".ts", ".tsx", ".jsx", ".json", "/index.js", "/index.mjs", "/index.ts")
+
+
+def normal_path(path: Column) -> Column:
+    """A relative path without '.', empty and '..' steps, however many; null if it climbs out of its root."""
+    outside = F.lit(None).cast("array<string>")
+    step = lambda kept, x: F.when(x.isin("", "."), kept).when(x != "..", F.concat(kept, F.array(x))).when(F.size(kept) > 0, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(outside)
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
 def resolved(references: DataFrame, files: DataFrame) -> DataFrame:
     """(repo, path, specifier, target) of relative specifiers: the first existing of the path itself, with an ending, or as a folder's index."""
-    ends = ["", ".js", ".mjs", ".cjs", ".ts", ".tsx", ".jsx", ".json", "/index.js", "/index.mjs", "/index.ts"]  # fixed values, in order
     base = F.when(parent(F.col("path")) == ".", F.lit("")).otherwise(F.concat(parent(F.col("path")), F.lit("/")))
-    raw = F.concat(base, F.regexp_replace("specifier", r"^\./", ""))
-    # a/../ is taken away pairwise; deeper climbs need as many rounds
-    clean = raw
-    for _ in range(6):
-        clean = F.regexp_replace(clean, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
+    clean = normal_path(F.concat(base, F.col("specifier")))
     options = references.where("specifier like './%' or specifier like '../%'").withColumn("_c", clean)
-    tried = options.select("repo", "path", "specifier", F.posexplode(F.array(*[F.concat("_c", F.lit(e)) for e in ends])).alias("n", "target"))
+    tried = options.select("repo", "path", "specifier", F.posexplode(F.array(*[F.concat("_c", F.lit(e)) for e in ENDINGS])).alias("n", "target"))
     hit = tried.join(files.select("repo", F.col("path").alias("target")).distinct(), ["repo", "target"])
     return hit.groupBy("repo", "path", "specifier").agg(F.min_by("target", "n").alias("target"))
 

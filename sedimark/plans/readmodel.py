@@ -186,10 +186,15 @@ def hook_events(spark: SparkSession, d: str) -> DataFrame:
     # what stays the same when the message comes again; without it the event has no id of its own
     agent = F.when(F.startswith(name, F.lit("subagent")), F.col("agent_id"))
     stable = F.coalesce(F.concat(F.lit("tool:"), t), F.concat(F.lit("agent:"), agent), F.when(name.isin("userpromptsubmit", "stop"), F.concat(F.lit("prompt:"), p)))
-    hexed = F.sha2(F.concat(F.coalesce(s, F.lit("")), F.lit("|"), name, F.lit("|"), stable), 256)
-    uuid = F.concat_ws("-", F.substring(hexed, 1, 8), F.substring(hexed, 9, 4), F.concat(F.lit("4"), F.substring(hexed, 14, 3)), F.concat(F.lit("8"), F.substring(hexed, 18, 3)), F.substring(hexed, 21, 12))
+
+    def ident(n):
+        hexed = F.sha2(F.concat(F.coalesce(s, F.lit("")), F.lit("|"), n, F.lit("|"), stable), 256)
+        return F.concat(F.lit("evt_"), F.substring(hexed, 1, 8), F.lit("-"), F.substring(hexed, 9, 4), F.lit("-4"), F.substring(hexed, 14, 3), F.lit("-8"), F.substring(hexed, 18, 3), F.lit("-"), F.substring(hexed, 21, 12))
+
+    # the id of what a message answers follows from the same parts: a result from its request, a stop from its prompt
+    origin = F.when(t.isNotNull() & name.isin("posttooluse", "posttoolusefailure"), F.lit("pretooluse")).when(t.isNull() & (name == "stop") & p.isNotNull(), F.lit("userpromptsubmit"))
     relations = F.concat_ws(",", F.when(s.isNotNull(), F.concat(F.lit("session:"), s)), F.when(p.isNotNull(), F.concat(F.lit("turn:"), p)), F.when(t.isNotNull(), F.concat(F.lit("toolcall:"), t)))
-    return table(spark, d, "claude_hooks").where(pick(0).isNotNull()).select("hook_id", pick(0).alias("kind"), pick(1).alias("actor_type"), F.when(stable.isNotNull(), F.concat(F.lit("evt_"), uuid)).alias("event_id"), relations.alias("relations"))
+    return table(spark, d, "claude_hooks").where(pick(0).isNotNull()).select("hook_id", pick(0).alias("kind"), pick(1).alias("actor_type"), ident(name).alias("event_id"), ident(origin).alias("derived_from"), relations.alias("relations"))
 
 
 def okf_log(spark: SparkSession, d: str) -> DataFrame:
@@ -243,6 +248,9 @@ def oracle() -> dict[str, str]:
         flags += "i" if r.startswith("(?i)") else ""
         flags += "s" if r.startswith("(?s)") else ""
         secrets = f"regexp_replace({secrets}, '{r2}', '[REDACTED]', '{flags}')"
+    stable = f"coalesce('tool:' || {t}, case when starts_with({name}, 'subagent') then 'agent:' || agent_id end, case when {name} in ('userpromptsubmit', 'stop') then 'prompt:' || {p} end)"
+    origin = f"case when {t} is not null and {name} in ('posttooluse', 'posttoolusefailure') then 'pretooluse' when {t} is null and {name} = 'stop' and {p} is not null then 'userpromptsubmit' end"
+    ident = lambda x: f"'evt_' || substr({x}, 1, 8) || '-' || substr({x}, 9, 4) || '-4' || substr({x}, 14, 3) || '-8' || substr({x}, 18, 3) || '-' || substr({x}, 21, 12)"
     return {
         "edge_coalesce": f'with {EDGES_SQL} select source, "type", target, count(*) occurrences, min(edge_id) first_edge from ed group by source, "type", target',
         "dangling_targets": ev + f"{EDGES_SQL} select target, case when contains(target, ':') and split_part(target, ':', 1) in ('session', 'turn', 'toolcall', 'agent') then 'entity.' || split_part(target, ':', 1) else 'entity.reference' end entity_type, count(*) n_edges from ed where target is not null and target not in (select eid from ev) group by all",
@@ -274,8 +282,8 @@ def oracle() -> dict[str, str]:
         "budget_greedy_skip": ev + f"""{_EL}, t as (select repo, eid, ts, {tok} tokens from el where repo is not null), g as (select repo, list(eid order by ts desc nulls last, eid) ids, list(tokens order by ts desc nulls last, eid) sizes from t group by 1),
  f as (select repo, list_reduce(list_prepend({{'u': 0::bigint, 'k': []::varchar[]}}, list_transform(list_zip(sizes, ids), lambda x: {{'u': x[1], 'k': [x[2]]}})), lambda a, x: case when a.u + x.u <= {BUDGET} then {{'u': a.u + x.u, 'k': list_concat(a.k, x.k)}} else a end) r from g)
  select repo, r.u used, len(r.k)::int n, (unnest(range(len(r.k))))::int place, unnest(r.k) eid from f""",
-        "hook_events": f"""with h as (select hook_id, {kinds(0)} kind, {kinds(1)} actor_type, {s} s, {p} p, {t} t, sha256(coalesce({s}, '') || '|' || {name} || '|' || coalesce('tool:' || {t}, case when starts_with({name}, 'subagent') then 'agent:' || agent_id end, case when {name} in ('userpromptsubmit', 'stop') then 'prompt:' || {p} end)) x from claude_hooks)
- select hook_id, kind, actor_type, 'evt_' || substr(x, 1, 8) || '-' || substr(x, 9, 4) || '-4' || substr(x, 14, 3) || '-8' || substr(x, 18, 3) || '-' || substr(x, 21, 12) event_id, concat_ws(',', 'session:' || s, 'turn:' || p, 'toolcall:' || t) relations from h where kind is not null""",
+        "hook_events": f"""with h as (select hook_id, {kinds(0)} kind, {kinds(1)} actor_type, {s} s, {p} p, {t} t, sha256(coalesce({s}, '') || '|' || {name} || '|' || {stable}) x, sha256(coalesce({s}, '') || '|' || {origin} || '|' || {stable}) o from claude_hooks)
+ select hook_id, kind, actor_type, {ident('x')} event_id, {ident('o')} derived_from, concat_ws(',', 'session:' || s, 'turn:' || p, 'toolcall:' || t) relations from h where kind is not null""",
         "okf_log": ev + "x as (select strftime(make_timestamp(ts * 1000), '%Y-%m-%d') \"day\", 'events/' || eid || '.md:' || sha256(concat_ws(chr(10), title, body)) p from ev where ts is not null) select \"day\", count(*) n, sha256(string_agg(p, chr(10) order by p)) digest from x group by 1",
         "sync_round_trip": ev + "x as (select eid, body from ev where body is not null) select * from x",
         "event_languages": f"select {langs} \"language\", regexp_extract(doc_path, '^(.*)/[^/]*$', 1) directory, count(*) n from documents where doc_path is not null group by 1, 2",

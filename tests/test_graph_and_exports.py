@@ -22,6 +22,9 @@ def test_directories_and_nodes(spark):
 
 def test_specifiers_are_resolved_in_order(spark):
     files = spark.createDataFrame([("r", p) for p in ("src/a.ts", "src/a.js", "src/lib/index.js", "top.json")], "repo string, path string")
+    deep = [("r", "a/b/c/d/e/f/g/h/i/j.js", "../" * 9 + "top"), ("r", "a/m.js", "../../../top"), ("r", "a/b/m.js", ".././../src//./a")]
+    got = {r.specifier: r.target for r in G.resolved(spark.createDataFrame(deep, "repo string, path string, specifier string"), files).collect()}
+    assert got == {"../" * 9 + "top": "top.json", ".././../src//./a": "src/a.js"}
     refs = spark.createDataFrame([("r", "src/m.js", s) for s in ("./a", "./lib", "../top", "../no", "pkg")], "repo string, path string, specifier string")
     assert {(r.specifier, r.target) for r in G.resolved(refs, files).collect()} == {("./a", "src/a.js"), ("./lib", "src/lib/index.js"), ("../top", "top.json")}
 
