@@ -10,10 +10,10 @@ _STRINGS = "array<string>"
 
 def opened(c: Column) -> Column:
     """The JSON object or list that a field holds, perhaps wrapped in a string, as text; null for anything else."""
-    own = F.when(F.try_parse_json(c).isNotNull(), c)
-    inner = F.get_json_object(own, "$")
-    inner = F.when(F.startswith(F.ltrim(own), F.lit('"')), F.when(F.try_parse_json(inner).isNotNull(), inner)).otherwise(own)
-    return F.when(F.regexp_like(inner, F.lit(r"^\s*[{\[]")), inner)
+    # the first character tells what has to be parsed, so that each text is parsed once and only wrapped ones twice
+    whole, bare = lambda x: F.try_parse_json(x).isNotNull(), lambda x: F.regexp_like(x, F.lit(r"^\s*[{\[]"))
+    inner = F.when(whole(c), F.get_json_object(c, "$"))
+    return F.when(bare(c), F.when(whole(c), c)).when(F.startswith(F.ltrim(c), F.lit('"')), F.when(bare(inner) & whole(inner), inner))
 
 
 def elements(raw: Column) -> Column:
@@ -39,7 +39,8 @@ def project_lines(j: Column) -> Column:
     refs = F.flatten(F.transform(files, lambda f: elements(F.get_json_object(f, "$.references"))))
     to = lambda r: F.get_json_object(r, "$.specifier")
     links = F.transform(F.filter(refs, lambda r: to(r).isNotNull()), lambda r: F.concat(F.coalesce(F.get_json_object(r, "$.type"), F.lit("reference")), F.lit(" "), to(r)))
-    return F.coalesce(F.array_join(F.concat(own, links), "\n"), F.lit(""))
+    # most data has no snapshot and isn't looked into
+    return F.when(F.contains(j, F.lit("projectStructure")), F.coalesce(F.array_join(F.concat(own, links), "\n"), F.lit(""))).otherwise("")
 
 
 def json_words(j: Column) -> Column:

@@ -83,17 +83,18 @@ def fielded(rows: DataFrame, query: list[str]) -> DataFrame:
     return joined.withColumn("score", rounded(_sum(parts))).where("score > 0")
 
 
-def likeness(text: Column, query: str, gram_chars: int | None = None, phrase_chars: int | None = None) -> Column:
-    """Similarity of 3-grams with the query, plus a half if the text holds it; null if the query is shorter than a gram.
+def with_likeness(events: DataFrame, text: Column, query: str, gram_chars: int | None = None, phrase_chars: int | None = None) -> DataFrame:
+    """events with like: similarity of 3-grams with the query, plus a half if the text holds it; null if the query is shorter than a gram.
 
     The whole text counts unless it is cut for the grams (4,096 characters, say) and for the phrase (8,192).
     """
     q = " ".join(query.lower().split())
     if len(q) < 3:
-        return F.lit(None).cast("double")
+        return events.withColumn("like", F.lit(None).cast("double"))
     own = F.array(*[F.lit(g) for g in dict.fromkeys(q[i : i + 3] for i in range(len(q) - 2))])
-    n = normalized(text, phrase_chars or 2**31 - 1)
-    return jaccard(grams(F.substring(n, 1, gram_chars) if gram_chars else n), own) + F.when(F.contains(n, F.lit(q)), 0.5).otherwise(0.0)
+    # columns of their own, so that the text is normalised and cut into grams once
+    rows = events.withColumn("_n", normalized(text, phrase_chars or 2**31 - 1)).withColumn("_g", grams(F.substring("_n", 1, gram_chars) if gram_chars else F.col("_n")))
+    return rows.withColumn("like", jaccard(F.col("_g"), own) + F.when(F.contains("_n", F.lit(q)), 0.5).otherwise(0.0)).drop("_n", "_g")
 
 
 def fuzzy(rows: DataFrame, floor: float = FUZZY_FLOOR) -> DataFrame:

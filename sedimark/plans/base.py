@@ -39,7 +39,8 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     )
     # a left join on the 240 reference rows whose ids are unique; where nothing of them is used Spark leaves it out
     kept = table(spark, d, "repositories").groupBy(F.col("repository_id").alias("repo")).agg(F.first("retention_class").alias("retention_class"))
-    joined = first_rows(spark, d).join(rows, "seq").join(kept, "repo", "left")
+    # merged, not broadcast: what is done with the texts then runs on all partitions, however few files the ledger has
+    joined = first_rows(spark, d).hint("merge").join(rows, "seq").join(kept, "repo", "left")
     return joined.withColumns({"expires": F.when(F.col("retention_class") == "session", F.col("ts") + EXPIRES_AFTER), "restricted": F.coalesce(F.col("scope").startswith("org/"), F.lit(False))}).drop("retention_class")
 
 

@@ -54,7 +54,9 @@ def _counted(ev: DataFrame, query: list[str] = _Q) -> DataFrame:
 def measured(ev: DataFrame, query: str) -> DataFrame:
     """ev with all that the scorers need of its texts, which are read once: counts of terms, of terms by field, and likeness. Stages."""
     q = query_terms(query)
-    return staged(R.field_counts(R.counted(ev, search_text(), q), q, _fields()).withColumn("like", R.likeness(similar_text(), query)).drop(*_TEXTS), "measured")
+    rows = ev.withColumn("_own", primitive_lines(F.col("j"))).withColumn("_near", F.concat_ws("\n", "title", "body", "_own"))
+    rows = R.field_counts(R.counted(rows, F.concat_ws("\n", "_near", project_lines(F.col("j"))), q), q, _fields())
+    return staged(R.with_likeness(rows, F.col("_near"), query).drop("_own", "_near", *_TEXTS), "measured")
 
 
 def inverted_index_df(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +105,7 @@ def fts_weighted(spark: SparkSession, d: str) -> DataFrame:
 
 def fuzzy_trigram(spark: SparkSession, d: str) -> DataFrame:
     """Similarity of 3-grams with the query, and the bonus of the whole phrase."""
-    return R.fuzzy(events(spark, d).select("eid", R.likeness(similar_text(), QUERY).alias("like"))).select("eid", "score")
+    return R.fuzzy(R.with_likeness(events(spark, d).select("eid", similar_text().alias("t")), F.col("t"), QUERY)).select("eid", "score")
 
 
 def admission_reasons(spark: SparkSession, d: str) -> DataFrame:
@@ -163,10 +165,11 @@ class Ask:
 
 @dataclass(frozen=True)
 class Ranking:
-    """fused (eid, ts, score, tier, tier_rank, primary_rank, components) of current events, rows of all events, eligible ones, edges, and excluded (eid, n_superseders, first_superseder)."""
+    """fused (eid, ts, score, tier, tier_rank, primary_rank) of current events, the ranked lists by name, rows of all events, eligible ones, edges, and excluded (eid, n_superseders, first_superseder)."""
 
     ask: Ask
     fused: DataFrame
+    lists: dict[str, DataFrame]
     rows: DataFrame
     eligible: DataFrame
     edges: DataFrame
@@ -199,25 +202,22 @@ def rank_events(spark: SparkSession, d: str, ask: Ask = Ask()) -> Ranking:
     none = F.lit(None).cast("long")
     if query_terms(ask.query):
         lists, rows, ed = _lists(spark, d, ask)
-        names = reduce(DataFrame.union, [r.select("eid", F.lit(i).alias("i"), F.concat(F.lit(f"{n}#"), F.col("rank").cast("string")).alias("c")) for i, (n, r) in enumerate(lists.items())])
-        # at most five components each
-        components = names.groupBy("eid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]), ", ").alias("components"))
         if ask.reciprocal:
             fused = R.reciprocal_rank_fusion(lists).select("eid", "ts", F.lit(0).alias("tier"), none.alias("tier_rank"), none.alias("primary_rank"), R.rounded(F.col("score")).alias("score"))
         else:
             fused = R.lexical_cascade(lists).withColumn("score", R.rounded(F.col("score"), 9))
-        fused = fused.join(components, "eid")
     else:
         rows, ed = staged(events(spark, d).drop(*_TEXTS), "events"), edges(spark, d)
         newest = R.ranked(admit(rows).withColumn("score", F.lit(0.0)))
-        fused = newest.select("eid", "ts", F.lit(0).alias("tier"), F.col("rank").alias("tier_rank"), none.alias("primary_rank"), R.rounded(1 / F.col("rank"), 9).alias("score"), F.concat(F.lit("recency#"), F.col("rank").cast("string")).alias("components"))
+        fused = newest.select("eid", "ts", F.lit(0).alias("tier"), F.col("rank").alias("tier_rank"), none.alias("primary_rank"), R.rounded(1 / F.col("rank"), 9).alias("score"))
+        lists = {"recency": newest}
     eligible = admit(rows)
     gone = R.superseded(ed, eligible, ask.as_of)
     # written: what is left and what is left out both come from it
     fused = staged(fused, "fused")
     current = R.current_only(fused, gone, ask.query, ask.history)
     excluded = fused.select("eid").join(gone.withColumnRenamed("target", "eid"), "eid").join(current.select("eid"), "eid", "left_anti")
-    return Ranking(ask, current, rows, eligible, ed, excluded)
+    return Ranking(ask, current, lists, rows, eligible, ed, excluded)
 
 
 def with_texts(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
@@ -232,12 +232,16 @@ def selected(ranking: Ranking, spark: SparkSession, d: str) -> DataFrame:
     ask = ranking.ask
     if ask.diversity < 1:
         texts = events(spark, d).select("eid", search_text().alias("text"))
-        picks = packs.diverse(ranking.fused.join(texts, "eid").select("eid", "ts", "score", terms(F.col("text")).alias("terms")), ask.diversity, ask.limit)
-        return picks.select("eid", F.col("rank").alias("place")).join(ranking.fused, "eid").select("eid", "place", "score", "components")
-    order = [F.desc("score"), *in_order()] if ask.reciprocal else in_order()
-    first = ranking.fused.orderBy(*order).limit(ask.limit)
-    # at most 1,000 rows
-    return first.select("eid", F.row_number().over(Window.orderBy(*order)).alias("place"), "score", "components")
+        picks = packs.diverse(ranking.fused.join(texts, "eid").select("eid", "ts", "score", terms(F.col("text")).alias("terms")), ask.diversity, ask.limit).select("eid", F.col("rank").alias("place"), "score")
+    else:
+        order = [F.desc("score"), *in_order()] if ask.reciprocal else in_order()
+        # at most 1,000 rows
+        picks = ranking.fused.orderBy(*order).limit(ask.limit).select("eid", F.row_number().over(Window.orderBy(*order)).alias("place"), "score")
+    picks = staged(picks, "picks")
+    # their places in the lists, at most five each
+    ranks = reduce(DataFrame.union, [r.select("eid", F.lit(i).alias("i"), F.concat(F.lit(f"{n}#"), F.col("rank").cast("string")).alias("c")) for i, (n, r) in enumerate(ranking.lists.items())])
+    own = ranks.join(picks.select("eid"), "eid").groupBy("eid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]), ", ").alias("components"))
+    return picks.join(own, "eid").select("eid", "place", "score", "components")
 
 
 def in_order():

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sedimark import __main__ as cli
 from sedimark.operators import graph as G
 from sedimark.sinks import export
+from sedimark.sources.log import published
 
 
 def test_directories_and_nodes(spark):
@@ -56,7 +57,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["list"]) == 0 and "p4_found" in capsys.readouterr().out
     tables = "/root/testdata/sf0.001"
     assert cli.main(["run", "conflict_pairs", "--tables", tables, "--out", str(tmp_path / "o")]) == 0 and spark.read.parquet(str(tmp_path / "o")).columns == ["a", "b"]
-    assert cli.main(["build", "--tables", tables, "--out", str(tmp_path / "v")]) == 0 and spark.read.parquet(str(tmp_path / "v" / "nodes")).count() > 0
+    assert cli.main(["build", "--tables", tables, "--out", str(tmp_path / "v")]) == 0 and published(spark, str(tmp_path / "v"), "nodes").count() > 0
     capsys.readouterr()
     assert cli.main(["query", "token budget", "--tables", tables, "--max-chars", "3000"]) == 0
     pack = json.loads(capsys.readouterr().out)

@@ -105,7 +105,7 @@ def test_bm25_title_boost_and_empty_ledger(spark):
 
 def test_fuzzy_finds_typos(spark):
     ev = ledger(spark, event(1, "Postgres authentication runbook"), event(2, "Lunch menu"))
-    like = lambda q, **cut: ids(R.fuzzy(ev.withColumn("like", R.likeness(F.concat_ws("\n", "title", "body"), q, **cut))))
+    like = lambda q, **cut: ids(R.fuzzy(R.with_likeness(ev, F.concat_ws("\n", "title", "body"), q, **cut)))
     assert "#1" in like("postgress authentcation") and "#2" not in like("postgress authentcation")
     assert like("po") == set()
     # what stands late in a long text is found unless the text is cut
