@@ -90,13 +90,40 @@ def brute_versions(rows):
     return set(out)
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_versions_against_brute_force(spark, seed):
+STATEMENTS = "entity string, payload string, from_ms long, until_ms long, said long, row_id long, run int"
+
+
+def some_statements(seed):
     random.seed(seed)
     starts = {(random.choice(["hot"] * 5 + ["a", "b", "c"]), random.randrange(300)) for _ in range(260)}
     rows = [(e, random.choice("xy"), a, random.choice([-1, -1, a + random.randrange(1, 6)])) for e, a in starts]
-    got = history.versions(spark.createDataFrame(rows, "entity string, payload string, from_ms long, until_ms long").repartition(3))
+    # earlier words on the same start, in any snapshot, don't hold
+    said = [(*r, 10, i, random.randrange(4)) for i, r in enumerate(rows)] + [(e, "z", a, -1, 9, 10_000 + i, random.randrange(4)) for i, (e, _, a, _) in enumerate(rows) if i % 3 == 0]
+    return rows, said
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_versions_against_brute_force(spark, seed):
+    rows, said = some_statements(seed)
+    got = history.versions(spark.createDataFrame(said, STATEMENTS).repartition(3))
+    assert {tuple(r) for r in got.collect()} == brute_versions(rows)
+
+
+def test_snapshots_are_added_without_sorting_the_old(spark, tmp_path, monkeypatch):
+    rows, said = some_statements(7)
+    path, bounds = f"file://{tmp_path}/snapshots", [("a", 50), ("hot", 40), ("hot", 160)]
+    for run in range(4):
+        history.write_snapshots(spark.createDataFrame([r for r in said if r[6] == run], STATEMENTS), bounds, path)
+        here = [r for r in said if r[6] <= run]
+        last = {}
+        for r in sorted(here, key=lambda r: (r[4], r[5])):
+            last[r[0], r[2]] = r[:4]
+        got = history.numbered(history.merged(spark, path, len(bounds) + 1))
+        assert {tuple(r) for r in got.collect()} == brute_versions(list(last.values()))
     assert {tuple(r) for r in got.collect()} == brute_versions(rows)
+    # a store that only Spark can read
+    monkeypatch.setattr(history, "readable", lambda files: False)
+    assert {tuple(r) for r in history.numbered(history.merged(spark, path, len(bounds) + 1)).collect()} == brute_versions(rows)
 
 
 def test_statements_of_dirty_decisions(spark):
@@ -110,7 +137,7 @@ def test_statements_of_dirty_decisions(spark):
         (7, "decision", None, "team/a", None, None, t(7)), (8, "claim", "s", "team/a", None, None, t(8)), (9, "decision", "s", "team/f", "not a time", None, t(9)), (10, "decision", "u", "x", None, None, None), (11, "decision", "d", "x", "2025-02-01", "2025-02-02", None),
     ]
     df = spark.createDataFrame([(i, None, None, 0, None, k, s, a, f, u, e) for i, k, s, a, f, u, e in rows], LEDGER)
-    got = {tuple(r) for r in history.scope_statements(df).collect()}
+    got = {tuple(r)[:4] for r in history.scope_statements(df).collect()}
     assert got == {("s", "team/a", base + 1000, -1), ("s", "team/b", base + 2000, -1), ("s", "team/e", base + 4000, -1), ("d", "x", base, base + 86400000)}
 
 
