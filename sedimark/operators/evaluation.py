@@ -108,6 +108,31 @@ def complete_prefix(ranked: DataFrame, required: DataFrame, key: str, most: int
     return j.groupBy(key).agg(F.when(F.count("rank") == F.count("*"), F.max("rank")).alias("prefix"))
 
 
+def exact_top(ranked: DataFrame, key: str) -> DataFrame:
+    """(key, k, exact) of rows(key, rank, required): k required rows, and whether they are exactly the first k. Keys without a required row are left out."""
+    g = ranked.where("required").groupBy(key).agg(F.count("*").alias("k"), F.max("rank").alias("last"))
+    return g.select(key, "k", (F.col("k") == F.col("last")).alias("exact"))
+
+
+def compared(ranked: DataFrame, key: str, most: int = 32) -> DataFrame:
+    """One row per method of rows(method, key, rank, required, tokens): cases, those with all required rows among the first `most`, those with exactly them first, the tokens of the prefixes that hold them, of all rows, and what the prefixes save.
+
+    Tokens of prefixes are compared only if each case of the method has one, else they are null.
+    """
+    need = ranked.where("required").groupBy("method", key).agg(F.count("*").alias("k"), F.max("rank").alias("last"))
+    both = ranked.join(need, ["method", key]).groupBy("method", key, "k", "last").agg(F.sum("tokens").alias("history"), F.sum(F.when(F.col("rank") <= F.col("last"), F.col("tokens")).otherwise(0)).alias("prefix"))
+    g = both.groupBy("method").agg(F.count("*").alias("cases"), F.count_if(F.col("last") <= most).alias("eligible"), F.count_if(F.col("k") == F.col("last")).alias("exact"), F.sum("prefix").alias("p"), F.sum("history").alias("history_tokens"))
+    whole = F.col("cases") == F.col("eligible")
+    return g.select("method", "cases", "eligible", "exact", F.when(whole, F.col("p")).alias("prefix_tokens"), "history_tokens", F.when(whole, rounded(1 - F.try_divide(F.col("p"), F.col("history_tokens")))).alias("reduction"))
+
+
+def winner(methods: DataFrame) -> DataFrame:
+    """One row of compared methods: decision (none if a method isn't eligible in all cases, tie, winner) and winner, the one with the fewest tokens."""
+    g = methods.agg(F.count("*").alias("n"), F.count("prefix_tokens").alias("known"), F.min("prefix_tokens").alias("least"), F.max("prefix_tokens").alias("most"), F.min_by("method", "prefix_tokens").alias("first"))
+    decision = F.when((F.col("n") == 0) | (F.col("known") < F.col("n")), "none").when(F.col("least") == F.col("most"), "tie").otherwise("winner")
+    return g.select(decision.alias("decision"), F.when(decision == "winner", F.col("first")).alias("winner"))
+
+
 def strata(ranked: DataFrame, sizes: tuple[int, ...] = (20, 19, 10)) -> DataFrame:
     """ranked(rank) with stratum: 1 for the first sizes[0] ranks, 2 for the next, and so on; ranks beyond are left out."""
     out, upto = F, 0

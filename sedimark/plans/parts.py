@@ -9,10 +9,12 @@ from sedimark.functions import extract as X
 from sedimark.functions.data import elements
 from sedimark.functions.identity import canonical_id
 from sedimark.functions.text import rounded
+from sedimark.operators import admission as A
 from sedimark.operators import evaluation as E
 from sedimark.operators import readmodel as M
+from sedimark.operators.ordered import positions
 from sedimark.plans import evaluation as plans
-from sedimark.plans.base import EVENTS_SQL, events, in_sql
+from sedimark.plans.base import AS_OF, EVENTS_SQL, REPOSITORIES, SCOPES, events, in_sql
 from sedimark.plans.problems import canonical_sql
 from sedimark.plans.readmodel import SPLIT, freshness_status
 from sedimark.plans.readmodel import oracle as readmodel_oracle
@@ -105,7 +107,43 @@ def stale_events(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).where("kind = 'decision'").where(F.col("ts") < cut).join(stale, "subject", "left_semi").select("eid", "subject")
 
 
-_FUNCTIONS = (event_lookup, index_state, module_scopes, first_paths, relevance_grades, ranking_hits, complete_prefixes, blind_strata, verified_interval, duration_summary, freshness_summary, stale_events)
+def fixed_k(spark: SparkSession, d: str) -> DataFrame:
+    """Subjects whose verified decisions are exactly the first by authority."""
+    r = plans._rankings(spark, d).select("subject", "rank", (F.col("grade") == 2).alias("required"))
+    return E.exact_top(r, "subject")
+
+
+def _two_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions of each subject ranked by authority and by time, with their tokens; verified ones are required."""
+    last = lambda c: F.coalesce(-F.col(c).cast("long"), F.lit(2**63 - 1))
+    tokens = F.ceil(F.length(F.coalesce("body", F.lit(""))) / 4).cast("long")
+    rows = events(spark, d).where("kind = 'decision' and subject is not null").select("subject", "eid", last("arank").alias("below"), last("ts").alias("age"), F.coalesce(F.col("confidence") == "verified", F.lit(False)).alias("required"), tokens.alias("tokens"))
+    rows = staged(rows, "decisions")
+    by = lambda name, order: positions(rows, "subject", order, []).select(F.lit(name).alias("method"), "subject", F.col("row_no").alias("rank"), "required", "tokens")
+    return by("authority", ["below", "age", "eid"]).union(by("recency", ["age", "eid"]))
+
+
+def method_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Two orders of the same decisions by the tokens that hold all that is required."""
+    return E.compared(_two_orders(spark, d), "subject")
+
+
+def method_winner(spark: SparkSession, d: str) -> DataFrame:
+    """Which of the two orders needs fewer tokens."""
+    return E.winner(E.compared(_two_orders(spark, d), "subject", most=10**9))
+
+
+def safety_by_method(spark: SparkSession, d: str) -> DataFrame:
+    """Events that BM25 finds with and without admission, and how many of them admission forbids."""
+    from sedimark.plans.ranking import _bm25
+
+    forbidden = F.size(A.reasons(AS_OF, SCOPES, REPOSITORIES)) > 0
+    found = staged(_bm25(spark, d, True).select("eid", forbidden.alias("forbidden")), "found")
+    each = F.explode(F.when(F.col("forbidden"), F.array(F.lit("raw"))).otherwise(F.array(F.lit("raw"), F.lit("admitted"))))
+    return found.select("forbidden", each.alias("method")).groupBy("method").agg(F.count("*").alias("found"), F.count_if("forbidden").alias("forbidden"))
+
+
+_FUNCTIONS = (event_lookup, index_state, module_scopes, first_paths, relevance_grades, ranking_hits, complete_prefixes, blind_strata, verified_interval, duration_summary, freshness_summary, stale_events, fixed_k, method_comparison, method_winner, safety_by_method)
 
 
 def queries() -> dict:
@@ -125,7 +163,19 @@ def oracle() -> dict[str, str]:
     files = f"""j as (select repository_id repo, row_id, case when json_valid(data_json) then data_json end j from ledger_events where kind = 'artifact' and repository_id is not null), f as (select distinct repo, row_id, unnest(json_extract_string({w}, '$[*].path')) path from j), p as (select *, {_scope_sql('path')} "scope" from f where path is not null),
  c as (select repo, max(row_id) last from p group by 1), now as (select p.* from p join c on p.repo = c.repo and row_id = last), old as (select p.* from p join c on p.repo = c.repo and row_id < last)"""
     fresh = readmodel_oracle()["freshness_status"]
+    tok = "ceil(length(coalesce(body, '')) / 4.0)::bigint"
+    two = ev + f"""dd as (select subject, eid, arank, ts, coalesce(confidence = 'verified', false) required, {tok} tokens from ev where kind = 'decision' and subject is not null),
+ rk as (select 'authority' "method", subject, row_number() over (partition by subject order by arank desc nulls last, ts desc nulls last, eid) rank, required, tokens from dd union all select 'recency', subject, row_number() over (partition by subject order by ts desc nulls last, eid), required, tokens from dd),
+ nd as (select "method", subject, count(*) k, max(rank) last from rk where required group by 1, 2), cs as (select "method", subject, k, last, sum(tokens)::bigint history, sum(case when rank <= last then tokens else 0 end)::bigint prefix from rk join nd using ("method", subject) group by all)"""
+    compared = lambda most: two + f""", mt as (select "method", count(*) cases, count(*) filter (last <= {most}) eligible, count(*) filter (k = last) exact, sum(prefix)::bigint p, sum(history)::bigint history_tokens from cs group by 1),
+ cm as (select "method", cases, eligible, exact, case when cases = eligible then p end prefix_tokens, history_tokens, case when cases = eligible then {r6.format('1 - p / nullif(history_tokens, 0)::double')} end reduction from mt)"""
+    from sedimark.plans.ranking import _reasons_sql
+
     return {
+        "fixed_k": rk + " select subject, count(*) k, count(*) = max(rank) exact from rk where grade = 2 group by 1",
+        "method_comparison": compared(32) + " select * from cm",
+        "method_winner": compared(10**9) + """ select case when count(*) = 0 or count(prefix_tokens) < count(*) then 'none' when min(prefix_tokens) = max(prefix_tokens) then 'tie' else 'winner' end decision, case when count(*) > 0 and count(prefix_tokens) = count(*) and min(prefix_tokens) < max(prefix_tokens) then arg_min("method", prefix_tokens) end winner from cm""",
+        "safety_by_method": f"with f as ({_boosted(_reasons_sql())}), m as (select forbidden, 'raw' \"method\" from f union all select forbidden, 'admitted' from f where not forbidden) select \"method\", count(*) found, count(*) filter (forbidden) forbidden from m group by 1",
         "event_lookup": ev + f"s as (select {canonical_sql('source_event_id')} source, count(*) n from event_edges where edge_type = 'supersedes' and {canonical_sql('source_event_id')} is not null group by 1 order by n desc, source limit 5) select eid, seq, kind, title from ev where eid in (select source from s) or eid in {in_sql(list(LOOKED_UP))}",
         "index_state": ev + "x as (select substr(sha256(eid || '|' || seq), 1, 8) h, seq from ev) select count(*) n_events, max(seq) last_seq, coalesce(sum(('0x' || h)::bigint), 0)::bigint digest from x",
         "module_scopes": f"select {_scope_sql('doc_path')} \"scope\", count(*) n from documents where doc_path is not null group by 1",
@@ -143,8 +193,8 @@ def oracle() -> dict[str, str]:
     }
 
 
-def _boosted() -> str:
-    """eid, ts and score of all events by BM25 with title boost."""
+def _boosted(reasons: str = "[]") -> str:
+    """eid, ts and score of all events by BM25 with title boost, and whether there are reasons against them."""
     from sedimark.plans.ranking import _bm25_sql, _counted_sql, _stats_sql
 
-    return f"with {EVENTS_SQL}, {_counted_sql('ev')}, {_stats_sql('ct')} select * from (select eid, ts, {_bm25_sql(True)} score from ct, st) where score > 0"
+    return f"with {EVENTS_SQL}, {_counted_sql('ev')}, {_stats_sql('ct')} select * from (select eid, ts, {_bm25_sql(True)} score, len({reasons}) > 0 forbidden from ct, st) where score > 0"

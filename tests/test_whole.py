@@ -184,3 +184,15 @@ def test_a_query_reads_the_columns_it_needs(spark, tmp_path):
     plan = id_buckets(spark, d)._jdf.queryExecution().executedPlan().toString()
     assert "body" not in plan and "title" not in plan and "data_json" not in plan
     assert "body" not in base.events(spark, d).select("kind")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_prefixes_of_two_methods(spark):
+    from sedimark.operators import evaluation as E
+
+    rows = [("a", "s", 1, True, 5), ("a", "s", 2, True, 5), ("a", "s", 3, False, 90), ("b", "s", 1, False, 90), ("b", "s", 2, True, 5), ("b", "s", 3, True, 5)]
+    df = spark.createDataFrame(rows, "method string, key string, rank int, required boolean, tokens int")
+    got = {r.method: tuple(r)[1:] for r in E.compared(df, "key").collect()}
+    assert got == {"a": (1, 1, 1, 10, 100, 0.9), "b": (1, 1, 0, 100, 100, 0.0)}
+    assert tuple(E.winner(E.compared(df, "key")).first()) == ("winner", "a") and tuple(E.winner(E.compared(df, "key", 2)).first()) == ("none", None)
+    assert tuple(E.winner(E.compared(df.limit(0), "key")).first()) == ("none", None)
+    assert {tuple(r) for r in E.exact_top(df.where("method = 'a'"), "key").collect()} == {("s", 2, True)}
