@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # fixed values: words that aren't search terms, and what a search term looks like
-STOP_WORDS = "a an and are as at be by for from has in is it of on or that the this to was were will with".split()
+STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "will", "with")
 TERM = r"[\p{L}\p{N}][\p{L}\p{N}_-]{1,63}"
 
 
@@ -29,7 +29,7 @@ def compatible(c: Column) -> Column:
 def terms(c: Column) -> Column:
     """Search terms of a text in order, with repeats; an empty list for null."""
     found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TERM), 0)
-    return F.filter(found, lambda t: ~t.isin(STOP_WORDS))
+    return F.filter(found, lambda t: ~t.isin(*STOP_WORDS))
 
 
 def query_terms(query: str) -> list[str]:

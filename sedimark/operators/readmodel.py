@@ -114,8 +114,25 @@ def without_secrets(c: Column, mark: str = "[REDACTED]") -> Column:
 
 # fixed values: file endings by language
 LANGUAGES = {
-    "javascript": "cjs js jsx mjs", "typescript": "ts tsx", "markdown": "md", "json": "json", "jsonc": "jsonc", "python": "py", "rust": "rs", "java": "java", "kotlin": "kt", "ruby": "rb", "css": "css", "html": "html", "svelte": "svelte", "vue": "vue",
-    "yaml": "yaml yml", "toml": "toml", "sql": "sql", "xml": "xml", "shell": "sh",
+    "javascript": ("cjs", "js", "jsx", "mjs",),
+    "typescript": ("ts", "tsx",),
+    "markdown": ("md",),
+    "json": ("json",),
+    "jsonc": ("jsonc",),
+    "python": ("py",),
+    "rust": ("rs",),
+    "java": ("java",),
+    "kotlin": ("kt",),
+    "ruby": ("rb",),
+    "css": ("css",),
+    "html": ("html",),
+    "svelte": ("svelte",),
+    "vue": ("vue",),
+    "yaml": ("yaml", "yml",),
+    "toml": ("toml",),
+    "sql": ("sql",),
+    "xml": ("xml",),
+    "shell": ("sh",),
 }
 
 
@@ -124,5 +141,5 @@ def language(path: Column) -> Column:
     ending = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     w = F
     for name, ends in LANGUAGES.items():
-        w = w.when(ending.isin(ends.split()), name)
+        w = w.when(ending.isin(*ends), name)
     return w.otherwise("text")

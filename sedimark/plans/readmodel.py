@@ -240,7 +240,7 @@ def oracle() -> dict[str, str]:
     name = f"replace(lower({_trim('hook_event_name')}), '_', '')"
     kinds = lambda i: f"case {name} " + " ".join(f"when '{k}' then '{v[i]}'" for k, v in HOOK_KINDS.items()) + " end"
     s, p, t = canonical_sql("session_id"), canonical_sql("prompt_id"), canonical_sql("tool_use_id")
-    langs = "case " + " ".join(f"when lower(regexp_extract(doc_path, '\\.([^./]+)$', 1)) in ({', '.join(repr(e) for e in ends.split())}) then '{k}'" for k, ends in M.LANGUAGES.items()) + " else 'text' end"
+    langs = "case " + " ".join(f"when lower(regexp_extract(doc_path, '\\.([^./]+)$', 1)) in ({', '.join(repr(e) for e in ends)}) then '{k}'" for k, ends in M.LANGUAGES.items()) + " else 'text' end"
     secrets = "body"
     for r in M.SECRETS:
         flags = "g"
